@@ -21,20 +21,29 @@ def _whole(number: int) -> Column:
     return F.lit(number).cast(f"decimal({len(str(number))},0)")
 
 
+def _hundredths(numerator: Column, denominator: Column, times: int) -> Column:
+    """Whole hundredths of the ratio of two amounts that are not negative, half up."""
+    doubled = F.nullif(denominator * _whole(2), F.lit(0))
+    return F.call_function("div", numerator * _whole(200 * times) + denominator, doubled)
+
+
+def _from_hundredths(number: Column) -> Column:
+    return (number.cast(COUNT_TYPE) * F.lit(Decimal("0.01"))).cast(RATIO_TYPE)
+
+
 def exact_ratio(numerator: Column, denominator: Column, times: int = 1) -> Column:
-    """``round(times * numerator / denominator, 2)``; NULL for a zero denominator."""
-    size = F.abs(denominator)
-    hundredths = F.call_function(
-        "div", F.abs(numerator) * _whole(200 * times) + size, F.nullif(size, F.lit(0)) * _whole(2)
-    )
+    """``round(times * numerator / denominator, 2)``; NULL for a zero denominator.
+
+    Ties go away from zero, so signs are set aside first: refunds may make sums negative.
+    """
+    size = _hundredths(F.abs(numerator), F.abs(denominator), times)
     negative = (numerator < 0) != (denominator < 0)
-    signed = F.when(negative, -hundredths).otherwise(hundredths)
-    return (signed.cast(COUNT_TYPE) * F.lit(Decimal("0.01"))).cast(RATIO_TYPE)
+    return _from_hundredths(F.when(negative, -size).otherwise(size))
 
 
 def percent_of(part: Column, whole: Column) -> Column:
     """Share of a count in percent."""
-    return exact_ratio(part.cast(COUNT_TYPE), whole.cast(COUNT_TYPE), times=100)
+    return _from_hundredths(_hundredths(part.cast(COUNT_TYPE), whole.cast(COUNT_TYPE), 100))
 
 
 def money_percent_of(part: Column, whole: Column) -> Column:

@@ -9,6 +9,13 @@ from tilltrail import schema as S
 from tilltrail.functions import ratios as R
 
 
+MEASURES = ("vol", "rev", "priced")
+
+
+def prefixed(*prefixes: str) -> tuple[str, ...]:
+    return tuple(f"{prefix}{name}" for prefix in prefixes for name in MEASURES)
+
+
 def price() -> Column:
     return F.col("price").cast(S.WIDE_PRICE_TYPE)
 
@@ -37,26 +44,34 @@ def merged_measures(when: Column | None = None, prefix: str = "") -> list[Column
     ]
 
 
-def grand_total(groups: DataFrame, prefixes: tuple[str, ...] = ("",), when: Column | None = None) -> Column:
-    """Totals over all groups as a scalar subquery: one struct with ``<prefix>vol`` and so on.
+TOTAL = "_total"
 
-    A window without keys would bring every group to one task. This adds partial sums instead,
-    and Spark takes the groups from the exchange that the report itself reads.
+
+def with_total(df: DataFrame, groups: DataFrame, names: tuple[str, ...] = MEASURES) -> DataFrame:
+    """Add the sums of ``names`` over all groups to every row, as the struct ``_total``.
+
+    The sums are a scalar subquery: a window without keys would bring every group to one task.
+    They are added up in parts, from the very exchange that the report itself reads.
     """
-    names = [f"{p}{m}" for p in prefixes for m in ("vol", "rev", "priced")]
-    pick = (lambda n: F.col(n)) if when is None else (lambda n: F.when(when, F.col(n)))
-    sums = groups.agg(*[F.sum(pick(n)).alias(n) for n in names])
-    return sums.select(F.struct(*names)).scalar()
+    sums = groups.agg(*[F.sum(name).alias(name) for name in names])
+    return df.withColumn(TOTAL, sums.select(F.struct(*names)).scalar())
+
+
+def total(name: str) -> Column:
+    return F.col(TOTAL)[name]
 
 
-def volume_share(total: Column, prefix: str = "") -> Column:
-    return R.percent_of(F.col(f"{prefix}vol"), total[f"{prefix}vol"])
+def volume_share(prefix: str = "", whole: str | None = None) -> Column:
+    """Share of the volume in the total, which may carry another prefix."""
+    whole = prefix if whole is None else whole
+    return R.percent_of(F.col(f"{prefix}vol"), total(f"{whole}vol"))
 
 
-def revenue_share(total: Column, prefix: str = "") -> Column:
-    """Share of revenue; there is none where the total has no priced row."""
-    share = R.money_percent_of(F.col(f"{prefix}rev"), total[f"{prefix}rev"])
-    return F.when(total[f"{prefix}priced"] > 0, share)
+def revenue_share(prefix: str = "", whole: str | None = None) -> Column:
+    """Share of the revenue; there is none where the total has no priced row."""
+    whole = prefix if whole is None else whole
+    share = R.money_percent_of(F.col(f"{prefix}rev"), total(f"{whole}rev"))
+    return F.when(total(f"{whole}priced") > 0, share)
 
 
 def revenue(name: str = "rev") -> Column:

@@ -47,13 +47,13 @@ def _of(kind: str) -> Column:
 def split_by_user(groups: DataFrame, *by: str | Column) -> DataFrame:
     """Measures side by side: ``anon_``, ``reg_`` and ``total_``."""
     return groups.groupBy(*by).agg(
-        *M.merged_measures(_of(S.ANONYMOUS), "anon_"),
-        *M.merged_measures(_of(S.REGISTERED), "reg_"),
+        *[c for kind, side in USERS.items() for c in M.merged_measures(_of(kind), side)],
         *M.merged_measures(prefix="total_"),
     )
 
 
-SIDES = ("anon_", "reg_", "total_")
+USERS = {S.ANONYMOUS: "anon_", S.REGISTERED: "reg_"}
+SIDES = (*USERS.values(), "total_")
 
 
 # --- user types ---------------------------------------------------------------------------------
@@ -77,14 +77,14 @@ def user_segmentation(facts: DataFrame) -> DataFrame:
         F.count_distinct("user_id").alias("unique_registered_users"),
         F.count_distinct("product_id").alias("product_diversity"),
     )
-    total = M.grand_total(groups)
-    return totals.join(F.broadcast(people), "user_type").select(
+    both = totals.join(F.broadcast(people), "user_type")
+    return M.with_total(both, groups).select(
         "user_type",
         F.col("vol").alias("transaction_volume"),
-        M.volume_share(total).alias("volume_percentage"),
+        M.volume_share().alias("volume_percentage"),
         "unique_registered_users",
         M.revenue().alias("total_revenue"),
-        M.revenue_share(total).alias("revenue_percentage"),
+        M.revenue_share().alias("revenue_percentage"),
         M.order_value().alias("aov"),
         "category_diversity",
         "product_diversity",
@@ -99,16 +99,20 @@ def _of_year(facts: DataFrame, year: int) -> DataFrame:
     return cleaning.in_year(with_user_type(facts), year, CLOCK)
 
 
-def _with_shares(groups: DataFrame, within: str, names: dict[str, str]) -> dict[str, Column]:
-    """Shares of the whole and of the groups that agree in ``within``."""
-    total = M.grand_total(groups)
+def _with_shares(groups: DataFrame, within: str, names: dict[str, str]) -> DataFrame:
+    """Add shares of the whole and of the groups that agree in ``within``."""
     part = Window.partitionBy(within)
-    return {
-        names["vol_total"]: M.volume_share(total),
-        names["vol_within"]: R.percent_of(F.col("vol"), F.sum("vol").over(part)),
-        names["rev_total"]: M.revenue_share(total),
-        names["rev_within"]: R.money_percent_of(F.col("rev"), F.sum("rev").over(part)),
-    }
+    summed = M.with_total(groups, groups).withColumns(
+        {"_part_vol": F.sum("vol").over(part), "_part_rev": F.sum("rev").over(part)}
+    )
+    return summed.withColumns(
+        {
+            names["vol_total"]: M.volume_share(),
+            names["vol_within"]: R.percent_of(F.col("vol"), F.col("_part_vol")),
+            names["rev_total"]: M.revenue_share(),
+            names["rev_within"]: R.money_percent_of(F.col("rev"), F.col("_part_rev")),
+        }
+    )
 
 
 def monthly_seasonality(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
@@ -122,7 +126,7 @@ def monthly_seasonality(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFram
         "rev_within": "revenue_within_month_pct",
     }
     return (
-        groups.withColumns(_with_shares(groups, "month", names))
+        _with_shares(groups, "month", names)
         .select(
             "month",
             "user_type",
@@ -140,13 +144,12 @@ def monthly_seasonality(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFram
 
 def payday_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     groups = cleaning.in_year(facts, year, CLOCK).groupBy(F.dayofmonth(CLOCK).alias("day")).agg(*M.row_measures())
-    total = M.grand_total(groups)
-    return groups.select(
+    return M.with_total(groups, groups).select(
         "day",
         F.col("vol").alias("day_volume"),
-        M.volume_share(total).alias("volume_pct"),
+        M.volume_share().alias("volume_pct"),
         M.revenue().alias("day_revenue"),
-        M.revenue_share(total).alias("revenue_pct"),
+        M.revenue_share().alias("revenue_pct"),
         M.order_value().alias("aov"),
     ).orderBy("day")
 
@@ -163,7 +166,7 @@ def weekday_rhythm(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
         "rev_within": "revenue_share_within_day_pct",
     }
     return (
-        groups.withColumns(_with_shares(groups, "_day", names))
+        _with_shares(groups, "_day", names)
         .orderBy("_day", "user_type")
         .select(
             C.weekday_name(F.col("_day")).alias("weekday"),
@@ -214,19 +217,20 @@ def hourly_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
 def dimension_by_user_type(facts: DataFrame, dim: Dimension) -> DataFrame:
     """Each text per user type with its share in that user type."""
     groups = by_text_and_user(facts, dim)
-    guests, members = (M.grand_total(groups, when=_of(kind)) for kind in (S.ANONYMOUS, S.REGISTERED))
-
-    def share(of) -> Column:
-        return F.when(_of(S.ANONYMOUS), of(guests)).otherwise(of(members))
-
-    return groups.select(
+    sums = groups.agg(*[c for kind, side in USERS.items() for c in M.merged_measures(_of(kind), side)])
+    totalled = M.with_total(groups, sums, M.prefixed(*USERS.values()))
+    own = {
+        name: F.when(_of(S.ANONYMOUS), M.total(f"anon_{name}")).otherwise(M.total(f"reg_{name}"))
+        for name in M.MEASURES
+    }
+    return totalled.withColumn(M.TOTAL, F.struct(*[c.alias(name) for name, c in own.items()])).select(
         dim.value,
         "user_type",
         dim.status().alias(dim.status_column),
         F.col("vol").alias("transaction_volume"),
-        share(M.volume_share).alias("vol_share_pct"),
+        M.volume_share().alias("vol_share_pct"),
         M.revenue().alias("total_revenue"),
-        share(M.revenue_share).alias("rev_share_pct"),
+        M.revenue_share().alias("rev_share_pct"),
         M.order_value().alias("aov"),
     ).orderBy(F.desc_nulls_first("total_revenue"), dim.value, "user_type")
 
@@ -255,13 +259,10 @@ def share_of_wallet(facts: DataFrame, dim: Dimension, known_status: str, status_
     """What part of guests' and of members' purchases has no category or brand."""
     groups = filled_groups(with_user_type(facts), dim, "user_type")
     sides = split_by_user(groups, dim.status(known_status).alias(status_column))
-    total = M.grand_total(sides, SIDES)
-    return sides.select(
+    return M.with_total(sides, sides, M.prefixed(*USERS.values())).select(
         status_column,
-        M.volume_share(total, "anon_").alias("anon_vol_share_pct"),
-        M.volume_share(total, "reg_").alias("reg_vol_share_pct"),
-        M.revenue_share(total, "anon_").alias("anon_rev_share_pct"),
-        M.revenue_share(total, "reg_").alias("reg_rev_share_pct"),
+        *[M.volume_share(side).alias(f"{side}vol_share_pct") for side in USERS.values()],
+        *[M.revenue_share(side).alias(f"{side}rev_share_pct") for side in USERS.values()],
     )
 
 
@@ -269,14 +270,13 @@ def dimension_master(facts: DataFrame, dim: Dimension) -> DataFrame:
     """Side by side, with the market share of each text in every column."""
     groups = filled_groups(with_user_type(facts), dim, "user_type")
     sides = split_by_user(groups, dim.value)
-    total = M.grand_total(sides, SIDES)
-    return sides.select(
+    return M.with_total(sides, sides, M.prefixed(*SIDES)).select(
         dim.value,
         dim.status().alias(dim.status_column),
         *[f"{side}vol" for side in SIDES],
-        *[M.volume_share(total, side).alias(f"{side}vol_share_pct") for side in SIDES],
+        *[M.volume_share(side).alias(f"{side}vol_share_pct") for side in SIDES],
         *[f"{side}rev" for side in SIDES],
-        *[M.revenue_share(total, side).alias(f"{side}rev_share_pct") for side in SIDES],
+        *[M.revenue_share(side).alias(f"{side}rev_share_pct") for side in SIDES],
         M.order_value("anon_").alias("anon_aov"),
         M.order_value("reg_").alias("reg_aov"),
     ).orderBy(F.desc_nulls_first("total_rev"), dim.value)
@@ -344,15 +344,15 @@ def unlabelled_deep_dive(facts: DataFrame, k: int = 15) -> DataFrame:
     labels = per_brand.groupBy("category_code").agg(
         most_frequent("brand", "vol").alias("anchor_brand"), *M.merged_measures()
     )
-    total = M.grand_total(per_brand)
     return (
-        labels.select(
+        M.with_total(labels, per_brand)
+        .select(
             "category_code",
             F.col("vol").alias("transaction_volume"),
             M.revenue().alias("total_revenue"),
             M.order_value().alias("category_aov"),
             "anchor_brand",
-            M.revenue_share(total).alias("share_of_hidden_revenue"),
+            M.revenue_share().alias("share_of_hidden_revenue"),
         )
         .orderBy(F.desc_nulls_first("total_revenue"), "category_code")
         .limit(k)
@@ -366,15 +366,15 @@ def unknown_brand_deep_dive(facts: DataFrame, k: int = 20) -> DataFrame:
     labels = per_category.groupBy("brand").agg(
         F.max("category_code").alias("category_hint"), *M.merged_measures()
     )
-    total = M.grand_total(per_category)
     return (
-        labels.select(
+        M.with_total(labels, per_category)
+        .select(
             "brand",
             F.col("vol").alias("transaction_volume"),
             M.revenue().alias("total_revenue"),
             M.order_value().alias("product_aov"),
             "category_hint",
-            M.revenue_share(total).alias("share_of_unknown_revenue"),
+            M.revenue_share().alias("share_of_unknown_revenue"),
         )
         .orderBy(F.desc_nulls_first("total_revenue"), "brand")
         .limit(k)
@@ -391,99 +391,71 @@ def grand_totals(facts: DataFrame) -> DataFrame:
 
 
 def _segments(groups: DataFrame, dimension: str, name: str) -> DataFrame:
-    return groups.groupBy(F.lit(dimension).alias("dimension"), F.col(name).alias("segment_name")).agg(
-        *M.merged_measures()
-    )
+    merged = groups.groupBy(name).agg(*M.merged_measures())
+    return merged.select(F.lit(dimension).alias("dimension"), F.col(name).alias("segment_name"), *M.MEASURES)
 
 
 def _as_report(segments: DataFrame) -> DataFrame:
     return segments.select("dimension", "segment_name", "vol", M.revenue().alias("rev"), M.order_value().alias("aov"))
 
 
-def category_segments(facts: DataFrame) -> DataFrame:
-    return _as_report(_segments(filled_groups(facts, CATEGORY), CATEGORY.name, CATEGORY.value))
+def _category_segments(facts: DataFrame) -> DataFrame:
+    return _segments(filled_groups(facts, CATEGORY), CATEGORY.name, CATEGORY.value)
 
 
-def brand_segments(facts: DataFrame) -> DataFrame:
-    return _as_report(_segments(filled_groups(facts, BRAND), BRAND.name, BRAND.value))
+def _brand_segments(facts: DataFrame) -> DataFrame:
+    return _segments(filled_groups(facts, BRAND), BRAND.name, BRAND.value)
 
 
-def time_window_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
+def _time_segments(facts: DataFrame, year: int) -> DataFrame:
     dated = cleaning.in_year(facts, year, CLOCK)
-    windows = dated.groupBy(C.time_window(F.hour(CLOCK)).alias("_window")).agg(*M.row_measures())
-    return _as_report(_segments(windows, TIME_WINDOW, "_window"))
+    hours = dated.groupBy(F.hour(CLOCK).alias("_hour")).agg(*M.row_measures())
+    return _segments(hours.withColumn("_window", C.time_window(F.col("_hour"))), TIME_WINDOW, "_window")
 
 
-def all_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
-    """Category, brand and time window segments in one reading of the facts.
+def category_segments(facts: DataFrame) -> DataFrame:
+    return _as_report(_category_segments(facts))
 
-    Three grouping sets share the scan; each keeps raw keys, so all of them combine before the
-    shuffle. Windows hold the report year only, categories and brands every row.
-    """
-    window = F.when(C.within_year(CLOCK, year), C.time_window(F.hour(CLOCK)))
-    keyed = facts.select(
-        CATEGORY.key, CATEGORY.value, BRAND.key, BRAND.value, window.alias("_window"), "price"
-    )
-    sets = [[CATEGORY.key, CATEGORY.value], [BRAND.key, BRAND.value], ["_window"]]
-    flat = [name for names in sets for name in names]
-    grouped = keyed.groupingSets(sets, *flat).agg(
-        F.grouping(CATEGORY.key).alias("_not_category"),
-        F.grouping(BRAND.key).alias("_not_brand"),
-        *M.row_measures(),
-    )
-    is_category, is_brand = F.col("_not_category") == 0, F.col("_not_brand") == 0
-    named = grouped.select(
-        F.when(is_category, CATEGORY.name).when(is_brand, BRAND.name).otherwise(TIME_WINDOW).alias("dimension"),
-        F.when(is_category, F.col(CATEGORY.key)).otherwise(F.col(BRAND.key)).alias("_key"),
-        F.when(is_category, F.col(CATEGORY.value)).when(is_brand, F.col(BRAND.value)).otherwise(F.col("_window")).alias("_own"),
-        "vol",
-        "rev",
-        "priced",
-    )
-    mapped = F.max("_own").over(Window.partitionBy("dimension", "_key"))
-    key_text = F.concat(F.col("_key").cast("string"), F.lit(")"))
-    label = (
-        F.when(F.col("dimension") == CATEGORY.name, F.concat(F.lit(CATEGORY.opening), key_text))
-        .when(F.col("dimension") == BRAND.name, F.concat(F.lit(BRAND.opening), key_text))
-    )
-    filled = F.coalesce(F.col("_own"), F.when(F.col("dimension") != TIME_WINDOW, mapped), label)
-    return (
-        named.withColumn("segment_name", filled)
-        .groupBy("dimension", "segment_name")
-        .agg(*M.merged_measures())
-    )
+
+def brand_segments(facts: DataFrame) -> DataFrame:
+    return _as_report(_brand_segments(facts))
+
+
+def time_window_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
+    """Four parts of the day. Hours are added up first, the labels are put on 24 rows."""
+    return _as_report(_time_segments(facts, year))
 
 
 def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     """Every segment with shares of the grand totals, efficiency index and role.
 
-    Grand totals are those of all categories, as these hold every row, also for time windows.
-    Comparisons are cross-multiplied, so ties are exact.
+    Windows hold the report year only, categories and brands every row. Grand totals are those of
+    all categories, as these hold every row, for time windows too. The three readings differ in
+    columns, so each scans its own few. Comparisons are cross-multiplied, so ties are exact.
     """
-    segments = all_segments(facts, year)
-    total = M.grand_total(segments, when=F.col("dimension") == CATEGORY.name)
-    outside_year = (F.col("dimension") == TIME_WINDOW) & F.col("segment_name").isNull()
-    named = segments.filter(~outside_year)
+    categories = _category_segments(facts)
+    segments = categories.unionByName(_brand_segments(facts)).unionByName(_time_segments(facts, year))
+    rev, vol, priced = F.col("rev"), F.col("vol"), F.col("priced")
+    all_rev = M.total("rev").cast(S.REVENUE_TYPE)
 
     def wide(c: Column) -> Column:
         return c.cast("decimal(20,0)")
 
-    rev, vol, priced = F.col("rev"), F.col("vol"), F.col("priced")
-    by_share = rev * wide(total["vol"]), total["rev"].cast(S.REVENUE_TYPE) * wide(vol)
-    by_value = rev * wide(total["priced"]), total["rev"].cast(S.REVENUE_TYPE) * wide(priced)
-    return named.select(
+    by_share = rev * wide(M.total("vol")), all_rev * wide(vol)
+    by_value = rev * wide(M.total("priced")), all_rev * wide(priced)
+    return M.with_total(segments, categories).select(
         "dimension",
         "segment_name",
         vol.alias("transaction_count"),
         M.revenue().alias("total_revenue"),
         M.order_value().alias("segment_aov"),
-        M.volume_share(total).alias("vol_share_pct"),
-        M.revenue_share(total).alias("rev_share_pct"),
-        R.efficiency_index(rev, total["rev"], vol, total["vol"]).alias("efficiency_index"),
+        M.volume_share().alias("vol_share_pct"),
+        M.revenue_share().alias("rev_share_pct"),
+        R.efficiency_index(rev, all_rev, vol, M.total("vol")).alias("efficiency_index"),
         C.strategic_role(
             by_share[0] > by_share[1], by_share[0] < by_share[1], by_value[0] > by_value[1], by_value[0] < by_value[1]
         ).alias("strategic_role"),
-        (rev > total["rev"] * F.lit(S.PORTFOLIO_THRESHOLD).cast("decimal(4,3)")).alias("is_large"),
+        (rev > all_rev * F.lit(S.PORTFOLIO_THRESHOLD).cast("decimal(4,3)")).alias("is_large"),
     )
 
 
