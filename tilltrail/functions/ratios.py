@@ -3,62 +3,53 @@
 Spark's decimal division rounds once to the scale of its result type and a following
 ``round`` rounds again, so a value just below a tie can end above it. Here the quotient is
 taken in whole hundredths with ``div``, which rounds once, half away from zero, at any size.
+
+Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilltrail.schema import RATIO_TYPE, REVENUE_TYPE
-
-COUNT_TYPE = "decimal(20,0)"
-
-
-def _whole(number: int) -> Column:
-    return F.lit(number).cast(f"decimal({len(str(number))},0)")
-
+MONEY = "decimal(28,2)"
+COUNT = "decimal(20,0)"
+RATIO = "decimal(18,2)"
 
-def _hundredths(numerator: Column, denominator: Column, times: int) -> Column:
-    """Whole hundredths of the ratio of two amounts that are not negative, half up."""
-    doubled = F.nullif(denominator * _whole(2), F.lit(0))
-    return F.call_function("div", numerator * _whole(200 * times) + denominator, doubled)
 
-
-def _from_hundredths(number: Column) -> Column:
-    return (number.cast(COUNT_TYPE) * F.lit(Decimal("0.01"))).cast(RATIO_TYPE)
-
-
-def exact_ratio(numerator: Column, denominator: Column, times: int = 1) -> Column:
+def exact_ratio(numerator: str, denominator: str, times: int = 1) -> Column:
     """``round(times * numerator / denominator, 2)``; NULL for a zero denominator.
 
     Ties go away from zero, so signs are set aside first: refunds may make sums negative.
     """
-    size = _hundredths(F.abs(numerator), F.abs(denominator), times)
-    negative = (numerator < 0) != (denominator < 0)
-    return _from_hundredths(F.when(negative, -size).otherwise(size))
+    size = f"abs({denominator})"
+    hundredths = f"(abs({numerator}) * {200 * times} + {size}) div nullif({size} * 2, 0)"
+    sign = f"if((({numerator}) < 0) = (({denominator}) < 0), 1, -1)"
+    return F.expr(f"cast(cast({hundredths} as {COUNT}) * 0.01 * {sign} as {RATIO})")
+
+
+def _as(kind: str, expression: str) -> str:
+    return f"cast({expression} as {kind})"
 
 
-def percent_of(part: Column, whole: Column) -> Column:
+def percent_of(part: str, whole: str) -> Column:
     """Share of a count in percent."""
-    return _from_hundredths(_hundredths(part.cast(COUNT_TYPE), whole.cast(COUNT_TYPE), 100))
+    return exact_ratio(_as(COUNT, part), _as(COUNT, whole), times=100)
 
 
-def money_percent_of(part: Column, whole: Column) -> Column:
+def money_percent_of(part: str, whole: str) -> Column:
     """Share of a revenue in percent."""
-    return exact_ratio(part.cast(REVENUE_TYPE), whole.cast(REVENUE_TYPE), times=100)
+    return exact_ratio(_as(MONEY, part), _as(MONEY, whole), times=100)
 
 
-def order_value(revenue: Column, priced_rows: Column) -> Column:
+def order_value(revenue: str, priced_rows: str) -> Column:
     """Average order value: revenue over the rows that carry a price."""
-    return exact_ratio(revenue.cast(REVENUE_TYPE), priced_rows.cast(COUNT_TYPE))
+    return exact_ratio(_as(MONEY, revenue), _as(COUNT, priced_rows))
 
 
-def efficiency_index(revenue: Column, total_revenue: Column, volume: Column, total_volume: Column) -> Column:
+def efficiency_index(revenue: str, total_revenue: str, volume: str, total_volume: str) -> Column:
     """Revenue share over volume share, as one fraction so that it is rounded once."""
     return exact_ratio(
-        revenue.cast(REVENUE_TYPE) * total_volume.cast(COUNT_TYPE),
-        total_revenue.cast(REVENUE_TYPE) * volume.cast(COUNT_TYPE),
+        f"{_as(MONEY, revenue)} * {_as(COUNT, total_volume)}",
+        f"{_as(MONEY, total_revenue)} * {_as(COUNT, volume)}",
     )

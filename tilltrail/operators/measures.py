@@ -22,26 +22,20 @@ def price() -> Column:
 
 def row_measures() -> list[Column]:
     """Aggregates of fact rows: ``vol``, ``rev`` and ``priced`` (rows that carry a price)."""
-    return [
-        F.count(F.lit(1)).alias("vol"),
-        F.sum(price()).alias("rev"),
-        F.count("price").alias("priced"),
-    ]
+    return [F.count(F.lit(1)).alias("vol"), F.sum(price()).alias("rev"), F.count("price").alias("priced")]
 
 
-def merged_measures(when: Column | None = None, prefix: str = "") -> list[Column]:
-    """The same measures of groups that are already aggregated, optionally of some only.
+def merged_measures(user_type: str | None = None, prefix: str = "") -> list[Column]:
+    """The same measures of groups that are already aggregated, optionally of one user type.
 
-    Groups outside ``when`` count as zero revenue but add nothing to the priced rows.
+    Groups of another type count as zero revenue but add nothing to the priced rows.
     """
-    vol, rev, priced = F.col("vol"), F.col("rev"), F.col("priced")
-    if when is not None:
-        vol, rev, priced = (F.when(when, c).otherwise(0) for c in (vol, rev, priced))
-    return [
-        F.sum(vol).alias(f"{prefix}vol"),
-        F.sum(rev).cast(S.REVENUE_TYPE).alias(f"{prefix}rev"),
-        F.sum(priced).alias(f"{prefix}priced"),
-    ]
+    merged = []
+    for name in MEASURES:
+        part = name if user_type is None else f"if(user_type = '{user_type}', {name}, 0)"
+        kind = R.MONEY if name == "rev" else "bigint"
+        merged.append(F.expr(f"cast(sum({part}) as {kind})").alias(f"{prefix}{name}"))
+    return merged
 
 
 TOTAL = "_total"
@@ -61,17 +55,14 @@ def total(name: str) -> Column:
     return F.col(TOTAL)[name]
 
 
-def volume_share(prefix: str = "", whole: str | None = None) -> Column:
-    """Share of the volume in the total, which may carry another prefix."""
-    whole = prefix if whole is None else whole
-    return R.percent_of(F.col(f"{prefix}vol"), total(f"{whole}vol"))
+def volume_share(prefix: str = "") -> Column:
+    return R.percent_of(f"{prefix}vol", f"{TOTAL}.{prefix}vol")
 
 
-def revenue_share(prefix: str = "", whole: str | None = None) -> Column:
+def revenue_share(prefix: str = "") -> Column:
     """Share of the revenue; there is none where the total has no priced row."""
-    whole = prefix if whole is None else whole
-    share = R.money_percent_of(F.col(f"{prefix}rev"), total(f"{whole}rev"))
-    return F.when(total(f"{whole}priced") > 0, share)
+    share = R.money_percent_of(f"{prefix}rev", f"{TOTAL}.{prefix}rev")
+    return F.when(total(f"{prefix}priced") > 0, share)
 
 
 def revenue(name: str = "rev") -> Column:
@@ -79,4 +70,4 @@ def revenue(name: str = "rev") -> Column:
 
 
 def order_value(prefix: str = "") -> Column:
-    return R.order_value(F.col(f"{prefix}rev"), F.col(f"{prefix}priced"))
+    return R.order_value(f"{prefix}rev", f"{prefix}priced")

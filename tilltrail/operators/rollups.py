@@ -46,8 +46,8 @@ def min_price_by(df: DataFrame, dim: str, name: str, order: str | None = None, k
 
 
 def avg_price_by(df: DataFrame, dim: str, name: str, order: str | None = None, k: int | None = None) -> DataFrame:
-    average = R.order_value(F.sum(M.price()), F.count("price"))
-    return _aggregate(df, dim, average, name, order, k)
+    groups = df.groupBy(dim).agg(F.sum(M.price()).alias("_rev"), F.count("price").alias("_priced"))
+    return _ranked(groups.select(dim, R.order_value("_rev", "_priced").alias(name)), name, dim, order, k)
 
 
 def distinct_by(

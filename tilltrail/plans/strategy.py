@@ -47,7 +47,7 @@ def _of(kind: str) -> Column:
 def split_by_user(groups: DataFrame, *by: str | Column) -> DataFrame:
     """Measures side by side: ``anon_``, ``reg_`` and ``total_``."""
     return groups.groupBy(*by).agg(
-        *[c for kind, side in USERS.items() for c in M.merged_measures(_of(kind), side)],
+        *[c for kind, side in USERS.items() for c in M.merged_measures(kind, side)],
         *M.merged_measures(prefix="total_"),
     )
 
@@ -88,7 +88,7 @@ def user_segmentation(facts: DataFrame) -> DataFrame:
         M.order_value().alias("aov"),
         "category_diversity",
         "product_diversity",
-        R.money_percent_of(F.col("gap_rev"), F.col("rev")).alias("percent_unlabelled_revenue"),
+        R.money_percent_of("gap_rev", "rev").alias("percent_unlabelled_revenue"),
     ).orderBy(F.desc_nulls_first("total_revenue"))
 
 
@@ -108,9 +108,9 @@ def _with_shares(groups: DataFrame, within: str, names: dict[str, str]) -> DataF
     return summed.withColumns(
         {
             names["vol_total"]: M.volume_share(),
-            names["vol_within"]: R.percent_of(F.col("vol"), F.col("_part_vol")),
+            names["vol_within"]: R.percent_of("vol", "_part_vol"),
             names["rev_total"]: M.revenue_share(),
-            names["rev_within"]: R.money_percent_of(F.col("rev"), F.col("_part_rev")),
+            names["rev_within"]: R.money_percent_of("rev", "_part_rev"),
         }
     )
 
@@ -205,7 +205,7 @@ def hourly_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
         "hour",
         "user_type",
         F.col("vol").alias("transaction_volume"),
-        R.percent_of(F.col("vol"), F.col("_all")).alias("hourly_volume_share"),
+        R.percent_of("vol", "_all").alias("hourly_volume_share"),
         M.order_value().alias("hourly_aov"),
         F.when(above, S.PREMIUM_HOUR).otherwise(S.STANDARD_HOUR).alias("efficiency_rating"),
     ).orderBy("hour", "user_type")
@@ -217,7 +217,7 @@ def hourly_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
 def dimension_by_user_type(facts: DataFrame, dim: Dimension) -> DataFrame:
     """Each text per user type with its share in that user type."""
     groups = by_text_and_user(facts, dim)
-    sums = groups.agg(*[c for kind, side in USERS.items() for c in M.merged_measures(_of(kind), side)])
+    sums = groups.agg(*[c for kind, side in USERS.items() for c in M.merged_measures(kind, side)])
     totalled = M.with_total(groups, sums, M.prefixed(*USERS.values()))
     own = {
         name: F.when(_of(S.ANONYMOUS), M.total(f"anon_{name}")).otherwise(M.total(f"reg_{name}"))
@@ -451,7 +451,7 @@ def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
         M.order_value().alias("segment_aov"),
         M.volume_share().alias("vol_share_pct"),
         M.revenue_share().alias("rev_share_pct"),
-        R.efficiency_index(rev, all_rev, vol, M.total("vol")).alias("efficiency_index"),
+        R.efficiency_index("rev", f"{M.TOTAL}.rev", "vol", f"{M.TOTAL}.vol").alias("efficiency_index"),
         C.strategic_role(
             by_share[0] > by_share[1], by_share[0] < by_share[1], by_value[0] > by_value[1], by_value[0] < by_value[1]
         ).alias("strategic_role"),

@@ -7,11 +7,10 @@ of rows does not change. A test checks that the keys are unique.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilltrail import schema as S
-from tilltrail.functions.columns import EPOCH
 
 FROM_ORDERS = {"user_id", "event_time"}
 FROM_PARTS = {"category_id", "category_code", "brand"}
@@ -24,11 +23,27 @@ TABLES = {
     "part": "p_partkey long, p_brand string, p_size int",
 }
 
-# Fixed values of the mapping: where ids and days start.
-FIRST_CATEGORY_ID = 2268105388421284352
-FIRST_SECOND_OF_2020 = 1578211200
-SECONDS_OF_EPOCH_ROWS = 8 * 3600
-DAYS_COVERED = 320
+# Fixed values of the mapping: how each column follows from the order tables.
+DERIVED = {
+    "serial_number": "serial_number",
+    "user_id": "cast(if(o_orderkey % 4 = 0, o_custkey, null) as decimal(20,0))",
+    "event_time": """timestampadd(SECOND,
+        if(o_orderkey % 141 = 0, 28800L, 1578211200L
+           + pmod(datediff(o_orderdate, date'1995-01-01'), 320) * 86400L + o_orderkey * 7919 % 86400),
+        timestamp_ntz'1970-01-01 00:00:00')""",
+    "order_id": "cast(l_orderkey as decimal(20,0))",
+    "product_id": "cast(l_partkey as decimal(20,0))",
+    "category_id": "cast(2268105388421284352L + p_size as decimal(23,0))",
+    "category_code": f"""case
+        when p_size % 4 = 0 or l_linenumber = 5 then null
+        when p_size = 7 then '{S.SMARTPHONES}'
+        when p_size = 13 then '{S.FRIDGES}'
+        when p_size = 21 then concat('dept0.cat21', p_partkey % 3)
+        else concat('dept', p_size % 7, '.cat', p_size) end""",
+    "brand": """if(p_partkey % 20 = 0 or (p_partkey % 20 = 1 and l_linenumber = 6), null,
+        lower(replace(p_brand, '#', '')))""",
+    "price": "cast(l_extendedprice as decimal(8,2))",
+}
 
 
 def sample_transactions(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -46,39 +61,8 @@ def sample_transactions(spark: SparkSession, folder: str, columns: list[str] | N
     if FROM_PARTS & set(wanted):
         parts = _table(spark, folder, "part")
         rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    derived = _derived()
-    return rows.select(*[derived[c].alias(c) for c in wanted])
+    return rows.selectExpr(*[f"{DERIVED[c]} as {c}" for c in wanted])
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def _derived() -> dict[str, Column]:
-    order, part, size, line = (F.col(c) for c in ("o_orderkey", "p_partkey", "p_size", "l_linenumber"))
-    day = F.pmod(F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")), F.lit(DAYS_COVERED))
-    second = F.when(order % 141 == 0, F.lit(SECONDS_OF_EPOCH_ROWS)).otherwise(
-        F.lit(FIRST_SECOND_OF_2020) + day * 86400 + (order * 7919) % 86400
-    )
-    code = (
-        F.when((size % 4 == 0) | (line == 5), F.lit(None))
-        .when(size == 7, S.SMARTPHONES)
-        .when(size == 13, S.FRIDGES)
-        .when(size == 21, F.concat(F.lit("dept0.cat21"), (part % 3).cast("string")))
-        .otherwise(
-            F.concat(F.lit("dept"), (size % 7).cast("string"), F.lit(".cat"), size.cast("string"))
-        )
-    )
-    unbranded = (part % 20 == 0) | ((part % 20 == 1) & (line == 6))
-    brand = F.when(unbranded, F.lit(None)).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
-    return {
-        "serial_number": F.col("serial_number"),
-        "user_id": F.when(order % 4 == 0, F.col("o_custkey")).cast(S.ID_TYPE),
-        "event_time": F.timestamp_add("SECOND", second, F.expr(EPOCH)),
-        "order_id": F.col("l_orderkey").cast(S.ID_TYPE),
-        "product_id": F.col("l_partkey").cast(S.ID_TYPE),
-        "category_id": (F.lit(FIRST_CATEGORY_ID) + size).cast(S.CATEGORY_ID_TYPE),
-        "category_code": code,
-        "brand": brand,
-        "price": F.col("l_extendedprice").cast(S.PRICE_TYPE),
-    }
