@@ -16,13 +16,21 @@ def prefixed(*prefixes: str) -> tuple[str, ...]:
     return tuple(f"{prefix}{name}" for prefix in prefixes for name in MEASURES)
 
 
-def price() -> Column:
-    return F.col("price").cast(S.WIDE_PRICE_TYPE)
+def revenue_sum() -> Column:
+    """Exact sum of prices.
+
+    Whole units and what remains of each price are added apart, as longs. One sum of
+    decimal(8,2) ends at 10^16, which 10^12 rows pass at a mean of ten thousand; a wider decimal
+    holds them but leaves the fast hash map and takes about twice the time. Units last to 9 * 10^18.
+    """
+    units = "cast(price as bigint)"
+    rest = f"cast(price - cast({units} as decimal(8,2)) as decimal(8,2))"
+    return F.expr(f"cast(cast(sum({units}) as decimal(20,0)) + sum({rest}) as {R.MONEY})")
 
 
 def row_measures() -> list[Column]:
     """Aggregates of fact rows: ``vol``, ``rev`` and ``priced`` (rows that carry a price)."""
-    return [F.count(F.lit(1)).alias("vol"), F.sum(price()).alias("rev"), F.count("price").alias("priced")]
+    return [F.count(F.lit(1)).alias("vol"), revenue_sum().alias("rev"), F.count("price").alias("priced")]
 
 
 def merged_measures(user_type: str | None = None, prefix: str = "") -> list[Column]:

@@ -71,7 +71,7 @@ def rows_by_weekday(df: DataFrame) -> DataFrame:
     """Rows and revenue per weekday of a frame that is already limited to a period."""
     return (
         df.groupBy(F.col("weekday").alias("weekday_of_sales"))
-        .agg(F.count(F.lit(1)).alias("transaction_count"), F.sum(M.price()).cast(S.REVENUE_TYPE).alias("total_revenue"))
+        .agg(F.count(F.lit(1)).alias("transaction_count"), M.revenue_sum().alias("total_revenue"))
         .orderBy("weekday_of_sales")
     )
 

@@ -34,7 +34,7 @@ def volume_by(df: DataFrame, dim: str, name: str, order: str | None = None, k: i
 
 
 def revenue_by(df: DataFrame, dim: str, name: str, order: str | None = None, k: int | None = None) -> DataFrame:
-    return _aggregate(df, dim, F.sum(M.price()).cast(S.REVENUE_TYPE), name, order, k)
+    return _aggregate(df, dim, M.revenue_sum(), name, order, k)
 
 
 def max_price_by(df: DataFrame, dim: str, name: str, order: str | None = None, k: int | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def min_price_by(df: DataFrame, dim: str, name: str, order: str | None = None, k
 
 
 def avg_price_by(df: DataFrame, dim: str, name: str, order: str | None = None, k: int | None = None) -> DataFrame:
-    groups = df.groupBy(dim).agg(F.sum(M.price()).alias("_rev"), F.count("price").alias("_priced"))
+    groups = df.groupBy(dim).agg(M.revenue_sum().alias("_rev"), F.count("price").alias("_priced"))
     return _ranked(groups.select(dim, R.order_value("_rev", "_priced").alias(name)), name, dim, order, k)
 
 

@@ -145,6 +145,6 @@ def run(view: DataFrame, report: Report) -> DataFrame:
 
 def _by_weekday(rows: DataFrame, report: Report) -> DataFrame:
     """Weekdays in calendar order, Sunday first."""
-    measure = F.count(F.lit(1)) if report.kind == "volume" else F.sum(M.price()).cast(S.REVENUE_TYPE)
+    measure = F.count(F.lit(1)) if report.kind == "volume" else M.revenue_sum()
     days = rows.groupBy("weekday", F.dayofweek("event_time").alias("_day")).agg(measure.alias(report.name))
     return days.orderBy("_day").drop("_day")

@@ -9,11 +9,7 @@ ID_TYPE = T.DecimalType(20, 0)
 CATEGORY_ID_TYPE = T.DecimalType(23, 0)
 PRICE_TYPE = T.DecimalType(8, 2)
 
-# A price is widened before it is summed: sum(decimal(8,2)) would end at 10^16,
-# which about 10^12 rows of a few ten thousand each already pass.
-WIDE_PRICE_TYPE = T.DecimalType(18, 2)
 REVENUE_TYPE = T.DecimalType(28, 2)
-RATIO_TYPE = T.DecimalType(18, 2)
 
 # Raw record layout. The row number is a long, not an int, because
 # a load of the size this is meant for has more than 2^31 rows.
