@@ -46,6 +46,11 @@ def merged_measures(user_type: str | None = None, prefix: str = "") -> list[Colu
     return merged
 
 
+def measures_of(df: DataFrame) -> list[Column]:
+    """Measures of fact rows, or of a summary that already carries them."""
+    return merged_measures() if set(MEASURES) <= set(df.columns) else row_measures()
+
+
 TOTAL = "_total"
 
 

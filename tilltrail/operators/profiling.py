@@ -78,4 +78,4 @@ def rows_by_weekday(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, keys: list[str], n: int, offset: int = 0) -> DataFrame:
     """The first n rows after an offset, in the order of the keys."""
-    return df.orderBy(*keys).offset(offset).limit(n)
+    return df.orderBy(*keys).limit(offset + n).offset(offset)

@@ -1,9 +1,10 @@
 """Strategy reports on the clean table.
 
 Every report takes rows as the clean table holds them, gaps included; the filled view works as
-well. Reports over categories and brands aggregate by raw key and text first and fill the gaps in
-the totals (see ``imputation.impute_groups``), so fact rows are read once, combined before the
-one shuffle, and never joined.
+well, and so do the summaries of ``plans.summaries``, which carry measures instead of prices.
+Reports over categories and brands aggregate by raw key and text first and fill the gaps in the
+totals (see ``imputation.impute_groups``), so fact rows are read once, combined before the one
+shuffle, and never joined.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def with_user_type(df: DataFrame) -> DataFrame:
 
 def filled_groups(facts: DataFrame, dim: Dimension, *by: str) -> DataFrame:
     """Measures per key, text and ``by``, with the text filled."""
-    groups = facts.groupBy(dim.key, dim.value, *by).agg(*M.row_measures())
+    groups = facts.groupBy(dim.key, dim.value, *by).agg(*M.measures_of(facts))
     return impute_groups(groups, dim)
 
 
@@ -59,9 +60,11 @@ SIDES = (*USERS.values(), "total_")
 # --- user types ---------------------------------------------------------------------------------
 
 
-def user_segmentation(facts: DataFrame) -> DataFrame:
+def user_segmentation(facts: DataFrame, buyers: DataFrame | None = None) -> DataFrame:
     """Guests and members compared: volume, revenue, order value, diversity, unlabelled revenue.
 
+    ``buyers`` are the rows to count users and products in, if ``facts`` is a summary without them.
+
     Totals come from category groups. Users and products are counted apart, so the wide distinct
     columns do not multiply the rows that carry the measures. The broadcast side has two rows, one
     per user type.
@@ -73,7 +76,7 @@ def user_segmentation(facts: DataFrame) -> DataFrame:
         F.sum(F.when(CATEGORY.is_gap(), F.col("rev")).otherwise(0)).cast(S.REVENUE_TYPE).alias("gap_rev"),
         F.count_distinct("category_id").alias("category_diversity"),
     )
-    people = typed.groupBy("user_type").agg(
+    people = with_user_type(facts if buyers is None else buyers).groupBy("user_type").agg(
         F.count_distinct("user_id").alias("unique_registered_users"),
         F.count_distinct("product_id").alias("product_diversity"),
     )
@@ -117,7 +120,7 @@ def _with_shares(groups: DataFrame, within: str, names: dict[str, str]) -> DataF
 
 def monthly_seasonality(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     groups = (
-        _of_year(facts, year).groupBy(F.month(CLOCK).alias("month"), "user_type").agg(*M.row_measures())
+        _of_year(facts, year).groupBy(F.month(CLOCK).alias("month"), "user_type").agg(*M.measures_of(facts))
     )
     names = {
         "vol_total": "monthly_volume_pct",
@@ -143,7 +146,7 @@ def monthly_seasonality(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFram
 
 
 def payday_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
-    groups = cleaning.in_year(facts, year, CLOCK).groupBy(F.dayofmonth(CLOCK).alias("day")).agg(*M.row_measures())
+    groups = cleaning.in_year(facts, year, CLOCK).groupBy(F.dayofmonth(CLOCK).alias("day")).agg(*M.measures_of(facts))
     return M.with_total(groups, groups).select(
         "day",
         F.col("vol").alias("day_volume"),
@@ -157,7 +160,7 @@ def payday_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
 def weekday_rhythm(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     """Weekdays from Monday on; they are grouped by number and named afterwards."""
     groups = (
-        _of_year(facts, year).groupBy(F.weekday(CLOCK).alias("_day"), "user_type").agg(*M.row_measures())
+        _of_year(facts, year).groupBy(F.weekday(CLOCK).alias("_day"), "user_type").agg(*M.measures_of(facts))
     )
     names = {
         "vol_total": "volume_total_pct",
@@ -189,7 +192,7 @@ def hourly_analysis(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     order values of twelve decimals, so no further rounding enters.
     """
     groups = (
-        _of_year(facts, year).groupBy(F.hour(CLOCK).alias("hour"), "user_type").agg(*M.row_measures())
+        _of_year(facts, year).groupBy(F.hour(CLOCK).alias("hour"), "user_type").agg(*M.measures_of(facts))
     )
     same_type = Window.partitionBy("user_type")
     value = (F.col("rev") / F.nullif(F.col("priced"), F.lit(0)).cast("decimal(20,0)")).cast("decimal(28,12)")
@@ -325,7 +328,7 @@ def most_frequent(value: str, count: str) -> Column:
 
 def sold_groups(facts: DataFrame) -> DataFrame:
     """Measures per product and category as recorded, with the brand filled per product."""
-    sold = facts.groupBy("product_id", "brand", "category_id", "category_code").agg(*M.row_measures())
+    sold = facts.groupBy("product_id", "brand", "category_id", "category_code").agg(*M.measures_of(facts))
     return impute_groups(sold, BRAND)
 
 
@@ -385,7 +388,7 @@ def unknown_brand_deep_dive(facts: DataFrame, k: int = 20) -> DataFrame:
 
 
 def grand_totals(facts: DataFrame) -> DataFrame:
-    return facts.agg(*M.row_measures()).select(
+    return facts.agg(*M.measures_of(facts)).select(
         F.col("vol").alias("total_vol"), M.revenue().alias("total_rev"), M.order_value().alias("global_aov")
     )
 
@@ -409,7 +412,7 @@ def _brand_segments(facts: DataFrame) -> DataFrame:
 
 def _time_segments(facts: DataFrame, year: int) -> DataFrame:
     dated = cleaning.in_year(facts, year, CLOCK)
-    hours = dated.groupBy(F.hour(CLOCK).alias("_hour")).agg(*M.row_measures())
+    hours = dated.groupBy(F.hour(CLOCK).alias("_hour")).agg(*M.measures_of(facts))
     return _segments(hours.withColumn("_window", C.time_window(F.col("_hour"))), TIME_WINDOW, "_window")
 
 
@@ -426,15 +429,19 @@ def time_window_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFra
     return _as_report(_time_segments(facts, year))
 
 
-def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
+def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR, hours: DataFrame | None = None) -> DataFrame:
     """Every segment with shares of the grand totals, efficiency index and role.
 
+    ``hours`` are the rows to take the time windows from, if ``facts`` is a summary without a clock.
+
     Windows hold the report year only, categories and brands every row. Grand totals are those of
     all categories, as these hold every row, for time windows too. The three readings differ in
     columns, so each scans its own few. Comparisons are cross-multiplied, so ties are exact.
     """
     categories = _category_segments(facts)
-    segments = categories.unionByName(_brand_segments(facts)).unionByName(_time_segments(facts, year))
+    segments = categories.unionByName(_brand_segments(facts)).unionByName(
+        _time_segments(facts if hours is None else hours, year)
+    )
     rev, vol, priced = F.col("rev"), F.col("vol"), F.col("priced")
     all_rev = M.total("rev").cast(S.REVENUE_TYPE)
 
@@ -459,10 +466,10 @@ def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
     )
 
 
-def strategy_portfolio(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
+def strategy_portfolio(facts: DataFrame, year: int = S.REPORT_YEAR, hours: DataFrame | None = None) -> DataFrame:
     """Segments that earn more than the threshold share of all revenue."""
     return (
-        scored_segments(facts, year)
+        scored_segments(facts, year, hours)
         .filter("is_large")
         .drop("is_large")
         .orderBy("dimension", F.desc_nulls_first("total_revenue"), "segment_name")
