@@ -75,11 +75,14 @@ def impute(df: DataFrame, dim: Dimension, mapping: DataFrame) -> DataFrame:
     """Own text, else the mapped one, else a label that names the key. Row by row.
 
     The join carries no hint: Spark broadcasts the map if its measured size allows and otherwise
-    shuffles, splitting hot keys. Callers send only rows with gaps through it.
+    shuffles both sides. The hash of the key as a second join key gives the map an exchange of its
+    own. Without it the map's aggregate would sit right below the join, and Spark splits a hot key
+    only between two plain exchanges.
     """
-    mapped = f"mapped_{dim.value}"
+    mapped, spread = f"mapped_{dim.value}", F.hash(dim.key)
     filled = F.coalesce(F.col(dim.value), F.col(mapped), dim.gap_label())
-    return df.join(mapping, dim.key, "left").withColumn(dim.value, filled).drop(mapped)
+    joined = df.withColumn("_spread", spread).join(mapping.withColumn("_spread", spread), [dim.key, "_spread"], "left")
+    return joined.withColumn(dim.value, filled).drop(mapped, "_spread")
 
 
 def impute_category(df: DataFrame, raw: DataFrame | None = None, strategy: str = "max") -> DataFrame:

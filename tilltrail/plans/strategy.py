@@ -489,3 +489,4 @@ EXPORTS = {
     "09_unknown_brands": unknown_brand_deep_dive,
     "10_unified_strategy_portfolio": strategy_portfolio,
 }
+EXPORTS_BY_QUERY = {report.__name__: name for name, report in EXPORTS.items()}
