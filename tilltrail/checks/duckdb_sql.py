@@ -483,5 +483,16 @@ def _strategy() -> dict[str, str]:
     }
 
 
+def _sources() -> dict[str, str]:
+    stored = f"{STORED}, normalized_event_time"
+    strategy = _strategy()
+    return {
+        "read_transactions": on_clean(f"SELECT {stored} FROM clean"),
+        "write_clean": on_clean(f"SELECT {stored}, year, month FROM dated"),
+        "export_reports": strategy["brand_master"],
+        "portfolio_from_summaries": strategy["strategy_portfolio"],
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**_quality(), **_cleaning(), **_baseline(), **_strategy()}
+    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources()}

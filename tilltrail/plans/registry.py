@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilltrail import schema as S
+from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
-from tilltrail.plans import baseline, strategy, views
+from tilltrail.plans import baseline, strategy, summaries, views
+from tilltrail.session import shared_folder
+from tilltrail.sources import tables
 from tilltrail.sources.samples import ALL, sample_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,5 +181,52 @@ def _strategy() -> dict[str, Query]:
     }
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tilltrail/{uuid.uuid4().hex}"
+
+
+def csv_round_trip(records: DataFrame) -> DataFrame:
+    """Records written as purchase CSVs and loaded again with the declared types.
+
+    The files hold instants; the sample's clock is ahead of them by the usual offset.
+    """
+    spark = records.sparkSession
+    folder = _new_folder(spark)
+    instant = F.date_format(C.hours_before("event_time", S.CLOCK_OFFSET_HOURS), "yyyy-MM-dd HH:mm:ss")
+    files = records.withColumn("event_time", F.concat(instant, F.lit(" UTC")))
+    files.write.option("header", True).csv(folder)
+    return cleaning.clean_transactions(tables.read_transactions(spark, folder))
+
+
+def stored_table(df: DataFrame) -> DataFrame:
+    """The clean table written by month and scanned again."""
+    spark = df.sparkSession
+    folder = _new_folder(spark)
+    tables.write_clean(df, folder)
+    return tables.read_clean(spark, folder)
+
+
+def exported_report(report: DataFrame) -> DataFrame:
+    """A report exported as CSV and read back."""
+    spark = report.sparkSession
+    folder = _new_folder(spark)
+    tables.export_reports({"report": report}, folder)
+    return spark.read.schema(report.schema).csv(f"{folder}/report", header=True, mode="FAILFAST")
+
+
+def _sources() -> dict[str, Query]:
+    return {
+        "read_transactions": raw(ALL, csv_round_trip),
+        "write_clean": clean(STORED, lambda df: stored_table(df).drop("id")),
+        "export_reports": clean(
+            ["user_id", *BRAND_COLUMNS, "price"], lambda df: exported_report(strategy.brand_master(df))
+        ),
+        "portfolio_from_summaries": clean(
+            STORED,
+            lambda df: summaries.all_reports(df.sparkSession, df, uuid.uuid4().hex)["10_unified_strategy_portfolio"],
+        ),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_quality(), **_cleaning(), **_baseline(), **_strategy()}
+    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources()}
