@@ -125,3 +125,11 @@ def test_hot_category_without_a_map_is_split(spark, tmp_path):
 def test_reports_are_named():
     assert set(REPORTS) >= set(strategy.EXPORTS_BY_QUERY)
     assert len(baseline.REPORTS) == 50
+
+
+def test_maps_reduce_rows_by_hash_before_sorting_for_the_largest_text(spark, small):
+    for name in ("category_map", "brand_map", "transactions_view"):
+        lines = planned(QUERIES[name](spark, small)).splitlines()
+        for i, line in enumerate(lines):
+            if "Aggregate" in line and "partial_max" in line:
+                assert any("HashAggregate" in below for below in lines[i + 1 : i + 4])

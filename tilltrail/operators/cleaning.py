@@ -52,7 +52,7 @@ def add_surrogate_id(
     range can hold more rows than that, so each is numbered in one task, and only the row counts
     of the ranges (one small row per ``per_bucket`` records) are added up in sequence.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order_by) / F.lit(per_bucket)))
+    ranged = df.withColumn("_range", F.expr(f"{order_by} div {per_bucket}"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy("_range")

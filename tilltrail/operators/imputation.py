@@ -58,17 +58,18 @@ BRAND = Dimension(
 def value_map(df: DataFrame, dim: Dimension, strategy: str = "max") -> DataFrame:
     """One row per key with the text to fill in, as ``mapped_<value>``.
 
-    ``max`` takes the largest text, ``mode`` the most frequent (largest on ties). Both combine
-    before the shuffle, so a key with a third of all rows costs no more than any other.
+    ``max`` takes the largest text, ``mode`` the most frequent (largest on ties). Both first
+    count the pairs of key and text, by hash and before the shuffle: a key with a third of all rows
+    costs no more than any other, and only pairs are sorted. (A bare maximum of a text sorts every
+    row, and Spark drops a mere ``distinct`` below it; ranking by the count as well keeps the pairs.)
     """
+    orders = {"max": (dim.value, "_n"), "mode": ("_n", dim.value)}
+    if strategy not in orders:
+        raise ValueError(f"unknown strategy {strategy!r}: use 'max' or 'mode'")
     known = df.filter(F.col(dim.value).isNotNull())
-    name = f"mapped_{dim.value}"
-    if strategy == "max":
-        return known.groupBy(dim.key).agg(F.max(dim.value).alias(name))
-    if strategy == "mode":
-        counted = known.groupBy(dim.key, dim.value).agg(F.count(F.lit(1)).alias("_n"))
-        return counted.groupBy(dim.key).agg(F.max_by(dim.value, F.struct("_n", dim.value)).alias(name))
-    raise ValueError(f"unknown strategy {strategy!r}: use 'max' or 'mode'")
+    pairs = known.groupBy(dim.key, dim.value).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.max_by(dim.value, F.struct(*orders[strategy]))
+    return pairs.groupBy(dim.key).agg(best.alias(f"mapped_{dim.value}"))
 
 
 def impute(df: DataFrame, dim: Dimension, mapping: DataFrame) -> DataFrame:
