@@ -1,8 +1,9 @@
 """Wall time of the headline reports; prints one JSON line.
 
-Reads $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]. Every report runs once
-to warm up ("cold" in the output) and then $BENCH_RUNS times; "queries" has the medians. A time
-covers building, planning and executing the query and fetching its rows.
+Reads $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]. The first pass over all
+reports gives the cold times ("cold" in the output), $BENCH_RUNS further passes the warm ones, whose
+medians are in "queries". A time covers building, planning and executing the query and fetching
+its rows.
 """
 
 from __future__ import annotations
@@ -52,15 +53,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    cold, warm = {}, {}
-    for name in HEADLINES:
-        times = []
-        for _ in range(runs + 1):
+    times: dict[str, list[float]] = {name: [] for name in HEADLINES}
+    for _ in range(runs + 1):
+        for name in HEADLINES:
             start = time.perf_counter()
             queries[name](spark, folder).collect()
-            times.append(time.perf_counter() - start)
-        cold[name] = round(times[0], 3)
-        warm[name] = round(statistics.median(times[1:]), 3)
+            times[name].append(time.perf_counter() - start)
+    cold = {name: round(taken[0], 3) for name, taken in times.items()}
+    warm = {name: round(statistics.median(taken[1:]), 3) for name, taken in times.items()}
     spark.stop()
     print(
         json.dumps(

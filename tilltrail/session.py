@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # All reports together have more generated stages than the 100 that are kept by default.
+    "spark.sql.codegen.cache.maxEntries": "1000",
 }
 
 
