@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions throughout.
 
-Numbers, units and names become typed placeholders, so that a question with other values has the
+Names, numbers and units become typed placeholders, so that a question with other values has the
 same template. Every window of a document's template is looked up among the windows of the
 benchmark by hash, and the values that stand in the placeholders must then map onto each other one
 to one: the same value of the question is the same value everywhere in the copy.
+
+Templates are made on the whole text and windows are hashed after the words are exploded: both are
+compiled by Spark, where functions over arrays would be interpreted word by word.
 """
 
 from __future__ import annotations
@@ -19,69 +22,79 @@ BROADCAST_WINDOWS = 1_000_000
 
 # Words that name a unit if a number stands before them.
 UNITS = (
-    "mg g kg t lb lbs oz mm cm m km in ft yd mi ml cl l gal ms s sec min h hr hrs w kw v a hz mhz ghz kb mb gb tb "
-    "gram grams kilogram kilograms pound pounds ounce ounces meter meters metre metres kilometer kilometers kilometre "
-    "kilometres mile miles foot feet inch inches liter liters litre litres second seconds minute minutes hour hours day "
-    "days week weeks month months year years percent degrees dollars dollar euros euro cents cent"
+    "mg g kg t lb lbs oz mm cm m km in ft yd mi ml cl l gal ms s sec min h hr hrs w kw v hz mhz ghz kb mb gb tb "
+    "grams gram kilograms kilogram pounds pound ounces ounce meters meter metres metre kilometers kilometer kilometres "
+    "kilometre miles mile feet foot inches inch liters liter litres litre seconds second minutes minute hours hour days "
+    "day weeks week months month years year percent degrees dollars dollar euros euro cents cent"
 ).split()
-SIGNS = "%$€£°"
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-PLACEHOLDERS = [NUMBER, UNIT, NAME]
 
-# A capitalised word inside a sentence is taken for a name. The mark goes before it, where the text
-# still tells whether a sentence begins; names side by side are one.
-_INSIDE = r"([^.!?:\s])([ \t]+)(?=\p{Lu}\p{Ll})"
 _MARK = "\u0001"
-_TOKEN = rf"{_MARK}\p{{L}}[\p{{L}}\p{{M}}]*(?:[ \t]+{_MARK}\p{{L}}[\p{{L}}\p{{M}}]*)*|\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+|[{SIGNS}]"
+NAME, NUMBER, UNIT = f"{_MARK}name", f"{_MARK}number", f"{_MARK}unit"
+# A capitalised word inside a sentence is taken for a name.
+_NAME = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}\p{L}*"
+_NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
+_UNIT = rf"(?i:{'|'.join(UNITS)})\b"
+_BREAKS = r"[\s.,;:!?\"()\[\]]+"
 
 
-def tokens(text: Column) -> Column:
-    """Names (marked), numbers, words and signs of a text, in order; null counts as empty."""
-    clean = F.translate(F.coalesce(text, F.lit("")), _MARK, "")
-    marked = F.regexp_replace(clean, _INSIDE, f"$1$2{_MARK}")
-    return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
+def _plain(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains(_MARK), F.translate(text, _MARK, "")).otherwise(text)
 
 
-def _starts_number(token: Column) -> Column:
-    return F.coalesce(F.substring(token, 1, 1).rlike(r"\p{N}"), F.lit(False))
+def template(text: Column, names: bool = True) -> Column:
+    """The words of a text in lower case, with placeholders; names are replaced if asked for.
 
+    A number and its unit are two placeholders and one value. Null counts as empty, and an empty
+    text is one empty word.
+    """
+    out = _plain(text)
+    if names:
+        out = F.regexp_replace(out, _NAME, NAME)
+    out = F.regexp_replace(out, _NUMBER, NUMBER)
+    out = F.regexp_replace(out, rf"({NUMBER})(\s?){_UNIT}", f"$1$2{UNIT}")
+    return F.split(F.lower(out), _BREAKS)
 
-def template(words: Column, names: bool = True) -> Column:
-    """The tokens in lower case with placeholders for numbers, for units and, if asked for, for names."""
-    units = F.array(*[F.lit(u) for u in UNITS])
 
-    def typed(word: Column, i: Column) -> Column:
-        plain = F.lower(F.translate(word, _MARK, ""))
-        after_number = (i > 0) & _starts_number(F.get(words, i - 1))
-        out = (
-            F.when(_starts_number(word), NUMBER)
-            .when(F.lit(SIGNS).contains(word), UNIT)
-            .when((F.length(word) <= 10) & after_number & F.array_contains(units, plain), UNIT)
-        )
-        return (out.when(word.startswith(_MARK), NAME) if names else out).otherwise(plain)
+def _values(text: Column, names: bool = True) -> Column:
+    """What the placeholders of a template stand for, in their order."""
+    quantity = rf"{_NUMBER}(?:\s?{_UNIT})?"
+    pattern = f"{_NAME}|{quantity}" if names else quantity
+    return F.regexp_extract_all(_plain(text), F.lit(pattern), F.lit(0))
 
-    return F.transform(words, typed)
 
+def _slots(words: Column) -> Column:
+    """Of each placeholder that has a value: its place among the words."""
+    places = F.transform(words, lambda w, i: F.when(w.contains(NAME) | w.contains(NUMBER), i))
+    return F.filter(places, lambda i: i.isNotNull())
 
-def _window_hashes(hashes: Column, size: int) -> Column:
-    """Hash of every window of ``size`` tokens; a text with fewer has none."""
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]))
 
+def _windows(rows: DataFrame, size: int) -> DataFrame:
+    """A row per window of ``size`` words: its ``hash`` and where it ``start``s.
 
-def _token_hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+    The outer form keeps Spark from testing the words for emptiness, which makes them twice.
+    """
+    cut = rows.select("*", F.posexplode_outer("words").alias("start", "_word"))
+    whole = cut.filter(F.size("words") - F.col("start") >= size)
+    words = [F.get("words", F.col("start") + k) for k in range(size)]
+    return whole.select(*rows.columns, "start", F.xxhash64(*words).alias("hash"))
 
 
-def _slots(raw: Column, typed: Column, start: Column, size: Column) -> Column:
-    """Values that stand in the placeholders of a window, with their place in it."""
-    values = F.transform(
-        F.slice(raw, start + 1, size), lambda w, i: F.struct(i.alias("at"), F.lower(F.translate(w, _MARK, "")).alias("value"))
-    )
-    kept = F.filter(values, lambda v: F.array_contains(F.array(*map(F.lit, PLACEHOLDERS)), F.get(typed, start + v["at"])))
-    return kept
+def _window_slots(size: int, names: Column | bool) -> Column:
+    """Placeholders of a window with their values, as ``at`` (counted from its start) and ``value``.
+
+    Evaluated for windows that were found, not for all. A window without a placeholder is told by
+    its words and does not look at the text.
+    """
+    inside = _slots(F.slice("words", F.col("start") + 1, size))
+    before = F.size(_slots(F.slice("words", 1, F.col("start"))))
+    if isinstance(names, bool):
+        values = _values(F.col("text"), names)
+    else:
+        values = F.when(names, _values(F.col("text"))).otherwise(_values(F.col("text"), False))
+    slot = "struct<at:int,value:string>"
+    found = F.transform(inside, lambda at, k: F.struct(at.alias("at"), F.lower(F.get(values, before + k)).alias("value")))
+    return F.when(F.size(inside) > 0, found).otherwise(F.array().cast(f"array<{slot}>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -89,30 +102,31 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
 
     Items shorter than a window are one window. Each item is there with names as placeholders and
     with names as words, so copies in other letter case are found as well. Windows that are mostly
-    placeholders, and items under ``shortest`` tokens, would match by chance and are left out.
+    placeholders, and items under ``shortest`` words, would match by chance and are left out.
     """
-    worded = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).distinct()
-    both = [worded.select("*", template(F.col("raw"), names).alias("typed")) for names in (True, False)]
-    typed = both[0].unionByName(both[1]).filter(F.size("raw") >= shortest)
-    sized = typed.withColumn("size", F.least(F.lit(window), F.size("raw")))
-    cut = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("size"))).alias("item_start"))
-    part = F.slice("typed", F.col("item_start") + 1, F.col("size"))
-    words = F.size(F.filter(part, lambda w: ~w.isin(PLACEHOLDERS)))
-    hashed = [
-        F.when(F.col("size") == size, F.get(_window_hashes(_token_hashes(part), size), F.lit(0)))
-        for size in range(shortest, window + 1)
+    forms = [
+        benchmark.select("item_id", "text", template(F.col("text"), names).alias("words"), F.lit(names).alias("names"))
+        for names in (True, False)
     ]
-    return (
-        cut.filter(words * 2 > F.col("size"))
-        .select(
-            F.coalesce(*hashed).alias("hash"),
-            "size",
-            "item_id",
-            "item_start",
-            _slots(F.col("raw"), F.col("typed"), F.col("item_start"), F.col("size")).alias("item_slots"),
+    items = forms[0].unionByName(forms[1]).filter(F.size("words") >= shortest)
+    items = stored(items.withColumn("size", F.least(F.lit(window), F.size("words"))), "benchmark-items")
+    parts = []
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
+        cut = _windows(items.filter(F.col("size") == size), size)
+        plain = F.filter(F.slice("words", F.col("start") + 1, size), lambda w: ~w.startswith(_MARK))
+        slots = _window_slots(size, F.col("names"))
+        parts.append(
+            cut.filter(F.size(plain) * 2 > size).select(
+                "hash", "size", "item_id", F.col("start").alias("item_start"), slots.alias("item_slots")
+            )
         )
-        .distinct()
-    )
+    if not parts:
+        empty = "hash long, size int, item_id long, item_start int, item_slots array<struct<at:int,value:string>>"
+        return benchmark.sparkSession.createDataFrame([], empty)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.distinct()
 
 
 def contaminated(
@@ -124,10 +138,11 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id``, ``row_key``, ``item_id``, ``windows``, ``changed_slots``: which document holds which item.
 
-    A document holds an item if at least one window of ``window`` template tokens (or the whole of a
-    shorter item) agrees and the placeholders of all windows in the same alignment map one to one.
+    A document holds an item if at least one window of ``window`` template words (or the whole of a
+    shorter item) agrees and the values of all windows in the same alignment map one to one.
     ``changed_slots`` counts the values that differ: 0 for a literal copy. Null and empty
-    texts hold nothing, a null item is no item; repeated documents are reported by id and text.
+    texts hold nothing, an item without text is no item; repeated documents are reported by id
+    and text. Further columns of either table are not looked at.
 
     The windows of the benchmark are broadcast if they are counted to be at most
     ``broadcast_windows`` (about 100 bytes each); a larger benchmark is joined by shuffling hashes.
@@ -135,32 +150,38 @@ def contaminated(
     searched = stored(benchmark_windows(benchmark, window, shortest), "benchmark-windows")
     sizes = sorted(r["size"] for r in searched.select("size").distinct().collect()) or [window]
     small = searched.count() <= broadcast_windows
-    typed = docs.select("doc_id", row_key().alias("row_key"), tokens(F.col("text")).alias("raw"))
-    typed = typed.withColumn("typed", template(F.col("raw")))
-    hashed = typed.withColumn("hashes", _token_hashes(F.col("typed")))
-    every = [
-        F.transform(_window_hashes(F.col("hashes"), size), lambda h, i: F.struct(h.alias("hash"), i.alias("start")))
-        for size in sizes
-    ]
-    windows = hashed.select("doc_id", "row_key", "raw", "typed", F.inline(F.concat(*every)))
-    found = windows.join(F.broadcast(searched) if small else searched, "hash")
-    ours = _slots(F.col("raw"), F.col("typed"), F.col("start"), F.col("size"))
-    pairs = F.zip_with(
-        ours,
-        "item_slots",
-        lambda a, b: F.struct((F.col("item_start") + b["at"]).alias("at"), b["value"].alias("item"), a["value"].alias("copy")),
-    )
-    aligned = found.select(
-        "doc_id", "row_key", "item_id", (F.col("start") - F.col("item_start")).alias("shift"), "item_start", pairs.alias("pairs")
-    )
+    rows = docs.select("doc_id", row_key().alias("row_key"), "text", template(F.col("text")).alias("words"))
+    parts = []
+    for size in sizes:
+        wanted = searched.filter(F.col("size") == size).drop("size")
+        found = _windows(rows, size).join(F.broadcast(wanted) if small else wanted, "hash")
+        parts.append(
+            found.select(
+                "doc_id",
+                "row_key",
+                "item_id",
+                "item_start",
+                (F.col("start") - F.col("item_start")).alias("shift"),
+                F.zip_with(
+                    _window_slots(size, True),
+                    "item_slots",
+                    lambda ours, theirs: F.struct(
+                        (F.col("item_start") + theirs["at"]).alias("at"),
+                        theirs["value"].alias("item"),
+                        ours["value"].alias("copy"),
+                    ),
+                ).alias("pairs"),
+            )
+        )
+    aligned = parts[0]
+    for part in parts[1:]:
+        aligned = aligned.unionByName(part)
     merged = aligned.groupBy("doc_id", "row_key", "item_id", "shift").agg(
         F.count_distinct("item_start").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     mapping = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["copy"])))
-    one_to_one = [
-        F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size(mapping) for side in ("item", "copy")
-    ]
+    one_to_one = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size(mapping) for side in ("item", "copy")]
     changed = F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["copy"])))
     return (
         merged.filter(one_to_one[0] & one_to_one[1])
