@@ -121,7 +121,8 @@ def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) ->
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation as structs of ``role`` and ``text``, both unescaped."""
-    pieces = F.slice(F.split(formatted, r"<\|turn\|>"), 2, 2**31 - 1)
+    split = F.split(formatted, r"<\|turn\|>")
+    pieces = F.slice(split, F.lit(2), F.size(split) - 1)
 
     def turn(piece: Column) -> Column:
         sides = F.split(piece, r"<\|text\|>", 2)

@@ -35,6 +35,7 @@ _NAME = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}\p{L}*"
 _NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
 _UNIT = rf"(?i:{'|'.join(UNITS)})\b"
 _BREAKS = r"[\s.,;:!?\"()\[\]]+"
+_ENDS = " \t\n\x0b\f\r.,;:!?\"()[]"
 
 
 def _plain(text: Column) -> Column:
@@ -53,7 +54,7 @@ def template(text: Column, names: bool = True) -> Column:
         out = F.regexp_replace(out, _NAME, NAME)
     out = F.regexp_replace(out, _NUMBER, NUMBER)
     out = F.regexp_replace(out, rf"({NUMBER})(\s?){_UNIT}", f"$1$2{UNIT}")
-    return F.split(F.lower(out), _BREAKS)
+    return F.split(F.btrim(F.lower(out), F.lit(_ENDS)), _BREAKS)
 
 
 def _values(text: Column, names: bool = True) -> Column:

@@ -205,8 +205,10 @@ def entropies(model: Model, words: list[bytes]) -> np.ndarray:
     return phrases * bits / np.maximum(symbols_read, 1)[:, None]
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document with ``lang_pred`` and ``score``.
+def predict(
+    docs: DataFrame, model: Model, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` of every document with the predicted language and its score.
 
     The score is 0 if the two best languages take equally many bits and nears 1 as the best one takes
     far fewer; with a single language it is 1. Ties go to the language that sorts first. Texts
@@ -214,7 +216,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ``und`` with score 0. Columns named like the two new ones give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    keep = [c for c in keep if c not in named]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -244,7 +246,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     )
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)]
     done = rows.mapInArrow(of_batches, ", ".join([*kinds, "lang_pred string", "score double"]))
-    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
+    new = zip(["lang_pred", "score"], named, strict=True)
+    return done.select(*[F.col(n).alias(c) for n, c in [*zip(names, keep, strict=True), *new]])
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -261,5 +264,5 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
 def readable_documents(docs: DataFrame, folds: int = 5) -> DataFrame:
     """The documents that have a language; those that come out as ``und`` go. Columns stay as they are."""
     model = train(training_samples(docs, folds=folds))
-    known = predict(docs, model, [c for c in docs.columns])
-    return known.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    known = predict(docs, model, docs.columns, ("_lang_pred", "_score"))
+    return known.filter(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)

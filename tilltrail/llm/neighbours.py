@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 TREES = 6
 SAMPLE_ROWS = 20_000
-LEAF_ROWS = 100
-SHARE = 0.85
+LEAF_ROWS = 50
+SHARE = 1.3
 BUCKETS = 4
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 8_192

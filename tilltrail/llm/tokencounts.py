@@ -29,7 +29,7 @@ KNOWN = 200_000
 # Personal data that the standard edits take out.
 EMAIL = regex.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 PHONE = regex.compile(r"\+\d{1,3}[ (]*\d{1,4}[) -]+\d{2,4}[ -]\d{2,5}(?:[ -]\d{2,5})?")
-ADDRESS = regex.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
+ADDRESS = regex.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 
 
 class Counter:
