@@ -9,26 +9,26 @@ from pyspark.sql import functions as F
 
 from tilltrail import schema as S
 from tilltrail.operators import profiling
-from tilltrail.operators.cleaning import clean_transactions
+from tilltrail.operators.cleaning import clean_purchases
 from tilltrail.operators.imputation import BRAND, CATEGORY
 from tilltrail.plans import strategy, views
-from tilltrail.sources.samples import sample_transactions
+from tilltrail.sources.samples import sample_purchases
 
 
 @pytest.fixture(scope="module")
 def clean(spark, small):
-    return clean_transactions(sample_transactions(spark, small), with_id=True).cache()
+    return clean_purchases(sample_purchases(spark, small), with_id=True).cache()
 
 
 def test_view_keeps_every_row_and_all_revenue(clean):
-    view = views.transactions_view(clean)
+    view = views.purchases_view(clean)
     assert view.columns == S.VIEW_COLUMNS
     total = [F.count(F.lit(1)), F.sum("price"), F.count_distinct("id")]
     assert view.agg(*total).first() == clean.agg(*total).first()
 
 
 def test_view_has_gaps_in_users_only(clean):
-    profile = profiling.null_profile(views.transactions_view(clean), S.VIEW_COLUMNS).first().asDict()
+    profile = profiling.null_profile(views.purchases_view(clean), S.VIEW_COLUMNS).first().asDict()
     assert {name for name, missing in profile.items() if missing} == {"user_id"}
 
 

@@ -13,16 +13,16 @@ from tilltrail.plans import baseline, strategy
 from tilltrail.plans.registry import all_queries
 
 QUERIES = all_queries()
-# Windows over few rows by construction: a limit of k, and one row per million records.
+# Windows over few rows by construction: a limit of k, and at most 2^21 leading digits of a number.
 BOUNDED_WINDOWS = {
     "top_brands_avg_price",
     "epoch_top_brands_avg_price",
     "add_surrogate_id",
-    "transactions_view_ids",
-    "null_profile_view",
+    "purchases_view_ids",
 }
+EXPORTED = {report.__name__ for report in strategy.EXPORTS.values()}
 REPORTS = [name for name in strategy.__dict__ if name in QUERIES]
-FILLED = {"null_profile_view", "transactions_view", "transactions_view_ids", "preview_view", "impute_category", "impute_brand"}
+FILLED = {"purchases_view", "purchases_view_ids", "preview_view", "impute_category", "impute_brand"}
 TEMPORAL = ["monthly_seasonality", "payday_analysis", "weekday_rhythm", "hourly_analysis", "time_window_segments"]
 
 
@@ -61,7 +61,7 @@ def test_totals_reuse_the_exchange_of_the_report(spark, small, name):
     assert len(re.findall(r"ColumnarToRow *\n[^\n]*FileScan parquet \[l_", text)) == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(strategy.EXPORTS_BY_QUERY) - {"user_segmentation"}))
+@pytest.mark.parametrize("name", sorted(set(EXPORTED) - {"user_segmentation"}))
 def test_fact_rows_are_combined_before_any_fact_shuffle(spark, small, name):
     """Below every exchange of non-lookup rows sits a partial aggregate."""
     text = planned(QUERIES[name](spark, small))
@@ -122,13 +122,32 @@ def test_hot_category_without_a_map_is_split(spark, tmp_path):
     assert "skew=true" in text
 
 
+def test_null_profile_of_the_view_is_one_scan_without_a_sort(spark, small):
+    text = planned(QUERIES["null_profile_view"](spark, small))
+    assert len(re.findall(r"FileScan parquet \[l_", text)) == 1
+    assert "Window" not in text
+
+
+def test_maps_of_the_view_look_up_no_orders(spark, small):
+    text = planned(QUERIES["purchases_view"](spark, small))
+    assert len(re.findall(r"FileScan parquet \[o_", text)) == 2
+    assert len(re.findall(r"FileScan parquet \[l_", text)) == 4
+
+
+def test_labelled_groups_do_not_meet_the_map(spark, small):
+    """The filter on gaps sits below the join with the map."""
+    plan = QUERIES["unlabelled_deep_dive"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("mapped_category_code")
+    assert "StartsWith(category_code" in plan[join:]
+
+
 def test_reports_are_named():
-    assert set(REPORTS) >= set(strategy.EXPORTS_BY_QUERY)
+    assert set(REPORTS) >= set(EXPORTED)
     assert len(baseline.REPORTS) == 50
 
 
 def test_maps_reduce_rows_by_hash_before_sorting_for_the_largest_text(spark, small):
-    for name in ("category_map", "brand_map", "transactions_view"):
+    for name in ("category_map", "brand_map", "purchases_view"):
         lines = planned(QUERIES[name](spark, small)).splitlines()
         for i, line in enumerate(lines):
             if "Aggregate" in line and "partial_max" in line:

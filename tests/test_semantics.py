@@ -131,7 +131,7 @@ def test_no_known_text_at_all(sales):
 
 def test_reports_fill_like_the_view(sales):
     rows = sales(*GAPS)
-    filled = views.transactions_view(rows)
+    filled = views.purchases_view(rows)
     for report in (strategy.category_master, strategy.brand_master, strategy.strategy_portfolio):
         assert sorted(map(str, report(rows).collect())) == sorted(map(str, report(filled).collect()))
 
@@ -298,12 +298,53 @@ def test_conflicts(sales):
 
 
 def test_surrogate_ids_are_dense_over_gaps_and_ranges(spark):
-    numbers = [5, 999, 1000, 1001, 2500, 70_000, 10**12]
+    numbers = [-(10**13), -7, 5, 999, 2**21, 2**21 + 1, 2**42, 2**42 + 2**21, 10**18]
     df = spark.createDataFrame([(n,) for n in numbers], "serial_number long").repartition(3)
-    ids = {r.serial_number: r.id for r in cleaning.add_surrogate_id(df, per_bucket=1000).collect()}
+    ids = {r.serial_number: r.id for r in cleaning.add_surrogate_id(df).collect()}
     assert ids == {n: i for i, n in enumerate(numbers, 1)}
 
 
+def test_surrogate_ids_of_missing_sparse_and_repeated_numbers(spark):
+    sparse = [i * 10**9 for i in range(300)]
+    rows = [(n, i) for i, n in enumerate([*sparse, *[None] * 200, *[5 * 10**9] * 20])]
+    df = spark.createDataFrame(rows, "serial_number long, n int").repartition(4)
+    found = cleaning.add_surrogate_id(df).collect()
+    assert sorted(r.id for r in found) == list(range(1, len(rows) + 1))
+    assert min(r.id for r in found if r.serial_number is None) == 321
+    ordered = [r.serial_number for r in sorted(found, key=lambda r: r.id) if r.serial_number is not None]
+    assert ordered == sorted(ordered)
+
+
+def test_rows_without_a_key_take_no_text_from_each_other(spark, sales):
+    """Reports by groups and the row view agree where NULL keys have a text and where they have none."""
+    rows = sales(
+        {"code": "a.b", "brand": "x", "price": "10.00"},
+        {"code": None, "brand": None, "price": "90.00"},
+        {"code": "a.c", "brand": "y", "price": "1.00", "category_id": 2},
+        {"code": None, "brand": None, "price": "2.00", "category_id": 2},
+    )
+    first = F.col("category_id") == 1
+    rows = rows.withColumns(
+        {c: F.when(~first, F.col(c)).cast(rows.schema[c].dataType) for c in ("category_id", "product_id")}
+    )
+    for dim, segments in ((CATEGORY, strategy.category_segments), (BRAND, strategy.brand_segments)):
+        view = views.purchases_view(rows).groupBy(dim.value).agg(F.sum("price").alias("revenue")).collect()
+        expected = {r[dim.value]: r.revenue for r in view}
+        assert expected[None] == 90
+        assert {r.segment_name: r.rev for r in segments(rows).collect()} == expected
+    assert profiling.null_profile_of_view(
+        cleaning.add_arrival_id(rows).withColumns({"order_id": F.lit(1), "event_time": F.col("normalized_event_time")})
+    ).select("category_code", "brand").first() == (1, 1)
+
+
+def test_repeated_serials_and_two_brands_of_a_product_are_found(spark, sales):
+    serials = spark.createDataFrame([(1,), (2,), (2,)], "serial_number long")
+    assert profiling.serial_uniqueness(serials).first() == (2, 3)
+    rows = sales({"brand": "a"}, {"brand": "b"}, {"brand": "b", "product": 2}, {"brand": None, "product": 2})
+    found = profiling.mapping_conflicts(rows, "product_id", "brand", "n").collect()
+    assert [(r.product_id, r.n) for r in found] == [(D(1), 2)]
+
+
 def test_arrival_ids_are_unique(spark):
     df = cleaning.add_arrival_id(spark.range(1000).repartition(7))
     assert df.select("id").distinct().count() == 1000

@@ -10,6 +10,7 @@ from __future__ import annotations
 RECORDS = """
 tx AS (
   SELECT
+    l_orderkey * 8 + l_linenumber AS serial_number,
     CASE WHEN l_orderkey % 4 = 0 THEN CAST(o_custkey AS DECIMAL(20,0)) END AS user_id,
     make_timestamp(1000000 * (CASE WHEN l_orderkey % 141 = 0 THEN 28800
       ELSE 1578211200 + (date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 320) * 86400
@@ -51,10 +52,8 @@ brands AS (SELECT product_id AS pid, max(brand) AS name FROM tx GROUP BY product
 VIEW = """
 vw AS (
   SELECT user_id, user_type, normalized_event_time, year, month, day, weekday, hour, order_id, product_id, category_id,
-    CASE WHEN category_code IS NOT NULL THEN category_code WHEN code IS NOT NULL THEN code
-         ELSE 'unlabelled (ID: ' || CAST(category_id AS VARCHAR) || ')' END AS category_code,
-    CASE WHEN brand IS NOT NULL THEN brand WHEN name IS NOT NULL THEN name
-         ELSE 'unknown (Prod: ' || CAST(product_id AS VARCHAR) || ')' END AS brand,
+    COALESCE(category_code, code, 'unlabelled (ID: ' || CAST(category_id AS VARCHAR) || ')') AS category_code,
+    COALESCE(brand, name, 'unknown (Prod: ' || CAST(product_id AS VARCHAR) || ')') AS brand,
     price, cents
   FROM dated LEFT JOIN codes ON cid = category_id LEFT JOIN brands ON pid = product_id
 )"""
@@ -85,7 +84,21 @@ VIEW_COLUMNS = [
     "brand",
     "price",
 ]
-BASE_COLUMNS = [c for c in VIEW_COLUMNS if c not in ("user_type", "normalized_event_time")] + ["event_time"]
+BASE_COLUMNS = [
+    "user_id",
+    "event_time",
+    "year",
+    "month",
+    "day",
+    "weekday",
+    "hour",
+    "order_id",
+    "product_id",
+    "category_id",
+    "category_code",
+    "brand",
+    "price",
+]
 
 
 def on_records(body: str) -> str:
@@ -136,12 +149,11 @@ def _quality() -> dict[str, str]:
     return {
         "row_count": on_records("SELECT count(*) AS row_count FROM tx"),
         "row_count_after_drop": on_base("SELECT count(*) AS row_count FROM bvw"),
-        "null_profile_raw": on_records(f"SELECT CAST(0 AS BIGINT) AS serial_number, {nulls(stored)} FROM tx"),
+        "null_profile_raw": on_records(f"SELECT {nulls(['serial_number', *stored])} FROM tx"),
         "null_profile_after_drop": on_base(f"SELECT {nulls(stored)} FROM bvw"),
         "null_profile_view": on_view(f"SELECT CAST(0 AS BIGINT) AS id, {nulls(VIEW_COLUMNS)} FROM vw"),
-        "serial_uniqueness": (
-            "SELECT count(DISTINCT n) AS distinct_serials, count(*) AS row_count "
-            "FROM (SELECT row_number() OVER () AS n FROM lineitem)"
+        "serial_uniqueness": on_records(
+            "SELECT count(DISTINCT serial_number) AS distinct_serials, count(*) AS row_count FROM tx"
         ),
         "user_frequency": on_records("SELECT user_id, count(*) AS total_per_userid FROM tx GROUP BY user_id"),
         "incomplete_row_count": on_records(f"SELECT count(*) AS incomplete_rows FROM tx WHERE {gap}"),
@@ -149,12 +161,16 @@ def _quality() -> dict[str, str]:
         "incomplete_rows": on_records(f"SELECT {STORED} FROM tx WHERE {gap} ORDER BY {raw_order} LIMIT 20"),
         "incomplete_rows_after_drop": on_base(f"SELECT {', '.join(BASE_COLUMNS)} FROM bvw WHERE {gap}"),
         "category_id_conflicts": on_records(
-            "SELECT category_id, max_names FROM (SELECT category_id, count(DISTINCT category_code) AS max_names "
-            "FROM tx GROUP BY category_id) WHERE max_names >= 2"
+            "SELECT category_id, count(DISTINCT category_code) AS max_names "
+            "FROM tx GROUP BY category_id HAVING count(DISTINCT category_code) > 1"
         ),
         "product_brand_conflicts": on_records(
-            "SELECT product_id, brand_count FROM (SELECT product_id, count(DISTINCT brand) AS brand_count "
-            "FROM tx GROUP BY product_id) WHERE brand_count >= 2"
+            "SELECT product_id, count(DISTINCT brand) AS brand_count "
+            "FROM tx GROUP BY product_id HAVING count(DISTINCT brand) > 1"
+        ),
+        "category_brand_conflicts": on_records(
+            "SELECT category_id, count(DISTINCT brand) AS brand_count "
+            "FROM tx GROUP BY category_id HAVING count(DISTINCT brand) > 1"
         ),
         "unlabelled_row_count": on_view(
             "SELECT count(*) AS unlabelled_rows FROM vw WHERE starts_with(category_code, 'unlabelled')"
@@ -221,8 +237,8 @@ def _cleaning() -> dict[str, str]:
         "category_map_by_mode": on_records(mode),
         "impute_category": on_view("SELECT order_id, category_id, category_code FROM vw"),
         "impute_brand": on_view("SELECT order_id, product_id, brand FROM vw"),
-        "transactions_view": on_view(f"SELECT {', '.join(VIEW_COLUMNS)} FROM vw"),
-        "transactions_view_ids": on_records(ids),
+        "purchases_view": on_view(f"SELECT {', '.join(VIEW_COLUMNS)} FROM vw"),
+        "purchases_view_ids": on_records(ids),
         "baseline_view": on_base(f"SELECT {', '.join(BASE_COLUMNS)} FROM bvw"),
     }
 
@@ -487,8 +503,13 @@ def _sources() -> dict[str, str]:
     stored = f"{STORED}, normalized_event_time"
     strategy = _strategy()
     return {
-        "read_transactions": on_clean(f"SELECT {stored} FROM clean"),
+        "read_purchases": on_clean(f"SELECT {stored} FROM clean"),
         "write_clean": on_clean(f"SELECT {stored}, year, month FROM dated"),
+        "baseline_from_stored": on_base(
+            f"SELECT month, count(*) AS monthly_sales, {money('sum(cents)')} AS monthly_sales_revenue "
+            "FROM bvw WHERE year = 2020 GROUP BY month"
+        ),
+        "append_ids": on_records("SELECT count(*) AS row_count, count(*) AS distinct_ids FROM tx"),
         "export_reports": strategy["brand_master"],
         "portfolio_from_summaries": strategy["strategy_portfolio"],
     }

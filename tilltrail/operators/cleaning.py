@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 from tilltrail import schema as S
 from tilltrail.functions import columns as C
 
-IDS_PER_BUCKET = 1_000_000
+DIGIT_BITS = 21
+SPREAD = 4096
+
+# The stored table is cut by year and month of the normalized clock, under names of their own.
+CLEAN_CLOCK = "normalized_event_time"
+CLEAN_YEAR, CLEAN_MONTH = "clean_year", "clean_month"
 
 
 def drop_serial(df: DataFrame) -> DataFrame:
@@ -34,38 +39,47 @@ def normalize_event_time(
     return df.withColumn("normalized_event_time", C.hours_before("event_time", hours))
 
 
-def add_arrival_id(df: DataFrame) -> DataFrame:
-    """Unique ids in order of arrival, without a shuffle.
+def add_arrival_id(df: DataFrame, after: int = 0) -> DataFrame:
+    """Unique ids above ``after`` in order of arrival, without a shuffle.
 
     They depend on how the input is split into tasks, so they belong where a table is written:
     once stored they stay. Do not put two branches of one query on top of them.
     """
-    return df.withColumn("id", F.monotonically_increasing_id() + 1)
+    return df.withColumn("id", F.monotonically_increasing_id() + 1 + after)
 
 
-def add_surrogate_id(
-    df: DataFrame, order_by: str = "serial_number", per_bucket: int = IDS_PER_BUCKET
-) -> DataFrame:
-    """Dense ids 1..n in the order of a unique number, the same in every run.
+def add_surrogate_id(df: DataFrame, order_by: str = "serial_number") -> DataFrame:
+    """Dense ids 1..n in the order of a number, the same in every run; rows without it come last.
 
-    Rows are cut into ranges of ``per_bucket`` consecutive numbers. As the number is unique no
-    range can hold more rows than that, so each is numbered in one task, and only the row counts
-    of the ranges (one small row per ``per_bucket`` records) are added up in sequence.
+    The number is cut into digits of ``DIGIT_BITS``. Rows that agree in all but the last digit are
+    numbered in one task, and what comes before them is added up digit by digit, so no window has
+    more than 2^21 rows, however sparse the numbers are (the number is meant to be unique; rows
+    that repeat it stay together). Rows without a number are spread by a hash.
     """
-    ranged = df.withColumn("_range", F.expr(f"{order_by} div {per_bucket}"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    number = F.coalesce(F.col(order_by).cast("long"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
+    ranged = df.withColumns(
+        {
+            "_absent": F.col(order_by).isNull(),
+            "_high": F.shiftright(number, 2 * DIGIT_BITS),
+            "_middle": F.shiftright(number, DIGIT_BITS),
+            "_low": F.when(F.col(order_by).isNull(), number).otherwise(0),
+        }
     )
-    within = Window.partitionBy("_range").orderBy(order_by)
-    return (
-        ranged.withColumn("_place", F.row_number().over(within))
-        .join(starts, "_range", "left")
-        .withColumn("id", F.col("_start") + F.col("_place"))
-        .drop("_range", "_start", "_place")
+    keys = ["_absent", "_high", "_middle", "_low"]
+    ranges = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    highs = ranges.groupBy("_absent", "_high").agg(F.sum("_rows").alias("_rows"))
+    earlier = Window.orderBy("_absent", "_high").rowsBetween(Window.unboundedPreceding, -1)
+    bases = highs.select("_absent", "_high", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("_absent", "_high").orderBy("_middle", "_low").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .join(bases, ["_absent", "_high"])
+        .select(*keys, (F.col("_base") + F.col("_before")).alias("_start"))
     )
+    within = Window.partitionBy(*keys).orderBy(order_by)
+    placed = ranged.withColumn("_place", F.row_number().over(within))
+    numbered = placed.join(starts, keys).withColumn("id", F.col("_start") + F.col("_place"))
+    return numbered.select(*[c for c in df.columns if c != "id"], "id")
 
 
 def add_user_type(df: DataFrame) -> DataFrame:
@@ -73,12 +87,11 @@ def add_user_type(df: DataFrame) -> DataFrame:
 
 
 def add_calendar(df: DataFrame, clock: str, padded: bool = False) -> DataFrame:
-    """Year, month, day, weekday and hour. Columns already there (a table's partitions) stay."""
-    wanted = C.calendar(clock, padded)
-    return df.withColumns({name: c for name, c in wanted.items() if name not in df.columns})
+    """Year, month, day, weekday and hour of the given clock."""
+    return df.withColumns(C.calendar(clock, padded))
 
 
-def clean_transactions(raw: DataFrame, hours: int = S.CLOCK_OFFSET_HOURS, with_id: bool = False) -> DataFrame:
+def clean_purchases(raw: DataFrame, hours: int = S.CLOCK_OFFSET_HOURS, with_id: bool = False) -> DataFrame:
     """The clean table: clock fixed, the export's row number gone, an id if asked for.
 
     Columns that the raw frame lacks are left out.
@@ -90,6 +103,6 @@ def clean_transactions(raw: DataFrame, hours: int = S.CLOCK_OFFSET_HOURS, with_i
 
 
 def in_year(df: DataFrame, year: int, clock: str) -> DataFrame:
-    """Rows of one year, by a range on the clock and, if the table has it, by partition."""
+    """Rows of one year, by a range on the clock and, where the table is cut by that clock, by folder."""
     kept = df.filter(C.within_year(clock, year))
-    return kept.filter(F.col("year") == year) if "year" in df.columns else kept
+    return kept.filter(F.col(CLEAN_YEAR) == year) if clock == CLEAN_CLOCK and CLEAN_YEAR in df.columns else kept

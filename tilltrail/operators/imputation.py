@@ -76,14 +76,16 @@ def impute(df: DataFrame, dim: Dimension, mapping: DataFrame) -> DataFrame:
     """Own text, else the mapped one, else a label that names the key. Row by row.
 
     The join carries no hint: Spark broadcasts the map if its measured size allows and otherwise
-    shuffles both sides. The hash of the key as a second join key gives the map an exchange of its
-    own. Without it the map's aggregate would sit right below the join, and Spark splits a hot key
-    only between two plain exchanges.
+    shuffles both sides. The hash of the key as a second join key spreads nothing, but gives the map
+    an exchange of its own. Without it the map's aggregate would sit right below the join, and Spark
+    splits a hot key only between two plain exchanges. A row without a key meets no map.
     """
-    mapped, spread = f"mapped_{dim.value}", F.hash(dim.key)
+    mapped, key_hash = f"mapped_{dim.value}", F.hash(dim.key)
     filled = F.coalesce(F.col(dim.value), F.col(mapped), dim.gap_label())
-    joined = df.withColumn("_spread", spread).join(mapping.withColumn("_spread", spread), [dim.key, "_spread"], "left")
-    return joined.withColumn(dim.value, filled).drop(mapped, "_spread")
+    joined = df.withColumn("_key_hash", key_hash).join(
+        mapping.withColumn("_key_hash", key_hash), [dim.key, "_key_hash"], "left"
+    )
+    return joined.withColumn(dim.value, filled).drop(mapped, "_key_hash")
 
 
 def impute_category(df: DataFrame, raw: DataFrame | None = None, strategy: str = "max") -> DataFrame:
@@ -100,22 +102,33 @@ def _impute_gaps(df: DataFrame, dim: Dimension, raw: DataFrame, strategy: str) -
     return df.filter(~missing).unionByName(filled)
 
 
-def impute_both(df: DataFrame, raw: DataFrame | None = None, strategy: str = "max") -> DataFrame:
-    """Fill both columns. Complete rows pass by; only rows with a gap meet the two joins."""
+def impute_both(
+    df: DataFrame,
+    raw: DataFrame | None = None,
+    strategy: str = "max",
+    maps: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Fill both columns. Complete rows pass by; only rows with a gap meet the two joins.
+
+    ``maps`` holds stored maps by the dimension's name; a map that is not given is made from ``raw``.
+    """
     source = df if raw is None else raw
     gap = F.col(CATEGORY.value).isNull() | F.col(BRAND.value).isNull()
     filled = df.filter(gap)
     for dim in (CATEGORY, BRAND):
-        filled = impute(filled, dim, value_map(source, dim, strategy))
+        given = (maps or {}).get(dim.name)
+        filled = impute(filled, dim, value_map(source, dim, strategy) if given is None else given)
     return df.filter(~gap).unionByName(filled)
 
 
-def impute_groups(groups: DataFrame, dim: Dimension, also_by: tuple[str, ...] = ()) -> DataFrame:
+def impute_groups(groups: DataFrame, dim: Dimension) -> DataFrame:
     """The same filling for rows that are already aggregated by key and text.
 
     Reports need totals, not rows. They aggregate by the raw key and text first, which combines
     before the shuffle, and fill here, where a key has as many rows as it has spellings. The map
     is the largest text over those rows, so no second scan and no join of fact rows is needed.
+    Rows without a key share nothing, so they take no text from each other.
     """
-    mapped = F.max(dim.value).over(Window.partitionBy(*also_by, dim.key))
+    largest = F.max(dim.value).over(Window.partitionBy(dim.key))
+    mapped = F.when(F.col(dim.key).isNotNull(), largest)
     return groups.withColumn(dim.value, F.coalesce(F.col(dim.value), mapped, dim.gap_label()))

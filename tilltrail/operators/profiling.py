@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilltrail import schema as S
+from tilltrail.operators import cleaning
 from tilltrail.operators import measures as M
-from tilltrail.operators.imputation import Dimension, impute_groups
+from tilltrail.operators.imputation import BRAND, CATEGORY, Dimension, impute_groups
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -19,6 +20,18 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns or df.columns])
 
 
+def null_profile_of_view(clean: DataFrame) -> DataFrame:
+    """Missing values per column of the filled view, counted on the clean rows in one scan.
+
+    Filling leaves a gap only where the text and the key it is looked up or named by are both missing.
+    """
+    dated = cleaning.add_calendar(cleaning.add_user_type(clean), cleaning.CLEAN_CLOCK)
+    missing = {c: F.col(c).isNull() for c in S.VIEW_COLUMNS}
+    for dim in (CATEGORY, BRAND):
+        missing[dim.value] = F.col(dim.value).isNull() & F.col(dim.key).isNull()
+    return dated.agg(*[F.count_if(gap).alias(c) for c, gap in missing.items()])
+
+
 def serial_uniqueness(raw: DataFrame) -> DataFrame:
     """Distinct row numbers beside all rows; equal if the number is unique."""
     return raw.agg(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilltrail import schema as S
@@ -13,9 +12,9 @@ from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
 from tilltrail.plans import baseline, strategy, summaries, views
-from tilltrail.session import shared_folder
+from tilltrail.session import scratch_folder
 from tilltrail.sources import tables
-from tilltrail.sources.samples import ALL, sample_transactions
+from tilltrail.sources.samples import ALL, sample_purchases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,19 +26,30 @@ CLOCK = strategy.CLOCK
 
 
 def raw(columns: list[str], run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: run(sample_transactions(spark, folder, columns))
+    return lambda spark, folder: run(sample_purchases(spark, folder, columns))
 
 
 def clean(columns: list[str], run: Callable[[DataFrame], DataFrame], with_id: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        records = sample_transactions(spark, folder, columns)
-        return run(cleaning.clean_transactions(records, with_id=with_id))
+        records = sample_purchases(spark, folder, columns)
+        return run(cleaning.clean_purchases(records, with_id=with_id))
 
     return query
 
 
-def view(columns: list[str], run: Callable[[DataFrame], DataFrame]) -> Query:
-    return clean(columns, lambda df: run(views.transactions_view(df)))
+def maps_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Both maps from frames of two columns, which look up neither orders nor more than they need."""
+    columns = {I.CATEGORY: CATEGORY_COLUMNS, I.BRAND: BRAND_COLUMNS}
+    return {dim.name: I.value_map(sample_purchases(spark, folder, c), dim) for dim, c in columns.items()}
+
+
+def view(columns: list[str], run: Callable[[DataFrame], DataFrame], with_id: bool = False) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        records = sample_purchases(spark, folder, columns)
+        rows = cleaning.clean_purchases(records, with_id=with_id)
+        return run(views.purchases_view(rows, maps=maps_of(spark, folder)))
+
+    return query
 
 
 def complete(columns: list[str], run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -62,7 +72,7 @@ def _quality() -> dict[str, Query]:
         "null_profile_raw": raw(ALL, profiling.null_profile),
         "null_profile_after_drop": raw(STORED, lambda df: profiling.null_profile(cleaning.drop_incomplete(df))),
         "null_profile_view": clean(
-            ALL, lambda df: profiling.null_profile(views.transactions_view(df), S.VIEW_COLUMNS), with_id=True
+            STORED, lambda df: profiling.null_profile_of_view(cleaning.add_arrival_id(df))
         ),
         "serial_uniqueness": raw(["serial_number"], profiling.serial_uniqueness),
         "user_frequency": raw(["user_id"], profiling.user_frequency),
@@ -78,6 +88,10 @@ def _quality() -> dict[str, Query]:
         "product_brand_conflicts": raw(
             BRAND_COLUMNS, lambda df: profiling.mapping_conflicts(df, "product_id", "brand", "brand_count")
         ),
+        "category_brand_conflicts": raw(
+            ["category_id", "brand"],
+            lambda df: profiling.mapping_conflicts(df, "category_id", "brand", "brand_count"),
+        ),
         "unlabelled_row_count": clean(
             CATEGORY_COLUMNS, lambda df: profiling.gap_row_count(df, I.CATEGORY, "unlabelled_rows")
         ),
@@ -135,8 +149,8 @@ def _cleaning() -> dict[str, Query]:
         "category_map_by_mode": raw(CATEGORY_COLUMNS, lambda df: I.value_map(df, I.CATEGORY, "mode")),
         "impute_category": raw(["order_id", *CATEGORY_COLUMNS], I.impute_category),
         "impute_brand": raw(["order_id", *BRAND_COLUMNS], I.impute_brand),
-        "transactions_view": view(STORED, lambda df: df),
-        "transactions_view_ids": clean(ALL, lambda df: _id_summary(views.transactions_view(df)), with_id=True),
+        "purchases_view": view(STORED, lambda df: df),
+        "purchases_view_ids": view(ALL, _id_summary, with_id=True),
         "baseline_view": complete(STORED, lambda df: df),
     }
 
@@ -181,49 +195,70 @@ def _strategy() -> dict[str, Query]:
     }
 
 
-def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tilltrail/{uuid.uuid4().hex}"
-
-
 def csv_round_trip(records: DataFrame) -> DataFrame:
     """Records written as purchase CSVs and loaded again with the declared types.
 
     The files hold instants; the sample's clock is ahead of them by the usual offset.
     """
     spark = records.sparkSession
-    folder = _new_folder(spark)
+    folder = scratch_folder(spark, "csv-round-trip")
     instant = F.date_format(C.hours_before("event_time", S.CLOCK_OFFSET_HOURS), "yyyy-MM-dd HH:mm:ss")
     files = records.withColumn("event_time", F.concat(instant, F.lit(" UTC")))
-    files.write.option("header", True).csv(folder)
-    return cleaning.clean_transactions(tables.read_transactions(spark, folder))
+    files.write.mode("overwrite").option("header", True).csv(folder)
+    return cleaning.clean_purchases(tables.read_purchases(spark, folder))
 
 
 def stored_table(df: DataFrame) -> DataFrame:
     """The clean table written by month and scanned again."""
     spark = df.sparkSession
-    folder = _new_folder(spark)
+    folder = scratch_folder(spark, "stored-table")
     tables.write_clean(df, folder)
     return tables.read_clean(spark, folder)
 
 
+def stored_baseline(df: DataFrame) -> DataFrame:
+    """Monthly volume and revenue of the baseline, taken from the stored clean table."""
+    view = views.baseline_view(stored_table(df))
+    volume, revenue = (baseline.run(view, baseline.REPORTS[name]) for name in ("monthly_volume", "monthly_revenue"))
+    return volume.join(revenue, "month")
+
+
+def appended_ids(df: DataFrame) -> DataFrame:
+    """The records stored in two writes, the second one appended: their ids must differ."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark, "appended-table")
+    odd = F.col("order_id") % 2 == 1
+    tables.write_clean(df.filter(~odd), folder)
+    tables.write_clean(df.filter(odd), folder, mode="append")
+    stored = tables.read_clean(spark, folder)
+    return stored.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("distinct_ids"))
+
+
 def exported_report(report: DataFrame) -> DataFrame:
     """A report exported as CSV and read back."""
     spark = report.sparkSession
-    folder = _new_folder(spark)
+    folder = scratch_folder(spark, "exported-report")
     tables.export_reports({"report": report}, folder)
     return spark.read.schema(report.schema).csv(f"{folder}/report", header=True, mode="FAILFAST")
 
 
+def _folders() -> list[Column]:
+    """The folder columns of the stored table under the names of the calendar."""
+    return [F.col(cleaning.CLEAN_YEAR).alias("year"), F.col(cleaning.CLEAN_MONTH).alias("month")]
+
+
 def _sources() -> dict[str, Query]:
     return {
-        "read_transactions": raw(ALL, csv_round_trip),
-        "write_clean": clean(STORED, lambda df: stored_table(df).drop("id")),
+        "read_purchases": raw(ALL, csv_round_trip),
+        "write_clean": clean(STORED, lambda df: stored_table(df).select(*S.CLEAN_COLUMNS[1:], *_folders())),
+        "baseline_from_stored": clean(STORED, stored_baseline),
+        "append_ids": clean(STORED, appended_ids),
         "export_reports": clean(
             ["user_id", *BRAND_COLUMNS, "price"], lambda df: exported_report(strategy.brand_master(df))
         ),
         "portfolio_from_summaries": clean(
             STORED,
-            lambda df: summaries.all_reports(df.sparkSession, df, uuid.uuid4().hex)["10_unified_strategy_portfolio"],
+            lambda df: summaries.all_reports(df.sparkSession, df)["10_unified_strategy_portfolio"],
         ),
     }
 

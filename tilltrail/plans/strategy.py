@@ -342,7 +342,8 @@ def with_category(groups: DataFrame, facts: DataFrame) -> DataFrame:
 
 def unlabelled_deep_dive(facts: DataFrame, k: int = 15) -> DataFrame:
     """The unlabelled categories with most revenue and the brand that dominates each."""
-    gaps = with_category(sold_groups(facts), facts).filter(CATEGORY.is_gap())
+    open_ = sold_groups(facts).filter(F.col(CATEGORY.value).isNull() | CATEGORY.is_gap())
+    gaps = with_category(open_, facts).filter(CATEGORY.is_gap())
     per_brand = gaps.groupBy("category_code", "brand").agg(*M.merged_measures())
     labels = per_brand.groupBy("category_code").agg(
         most_frequent("brand", "vol").alias("anchor_brand"), *M.merged_measures()
@@ -489,4 +490,3 @@ EXPORTS = {
     "09_unknown_brands": unknown_brand_deep_dive,
     "10_unified_strategy_portfolio": strategy_portfolio,
 }
-EXPORTS_BY_QUERY = {report.__name__: name for name, report in EXPORTS.items()}

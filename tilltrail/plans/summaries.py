@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tilltrail.operators import measures as M
 from tilltrail.plans import strategy
 from tilltrail.plans.strategy import CLOCK, with_user_type
-from tilltrail.session import shared_folder
+from tilltrail.session import remove_folder, scratch_folder
 
 
 def product_summary(facts: DataFrame) -> DataFrame:
@@ -29,16 +29,16 @@ def hour_summary(facts: DataFrame) -> DataFrame:
     return with_user_type(facts).groupBy(hour.alias(CLOCK), "user_type").agg(*M.row_measures())
 
 
-def store(spark: SparkSession, summary: DataFrame, name: str, run: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/tilltrail/{run}/{name}"
+def store(spark: SparkSession, summary: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(spark, f"summaries/{name}")
     summary.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(summary.schema).parquet(path)
 
 
-def all_reports(spark: SparkSession, clean: DataFrame, run: str) -> dict[str, DataFrame]:
-    """The ten exported reports by file name; ``run`` names the folder of the summaries."""
-    products = store(spark, product_summary(clean), "products", run)
-    hours = store(spark, hour_summary(clean), "hours", run)
+def all_reports(spark: SparkSession, clean: DataFrame) -> dict[str, DataFrame]:
+    """The ten exported reports by file name; they read the stored summaries until these are removed."""
+    products = store(spark, product_summary(clean), "products")
+    hours = store(spark, hour_summary(clean), "hours")
     timed = {strategy.monthly_seasonality, strategy.payday_analysis, strategy.weekday_rhythm, strategy.hourly_analysis}
     reports = {}
     for name, report in strategy.EXPORTS.items():
@@ -49,3 +49,8 @@ def all_reports(spark: SparkSession, clean: DataFrame, run: str) -> dict[str, Da
         else:
             reports[name] = report(hours if report in timed else products)
     return reports
+
+
+def remove(spark: SparkSession) -> None:
+    """Delete the stored summaries, once the reports are exported."""
+    remove_folder(spark, scratch_folder(spark, "summaries"))

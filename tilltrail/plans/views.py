@@ -10,13 +10,19 @@ from tilltrail.operators import cleaning
 from tilltrail.operators.imputation import impute_both
 
 
-def transactions_view(clean: DataFrame, raw: DataFrame | None = None, strategy: str = "max") -> DataFrame:
+def purchases_view(
+    clean: DataFrame,
+    raw: DataFrame | None = None,
+    strategy: str = "max",
+    maps: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """Clean rows with user type, calendar of the normalized clock, and no gaps.
 
-    The maps come from ``raw`` where given. Columns the clean frame lacks, such as an id that was
+    Stored ``maps`` are taken where given (by name of the dimension), else they are made from ``raw``
+    or the clean rows. Columns the clean frame lacks, such as an id that was
     not asked for, are left out, with all that derives from them.
     """
-    filled = impute_both(clean, raw, strategy)
+    filled = impute_both(clean, raw, strategy, maps)
     typed = filled
     if "user_id" in typed.columns:
         typed = cleaning.add_user_type(typed)

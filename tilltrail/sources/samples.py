@@ -41,7 +41,7 @@ OF_PARTS = {
     "brand": "if(p_partkey % 20 = 0, null, lower(replace(p_brand, '#', '')))",
 }
 OF_LINES = {
-    "serial_number": "serial_number",
+    "serial_number": "l_orderkey * 8 + l_linenumber",
     "user_id": "user_id",
     "event_time": "event_time",
     "order_id": "cast(l_orderkey as decimal(20,0))",
@@ -53,15 +53,12 @@ OF_LINES = {
 }
 
 
-def sample_transactions(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+def sample_purchases(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     wanted = columns or ALL
     unknown = set(wanted) - set(ALL)
     if unknown:
         raise ValueError(f"no such columns: {sorted(unknown)}")
     rows = _table(spark, folder, "lineitem")
-    if "serial_number" in wanted:
-        # Numbered at the scan, before any shuffle, so a repeated read numbers alike.
-        rows = rows.withColumn("serial_number", F.monotonically_increasing_id())
     for name, key, line_key, derived in (
         ("orders", "o_orderkey", "l_orderkey", OF_ORDERS),
         ("part", "p_partkey", "l_partkey", OF_PARTS),

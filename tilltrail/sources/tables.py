@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tilltrail import schema as S
 from tilltrail.operators import cleaning
 from tilltrail.operators.imputation import BRAND, CATEGORY, value_map
+from tilltrail.session import folder_exists
 
 
-def read_transactions(spark: SparkSession, paths: str | list[str], check_lengths: bool = True) -> DataFrame:
+def read_purchases(spark: SparkSession, paths: str | list[str], check_lengths: bool = True) -> DataFrame:
     """All CSV files as one frame with the declared types; a record that does not fit fails.
 
     Text longer than the declared length fails too, on the executors while they read.
@@ -30,17 +31,27 @@ def write_clean(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store the clean table by year and month of the normalized clock.
 
     The rebalance hint sends rows of one month together and splits large months, so files come
-    out evenly sized whatever month most rows fall into. Rows without an id get one first.
+    out evenly sized whatever month most rows fall into. Rows without an id get one first, above
+    all ids that are stored already if they are appended; one writer appends at a time.
     """
     if "id" not in clean.columns:
-        clean = cleaning.add_arrival_id(clean)
-    at = F.col("normalized_event_time")
-    parts = clean.select(*S.CLEAN_COLUMNS).withColumns({"year": F.year(at), "month": F.month(at)})
-    parts.hint("rebalance", "year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
+        stored = _highest_id(clean.sparkSession, path) if mode == "append" else 0
+        clean = cleaning.add_arrival_id(clean, after=stored)
+    at = F.col(cleaning.CLEAN_CLOCK)
+    folders = {cleaning.CLEAN_YEAR: F.year(at), cleaning.CLEAN_MONTH: F.month(at)}
+    parts = clean.select(*S.CLEAN_COLUMNS).withColumns(folders)
+    parts.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).parquet(path)
+
+
+def _highest_id(spark: SparkSession, path: str) -> int:
+    """The highest stored id, 0 where nothing is stored."""
+    if not folder_exists(spark, path):
+        return 0
+    return read_clean(spark, path).agg(F.max("id")).first()[0] or 0
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table with its ``year`` and ``month``; filters on those skip whole folders."""
+    """The stored table with its ``clean_year`` and ``clean_month``; filters on those skip whole folders."""
     return spark.read.parquet(path)
 
 
@@ -50,8 +61,11 @@ def write_maps(raw: DataFrame, category_path: str, brand_path: str) -> None:
     value_map(raw, BRAND).write.mode("overwrite").parquet(brand_path)
 
 
-def export_reports(reports: dict[str, DataFrame], folder: str, single_file: bool = False) -> None:
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def export_reports(reports: dict[str, DataFrame], folder: str) -> None:
     """One CSV folder with a header per report."""
     for name, report in reports.items():
-        out = report.coalesce(1) if single_file else report
-        out.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+        report.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
