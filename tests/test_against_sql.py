@@ -7,8 +7,9 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from conftest import DATA
+from tilltrail.checks.duckdb_sql import all_sql
+from tilltrail.plans.registry import all_queries
 
 FOLDER = f"{DATA}/sf{os.environ.get('TEST_SF', '0.001')}"
 TABLES = (
@@ -32,13 +33,13 @@ def _normal(columns: list[str], rows) -> list[str]:
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_matches_sql(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    cursor = con.execute(entry.oracle_sql()[name])
+    df = all_queries()[name](spark, FOLDER)
+    cursor = con.execute(all_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert _normal(df.columns, df.collect()) == _normal(columns, cursor.fetchall())
