@@ -80,4 +80,44 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# SQL where it can express the result. Trained models (5, 6), the forest (2), 64-bit hashes (3, 4, 10), best fit
+# (7) and byte-level BPE (9) it cannot: their tests compare with brute force, round trips or held-out rows.
+_OP1_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+),
+firsts AS (SELECT hex, min(page_id) AS first_id FROM hashed GROUP BY hex)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((CAST('0x' || substr(h.hex, 1 + (i // 4) * 5, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed h JOIN firsts f ON h.hex = f.hex
+"""
+
+_CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|\|[A-Za-z0-9_:]*\|>)"
+
+
+def _escaped(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '{_CONTROL}', '\\1\\\\\\2\\3', 'g')"
+
+
+_OP8_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(23 + length({_escaped("role")}) + length({_escaped("text")})) AS chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments,
+  CAST(0 AS BIGINT) AS expanded_tokens
+FROM said
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1_SQL, "op8_chat_format": _OP8_SQL}
