@@ -56,6 +56,11 @@ def _visited(parts: Column) -> Column:
     is_text = lambda part: F.coalesce(part["type"] == "text", F.lit(True))
     attached = F.filter(parts, lambda p: ~is_text(p))
 
+    def recorded(part: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("number"), part["type"].alias("type"), part["ref"].alias("ref"), _expanded(part).alias("tokens")
+        )
+
     def visit(part: Column, i: Column) -> Column:
         number = F.size(F.filter(F.slice(parts, 1, i + 1), lambda p: ~is_text(p)))
         kind = F.regexp_replace(F.coalesce(part["type"], F.lit("")), "[^A-Za-z0-9_]", "_")
@@ -63,10 +68,7 @@ def _visited(parts: Column) -> Column:
         return F.when(is_text(part), escape(part["text"])).otherwise(holder)
 
     text = F.array_join(F.transform(parts, visit), "")
-    references = F.transform(
-        attached, lambda p, i: F.struct((i + 1).alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens"))
-    )
-    return F.struct(text.alias("text"), references.alias("attachments"))
+    return F.struct(text.alias("text"), F.transform(attached, recorded).alias("attachments"))
 
 
 def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
@@ -100,20 +102,28 @@ def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) ->
             "start": F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)) + F.col("head"),
         }
     )
-    trained = F.when(F.col("role") == trained_role, F.struct("place", "start", F.col("length").cast("long").alias("length")))
+    span = F.struct("place", "start", F.col("length").cast("long").alias("length"))
+    trained = F.when(F.col("role") == trained_role, span)
     refs = F.when(F.size("attachments") > 0, F.struct("place", "attachments"))
     grouped = placed.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("place", "segment"))).alias("segments"),
         F.sort_array(F.collect_list(trained)).alias("spans"),
         F.sort_array(F.collect_list(refs)).alias("refs"),
     )
-    attachments = F.flatten(
-        F.transform("refs", lambda r: F.transform(r["attachments"], lambda a: F.struct(r["place"].alias("place"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))
+    fields = ("number", "type", "ref", "tokens")
+    by_turn = F.transform(
+        "refs",
+        lambda r: F.transform(
+            r["attachments"], lambda a: F.struct(r["place"].alias("place"), *[a[name].alias(name) for name in fields])
+        ),
     )
+    attachments = F.flatten(by_turn)
     return grouped.select(
         "conv_id",
         F.array_join(F.col("segments.segment"), "").alias("formatted"),
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias(
+            "loss_spans"
+        ),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda total, a: total + a["tokens"]).alias("expanded_tokens"),
     )
@@ -135,8 +145,10 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped span by span."""
-    said = F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return F.array_join(said, "")
+    def read(span: Column) -> Column:
+        return unescape(F.substring(formatted, (span["start"] + 1).cast("int"), span["length"].cast("int")))
+
+    return F.array_join(F.transform(spans, read), "")
 
 
 def format_digest(formatted: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     """The longest rule that fits, as a struct of ``rule`` and ``verdict``; of equal length the first by text."""
     out = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for rule in sorted(rules, key=lambda r: (-len(r.pattern), r.pattern)):
-        out = out.when(rule.fits(host, path), F.struct(F.lit(rule.pattern).alias("rule"), F.lit(rule.verdict).alias("verdict")))
+        found = F.struct(F.lit(rule.pattern).alias("rule"), F.lit(rule.verdict).alias("verdict"))
+        out = out.when(rule.fits(host, path), found)
     return out
 
 
@@ -131,7 +132,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, training_rows: int
     """
     known = with_host_and_path(pages.select("page_id", "url"))
     ruled = known.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    labelled = ruled.filter("_fit IS NOT NULL").select("url", "host", "path", (F.col("_fit.verdict") == BLOCK).cast("double").alias("label"))
+    label = (F.col("_fit.verdict") == BLOCK).cast("double").alias("label")
+    labelled = ruled.filter("_fit IS NOT NULL").select("url", "host", "path", label)
     sample = with_features(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(training_rows))
     sample = stored(sample, "labelled-urls")
     labels = [r["label"] for r in sample.select("label").distinct().collect()]

@@ -106,10 +106,10 @@ def _header(name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between occurrences of the magic: ``file``, ``block``, ``row`` and the bytes."""
+    """What stands between occurrences of the magic: ``file`` (a hash of its path), ``block``, ``row``, the bytes."""
     read = spark.read.option("lineSep", MAGIC).text(path)
     return read.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         "value",
@@ -127,7 +127,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # Latin letters only stand in a header's names; its values are measured in bytes.
     head = F.substring_index("value", HEADER_END, 1)
     parsed = pieces.select("file", "block", "row", "value", head.alias("head"))
-    length = F.expr("try_cast(nullif(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)', 1), '') AS bigint)")
+    length = _header("Content-Length").try_cast("long")
     has_end = F.col("value").contains(HEADER_END)
     sized = parsed.select(
         "file",
@@ -135,7 +135,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         "row",
         F.octet_length("value").cast("long").alias("bytes"),
         (F.octet_length("head") + len(HEADER_END)).cast("long").alias("head_bytes"),
-        F.when(has_end, length).alias("content_bytes"),
+        F.when(has_end & (length >= 0), length).alias("content_bytes"),
         *[
             _header(name).alias(column)
             for column, name in (
@@ -209,7 +209,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     owned = marks.select("file", "block", "row", "offset", owner.alias("owner"))
     needed = owned.join(parted.select("file", F.col("offset").alias("owner")), ["file", "owner"])
     found = _pieces(spark, path).join(needed, ["file", "block", "row"])
-    joined = found.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("pieces"))
+    pieces = F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("pieces")
+    joined = found.groupBy("file", "owner").agg(pieces)
     text = F.array_join(F.col("pieces.value"), MAGIC)
     contents = joined.select("file", F.col("owner").alias("offset"), text.alias("_value"))
     rebuilt = parted.drop("whole", "payload_digest").join(contents, ["file", "offset"])
@@ -245,6 +246,7 @@ def archive_round_trip(pages: DataFrame, smallest: int = 0, compression: str = "
     first = responses.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"))
     first = first.select(F.col("payload_digest").alias("declared"), "payload_digest", "payload_bytes", "_first")
     revisits = own.filter(F.col("record_type") == REVISIT).drop("payload_bytes", "payload_digest")
-    revisits = revisits.join(first, (revisits["declared"] == first["declared"]) & revisits["refers_to"].eqNullSafe(first["_first"]))
+    same = (revisits["declared"] == first["declared"]) & revisits["refers_to"].eqNullSafe(first["_first"])
+    revisits = revisits.join(first, same)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select(*names).unionByName(revisits.select(*names))
