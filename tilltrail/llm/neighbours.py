@@ -26,6 +26,7 @@ SHARE = 1.3
 BUCKETS = 4
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 8_192
+SEARCHED = 64
 TOLERANCE = 1e-9
 
 
@@ -58,26 +59,44 @@ class Forest:
             out[:, tree] = node - self.inner
         return out
 
-    def search(self, query: np.ndarray, held: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-        """Leaves as (tree, leaf), nearest branches first, until they hold ``wanted`` rows.
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """How far each leaf is from each query: the farthest boundary on the way to it.
 
-        A branch is as far as the farthest boundary between it and the query.
+        By query, tree and leaf; negative where the query is inside by that much.
         """
-        margins = self.normals[:, :, :-1] @ query - self.limits if self.depth else None
-        queue = [(-np.inf, tree, 0) for tree in range(len(self.normals))]
-        found, rows = [], 0
-        while queue and rows < wanted:
-            far, tree, node = heapq.heappop(queue)
-            if node >= self.inner:
-                leaf = node - self.inner
-                if held[tree, leaf]:
-                    rows += int(held[tree, leaf])
-                    found.append((tree, leaf))
-                continue
-            margin = float(margins[tree, node])
-            heapq.heappush(queue, (max(far, margin), tree, 2 * node + 1))
-            heapq.heappush(queue, (max(far, -margin), tree, 2 * node + 2))
-        return found
+        out = np.empty((len(queries), len(self.normals), self.inner + 1))
+        for tree, (normals, limits) in enumerate(zip(self.normals, self.limits, strict=True)):
+            margins = queries @ normals[:, :-1].T - limits
+            far = np.full((len(queries), 1), -np.inf)
+            for level in range(self.depth):
+                own = margins[:, 2**level - 1 : 2 ** (level + 1) - 1]
+                far = np.stack([np.maximum(far, own), np.maximum(far, -own)], axis=2).reshape(len(queries), -1)
+            out[:, tree] = far
+        return out
+
+
+def search(distances: np.ndarray, held: np.ndarray, wanted: float) -> list[tuple[int, int]]:
+    """The leaves that one query opens, as (tree, leaf), until they hold ``wanted`` rows.
+
+    One priority queue holds the nearest unopened leaf of every tree.
+    """
+    order = np.argsort(distances, axis=1, kind="stable")
+    near = np.take_along_axis(distances, order, axis=1).tolist()
+    leaves = order.tolist()
+    rows_of = np.take_along_axis(held, order, axis=1).tolist()
+    queue = [(near[tree][0], tree, 0) for tree in range(len(near))]
+    heapq.heapify(queue)
+    found, rows = [], 0
+    while queue and rows < wanted:
+        _, tree, at = queue[0]
+        if rows_of[tree][at]:
+            rows += rows_of[tree][at]
+            found.append((tree, leaves[tree][at]))
+        if at + 1 < len(near[tree]):
+            heapq.heapreplace(queue, (near[tree][at + 1], tree, at + 1))
+        else:
+            heapq.heappop(queue)
+    return found
 
 
 def fit(sample: np.ndarray, rows: int, longest: float, trees: int, leaf_rows: int, seed: int = 42) -> Forest:
@@ -87,7 +106,7 @@ def fit(sample: np.ndarray, rows: int, longest: float, trees: int, leaf_rows: in
     """
     wanted = np.log2(max(1, rows / leaf_rows))
     possible = np.log2(max(1, len(sample) / 8))
-    depth = max(0, int(np.ceil(min(wanted, possible))))
+    depth = max(0, round(float(min(wanted, possible))))
     draw = np.random.default_rng(seed)
     inner = 2**depth - 1
     shape = Forest(depth, longest, np.zeros((trees, inner, sample.shape[1] + 1)), np.zeros((trees, inner)))
@@ -201,9 +220,11 @@ def _deal_queries(shared):
         for batch in batches:
             at, bucket, block, leaves = [], [], [], []
             vectors = _matrix(batch.column("vector"))
-            for i, vector in enumerate(vectors):
+            for i in range(len(vectors)):
+                if i % SEARCHED == 0:
+                    distances = index.forest.distances(vectors[i : i + SEARCHED])
                 opened: dict[int, list[int]] = {}
-                for tree, leaf in index.forest.search(vector, index.held, index.wanted):
+                for tree, leaf in search(distances[i % SEARCHED], index.held, index.wanted):
                     opened.setdefault(int(index.buckets[tree, leaf]), []).append(leaf)
                 for b, own in opened.items():
                     for k in range(index.blocks[b]):
@@ -237,10 +258,41 @@ def _first_of_equals(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray
     return order[by_group[place < k]]
 
 
+class _Best:
+    """Rows that can be among the ``k`` best of each query, so far.
+
+    Rough scores come from matrix products, whose last bits depend on where a row stands. So what
+    is close to the ``k``-th is kept too, and what is left at the end is scored pair by pair: equal
+    vectors get equal scores.
+    """
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _limits(self, who: np.ndarray | slice) -> np.ndarray:
+        kth = self.scores[who].min(axis=1)
+        return np.where(np.isfinite(kth), kth - TOLERANCE * np.maximum(1.0, np.abs(kth)), -np.finfo(float).max)
+
+    def add(self, who: np.ndarray, rows: np.ndarray, rough: np.ndarray) -> None:
+        at, row = np.nonzero(rough >= self._limits(who)[:, None])
+        self.found.append((who[at], rows[row], rough[at, row]))
+        both = np.concatenate([self.scores[who], rough], axis=1)
+        self.scores[who] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        who, rows, rough = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        keep = rough >= self._limits(slice(None))[who]
+        return who[keep], rows[keep]
+
+
 def _score_block(k: int):
     def of_group(queries: pa.Table, rows: pa.Table) -> pa.Table:
         query_ids = queries.column("vec_id").to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        query, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(query_ids) and len(rows):
             asked = _matrix(queries.column("vector").combine_chunks())
             opened = queries.column("leaves").combine_chunks()
@@ -248,41 +300,34 @@ def _score_block(k: int):
             wanted = opened.flatten().to_numpy()
             ids, leaf = rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy()
             vectors = _matrix(rows.column("vector").combine_chunks())
-            for one in np.unique(wanted):
-                inside = np.flatnonzero(leaf == one)
-                if not len(inside):
-                    continue
-                inside = inside[_first_of_equals(vectors[inside], ids[inside], k + 1)]
-                who = owner[wanted == one]
-                found.append(_best(asked[who], query_ids[who], vectors[inside], ids[inside], k))
-        if not found:
-            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            best = _Best(len(query_ids), k)
+            for who, inside in _by_leaf(owner, wanted, leaf):
+                if len(inside) > k + 1:
+                    inside = inside[_first_of_equals(vectors[inside], ids[inside], k + 1)]
+                rough = asked[who] @ vectors[inside].T
+                rough[query_ids[who][:, None] == ids[inside][None, :]] = -np.inf
+                best.add(who, inside, rough)
+            q, r = best.left()
+            query, row, score = query_ids[q], ids[r], np.empty(len(q))
+            for at in range(0, len(q), BLOCK_ROWS):
+                part = slice(at, at + BLOCK_ROWS)
+                score[part] = (asked[q[part]] * vectors[r[part]]).sum(axis=1)
         order = np.lexsort((row, -score, query))
         query, row, score = query[order], row[order], score[order]
-        start = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - start < k
+        keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
         columns = {"query_id": pa.array(query[keep]), "vec_id": pa.array(row[keep]), "score": pa.array(score[keep])}
         return pa.table(columns)
 
     return of_group
 
 
-def _best(asked: np.ndarray, asking: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """The ``k`` best rows of each query, scored one pair at a time.
-
-    A matrix product picks all that can be among them; its last bits depend on where a row
-    stands, so what is close to the ``k``-th is kept, and equal vectors get equal scores.
-    """
-    rough = asked @ vectors.T
-    rough[asking[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-    else:
-        kth = np.full(len(asked), -np.finfo(float).max)
-    scale = np.maximum(1.0, np.abs(np.where(np.isfinite(kth), kth, 0.0)))
-    q, r = np.nonzero((rough >= (kth - TOLERANCE * scale)[:, None]) & (rough > -np.inf))
-    return asking[q], ids[r], (asked[q] * vectors[r]).sum(axis=1)
+def _by_leaf(owner: np.ndarray, wanted: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each leaf the queries that open it and the rows it holds."""
+    asks, holds = np.argsort(wanted, kind="stable"), np.argsort(leaf, kind="stable")
+    opened, rows = wanted[asks], leaf[holds]
+    for one in np.intersect1d(opened, rows):
+        who = asks[np.searchsorted(opened, one) : np.searchsorted(opened, one, side="right")]
+        yield owner[who], holds[np.searchsorted(rows, one) : np.searchsorted(rows, one, side="right")]
 
 
 # --- search -------------------------------------------------------------------------------------
