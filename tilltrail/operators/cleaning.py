@@ -48,15 +48,18 @@ def add_arrival_id(df: DataFrame, after: int = 0) -> DataFrame:
     return df.withColumn("id", F.monotonically_increasing_id() + 1 + after)
 
 
-def add_surrogate_id(df: DataFrame, order_by: str = "serial_number") -> DataFrame:
+def add_surrogate_id(
+    df: DataFrame, order_by: str = "serial_number", spread_by: list[str] | None = None
+) -> DataFrame:
     """Dense ids 1..n in the order of a number, the same in every run; rows without it come last.
 
     The number is cut into digits of ``DIGIT_BITS``. Rows that agree in all but the last digit are
     numbered in one task, and what comes before them is added up digit by digit, so no window has
     more than 2^21 rows, however sparse the numbers are (the number is meant to be unique; rows
-    that repeat it stay together). Rows without a number are spread by a hash.
+    that repeat it stay together). Rows without a number are spread by a hash of ``spread_by``, or of
+    all columns.
     """
-    number = F.coalesce(F.col(order_by).cast("long"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
+    number = F.coalesce(F.col(order_by).cast("long"), F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SPREAD)))
     ranged = df.withColumns(
         {
             "_absent": F.col(order_by).isNull(),
@@ -96,7 +99,9 @@ def clean_purchases(raw: DataFrame, hours: int = S.CLOCK_OFFSET_HOURS, with_id:
 
     Columns that the raw frame lacks are left out.
     """
-    df = add_surrogate_id(raw) if with_id else raw
+    # The keys of a purchased item spread rows without a number; more columns would have to be read.
+    keys = [c for c in ("order_id", "product_id") if c in raw.columns]
+    df = add_surrogate_id(raw, spread_by=keys) if with_id else raw
     if "event_time" in df.columns:
         df = normalize_event_time(df, hours)
     return df.select(*[c for c in S.CLEAN_COLUMNS if c in df.columns])
