@@ -64,6 +64,13 @@ def test_placeholders_alone_are_no_evidence(spark):
     assert found_in(spark, [numbers, " ".join(str(i * 7) for i in range(30))], [numbers]) == {}
 
 
+def test_values_are_those_of_their_own_words(spark):
+    before = ["on 2020-01-05 then", "call 555-7713 now.", "write to the.72@mail3.example.com or", "it took 7 Days and", "id 3fa9c07e1b and"]
+    assert set(found_in(spark, [f"{b} {QUESTION}" for b in before], [QUESTION])) == {(i, 0) for i in range(len(before))}
+    assert set(found_in(spark, [f"{b} {CHANGED}" for b in before], [QUESTION])) == {(i, 0) for i in range(len(before))}
+    assert found_in(spark, [f"{b} {MIXED}" for b in before], [QUESTION]) == {}
+
+
 def test_broadcast_and_shuffle_agree(spark):
     texts = [f"{FILLER} {QUESTION}", CHANGED, FILLER]
     assert found_in(spark, texts, [QUESTION], broadcast_windows=0) == found_in(spark, texts, [QUESTION])

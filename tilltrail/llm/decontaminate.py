@@ -32,10 +32,16 @@ _MARK = "\u0001"
 NAME, NUMBER, UNIT = f"{_MARK}name", f"{_MARK}number", f"{_MARK}unit"
 # A capitalised word inside a sentence is taken for a name.
 _NAME = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}\p{L}*"
+_NAME_IN_WORD = r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}\p{L}*"
 _NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
 _UNIT = rf"(?i:{'|'.join(UNITS)})\b"
+_QUANTITY = rf"{_NUMBER}(?:{_UNIT})?"
 _BREAKS = r"[\s.,;:!?\"()\[\]]+"
+# The same breaks in a text that still has its numbers: a mark between two digits belongs to the number.
+_BREAKS_OUTSIDE_NUMBERS = r"(?:[\s;!?\"()\[\]]|[.,:](?!(?<=[0-9].)[0-9]))+"
 _ENDS = " \t\n\x0b\f\r.,;:!?\"()[]"
+# Forms in which items are looked up.
+FORMS = ["numbers", "sentence"]
 
 
 def _plain(text: Column) -> Column:
@@ -43,59 +49,81 @@ def _plain(text: Column) -> Column:
     return F.when(text.contains(_MARK), F.translate(text, _MARK, "")).otherwise(text)
 
 
-def template(text: Column, names: bool = True) -> Column:
-    """The words of a text in lower case, with placeholders; names are replaced if asked for.
+def _numbered(text: Column) -> Column:
+    """A text with placeholders for its numbers and their units."""
+    out = F.regexp_replace(text, _NUMBER, NUMBER)
+    return F.regexp_replace(out, rf"({NUMBER})(\s?){_UNIT}", f"$1$2{UNIT}")
 
-    A number and its unit are two placeholders and one value. Null counts as empty, and an empty
-    text is one empty word.
-    """
-    out = _plain(text)
-    if names:
-        out = F.regexp_replace(out, _NAME, NAME)
-    out = F.regexp_replace(out, _NUMBER, NUMBER)
-    out = F.regexp_replace(out, rf"({NUMBER})(\s?){_UNIT}", f"$1$2{UNIT}")
-    return F.split(F.btrim(F.lower(out), F.lit(_ENDS)), _BREAKS)
 
+def _split(text: Column, breaks: str = _BREAKS) -> Column:
+    return F.split(F.btrim(text, F.lit(_ENDS)), breaks)
 
-def _values(text: Column, names: bool = True) -> Column:
-    """What the placeholders of a template stand for, in their order."""
-    quantity = rf"{_NUMBER}(?:\s?{_UNIT})?"
-    pattern = f"{_NAME}|{quantity}" if names else quantity
-    return F.regexp_extract_all(_plain(text), F.lit(pattern), F.lit(0))
 
+def _with_words(rows: DataFrame) -> DataFrame:
+    """Rows with the words of their text in several forms, place by place the same words.
 
-def _slots(words: Column) -> Column:
-    """Of each placeholder that has a value: its place among the words."""
-    places = F.transform(words, lambda w, i: F.when(w.contains(NAME) | w.contains(NUMBER), i))
-    return F.filter(places, lambda i: i.isNotNull())
+    ``cased`` are the words as they stand; the others are in lower case: ``numbers`` has placeholders for
+    numbers and units, ``sentence`` for names inside sentences too. Null counts as empty, and an empty
+    text is one empty word.
+    """
+    whole = rows.withColumn("_text", _plain(F.col("text"))).withColumn("_numbered", _numbered(F.col("_text")))
+    forms = {
+        "cased": _split(F.col("_text"), _BREAKS_OUTSIDE_NUMBERS),
+        "numbers": _split(F.lower("_numbered")),
+        "sentence": _split(F.lower(F.regexp_replace("_numbered", _NAME, NAME))),
+    }
+    return whole.select(*rows.columns, *[words.alias(name) for name, words in forms.items()])
+
+
+def _values(at: Column, names: Column) -> Column:
+    """What the placeholders of the word at a place stand for: its numbers, each with its unit, and its names."""
+    words, numbers = F.col("cased"), F.col("numbers")
+    unit_follows = F.get(numbers, at).endswith(NUMBER) & F.get(numbers, at + 1).startswith(UNIT)
+    word = F.concat(F.get(words, at), F.when(unit_follows, F.get(words, at + 1)).otherwise(""))
+    found = F.when(names, F.regexp_extract_all(word, F.lit(f"{_NAME_IN_WORD}|{_QUANTITY}"), F.lit(0)))
+    return F.transform(found.otherwise(F.regexp_extract_all(word, F.lit(_QUANTITY), F.lit(0))), F.lower)
 
 
 def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """A row per window of ``size`` words: its ``hash`` and where it ``start``s.
+    """A row per window of ``size`` words and where it ``start``s.
 
     The outer form keeps Spark from testing the words for emptiness, which makes them twice.
     """
-    cut = rows.select("*", F.posexplode_outer("words").alias("start", "_word"))
-    whole = cut.filter(F.size("words") - F.col("start") >= size)
-    words = [F.get("words", F.col("start") + k) for k in range(size)]
-    return whole.select(*rows.columns, "start", F.xxhash64(*words).alias("hash"))
+    cut = rows.select("*", F.posexplode_outer("numbers").alias("start", "_word")).drop("_word")
+    return cut.filter(F.size("numbers") - F.col("start") >= size)
+
 
+def _window(form: str, size: int) -> list[Column]:
+    """The words of a window in one of the forms."""
+    return [F.get(form, F.col("start") + k) for k in range(size)]
 
-def _window_slots(size: int, names: Column | bool) -> Column:
-    """Placeholders of a window with their values, as ``at`` (counted from its start) and ``value``.
 
-    Evaluated for windows that were found, not for all. A window without a placeholder is told by
-    its words and does not look at the text.
+def _slots(words: Column) -> Column:
+    """Places of a window where placeholders stand, counted from its start, and what those stand for.
+
+    Words are counted, not placeholders: a word may hold several, and a number and its unit are one
+    value in two words.
     """
-    inside = _slots(F.slice("words", F.col("start") + 1, size))
-    before = F.size(_slots(F.slice("words", 1, F.col("start"))))
-    if isinstance(names, bool):
-        values = _values(F.col("text"), names)
-    else:
-        values = F.when(names, _values(F.col("text"))).otherwise(_values(F.col("text"), False))
-    slot = "struct<at:int,value:string>"
-    found = F.transform(inside, lambda at, k: F.struct(at.alias("at"), F.lower(F.get(values, before + k)).alias("value")))
-    return F.when(F.size(inside) > 0, found).otherwise(F.array().cast(f"array<{slot}>"))
+    places = F.transform(words, lambda w, k: F.struct(k.alias("at"), w.contains(NAME).alias("names"), w.alias("word")))
+    held = F.filter(places, lambda p: p["names"] | p["word"].contains(NUMBER))
+    return F.transform(
+        held,
+        lambda p: F.struct(p["at"], p["names"], _values(F.col("start") + p["at"], p["names"]).alias("values")),
+    )
+
+
+def _pairs() -> Column:
+    """The values of a window of the benchmark with those at the same places of the window that was found."""
+
+    def of_word(slot: Column) -> Column:
+        ours = _values(F.col("start") + slot["at"], slot["names"])
+        at = (F.col("item_start") + slot["at"]).alias("at")
+        return F.transform(
+            slot["values"],
+            lambda value, k: F.struct(at, k.alias("nth"), value.alias("item"), F.get(ours, k).alias("copy")),
+        )
+
+    return F.flatten(F.transform("item_slots", of_word))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -105,24 +133,28 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
     with names as words, so copies in other letter case are found as well. Windows that are mostly
     placeholders, and items under ``shortest`` words, would match by chance and are left out.
     """
-    forms = [
-        benchmark.select("item_id", "text", template(F.col("text"), names).alias("words"), F.lit(names).alias("names"))
-        for names in (True, False)
-    ]
-    items = forms[0].unionByName(forms[1]).filter(F.size("words") >= shortest)
-    items = stored(items.withColumn("size", F.least(F.lit(window), F.size("words"))), "benchmark-items")
+    items = _with_words(benchmark.select("item_id", "text")).filter(F.size("numbers") >= shortest)
+    items = stored(items.withColumn("size", F.least(F.lit(window), F.size("numbers"))), "benchmark-items")
     parts = []
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
         cut = _windows(items.filter(F.col("size") == size), size)
-        plain = F.filter(F.slice("words", F.col("start") + 1, size), lambda w: ~w.startswith(_MARK))
-        slots = _window_slots(size, F.col("names"))
-        parts.append(
-            cut.filter(F.size(plain) * 2 > size).select(
-                "hash", "size", "item_id", F.col("start").alias("item_start"), slots.alias("item_slots")
+        for form in FORMS:
+            words = F.array(*_window(form, size))
+            plain = F.filter(words, lambda w: ~w.startswith(_MARK))
+            parts.append(
+                cut.filter(F.size(plain) * 2 > size).select(
+                    F.xxhash64(*_window(form, size)).alias("hash"),
+                    "size",
+                    "item_id",
+                    F.col("start").alias("item_start"),
+                    _slots(words).alias("item_slots"),
+                )
             )
-        )
     if not parts:
-        empty = "hash long, size int, item_id long, item_start int, item_slots array<struct<at:int,value:string>>"
+        empty = (
+            "hash long, size int, item_id long, item_start int, "
+            "item_slots array<struct<at:int,names:boolean,values:array<string>>>"
+        )
         return benchmark.sparkSession.createDataFrame([], empty)
     whole = parts[0]
     for part in parts[1:]:
@@ -151,29 +183,14 @@ def contaminated(
     searched = stored(benchmark_windows(benchmark, window, shortest), "benchmark-windows")
     sizes = sorted(r["size"] for r in searched.select("size").distinct().collect()) or [window]
     small = searched.count() <= broadcast_windows
-    rows = docs.select("doc_id", row_key().alias("row_key"), "text", template(F.col("text")).alias("words"))
+    rows = _with_words(docs.select("doc_id", row_key().alias("row_key"), "text"))
     parts = []
     for size in sizes:
         wanted = searched.filter(F.col("size") == size).drop("size")
-        found = _windows(rows, size).join(F.broadcast(wanted) if small else wanted, "hash")
-        parts.append(
-            found.select(
-                "doc_id",
-                "row_key",
-                "item_id",
-                "item_start",
-                (F.col("start") - F.col("item_start")).alias("shift"),
-                F.zip_with(
-                    _window_slots(size, True),
-                    "item_slots",
-                    lambda ours, theirs: F.struct(
-                        (F.col("item_start") + theirs["at"]).alias("at"),
-                        theirs["value"].alias("item"),
-                        ours["value"].alias("copy"),
-                    ),
-                ).alias("pairs"),
-            )
-        )
+        cut = _windows(rows, size).withColumn("hash", F.xxhash64(*_window("sentence", size)))
+        found = cut.join(F.broadcast(wanted) if small else wanted, "hash")
+        shift = (F.col("start") - F.col("item_start")).alias("shift")
+        parts.append(found.select("doc_id", "row_key", "item_id", "item_start", shift, _pairs().alias("pairs")))
     aligned = parts[0]
     for part in parts[1:]:
         aligned = aligned.unionByName(part)
