@@ -71,6 +71,16 @@ def test_values_are_those_of_their_own_words(spark):
     assert found_in(spark, [f"{b} {MIXED}" for b in before], [QUESTION]) == {}
 
 
+def test_literal_copies_are_found_whatever_they_are_made_of(spark):
+    names = "Otto Hugo Karl Emma Anna Paul Lena Fritz Clara Max Ida Theo Mia Ben Nora"
+    mixed = "Route 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"
+    title = "What Is The Capital Of The Old Kingdom Of France In 1789"
+    texts = [names, f"{FILLER} {names} {FILLER}", mixed, title, title.lower(), mixed.replace("15", "16"), FILLER]
+    found = found_in(spark, texts, [names, mixed, title.lower()])
+    assert set(found) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2), (5, 1)}
+    assert found[0, 0][1] == 0 and found[3, 2][1] == 0
+
+
 def test_broadcast_and_shuffle_agree(spark):
     texts = [f"{FILLER} {QUESTION}", CHANGED, FILLER]
     assert found_in(spark, texts, [QUESTION], broadcast_windows=0) == found_in(spark, texts, [QUESTION])

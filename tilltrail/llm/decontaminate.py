@@ -40,8 +40,9 @@ _BREAKS = r"[\s.,;:!?\"()\[\]]+"
 # The same breaks in a text that still has its numbers: a mark between two digits belongs to the number.
 _BREAKS_OUTSIDE_NUMBERS = r"(?:[\s;!?\"()\[\]]|[.,:](?!(?<=[0-9].)[0-9]))+"
 _ENDS = " \t\n\x0b\f\r.,;:!?\"()[]"
-# Forms in which items are looked up.
-FORMS = ["numbers", "sentence"]
+# Forms in which documents and items are compared.
+LITERAL = "literal"
+FORMS = [LITERAL, "numbers", "sentence"]
 
 
 def _plain(text: Column) -> Column:
@@ -62,13 +63,14 @@ def _split(text: Column, breaks: str = _BREAKS) -> Column:
 def _with_words(rows: DataFrame) -> DataFrame:
     """Rows with the words of their text in several forms, place by place the same words.
 
-    ``cased`` are the words as they stand; the others are in lower case: ``numbers`` has placeholders for
-    numbers and units, ``sentence`` for names inside sentences too. Null counts as empty, and an empty
+    ``cased`` are the words as they stand; the others are in lower case: ``literal`` has no placeholders,
+    ``numbers`` has them for numbers and units, ``sentence`` for names inside sentences too. Null counts as empty, and an empty
     text is one empty word.
     """
     whole = rows.withColumn("_text", _plain(F.col("text"))).withColumn("_numbered", _numbered(F.col("_text")))
     forms = {
         "cased": _split(F.col("_text"), _BREAKS_OUTSIDE_NUMBERS),
+        LITERAL: _split(F.lower("_text"), _BREAKS_OUTSIDE_NUMBERS),
         "numbers": _split(F.lower("_numbered")),
         "sentence": _split(F.lower(F.regexp_replace("_numbered", _NAME, NAME))),
     }
@@ -129,9 +131,10 @@ def _pairs() -> Column:
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """``hash``, ``size``, ``item_id``, ``item_start`` and ``item_slots`` of every window of the benchmark.
 
-    Items shorter than a window are one window. Each item is there with names as placeholders and
-    with names as words, so copies in other letter case are found as well. Windows that are mostly
-    placeholders, and items under ``shortest`` words, would match by chance and are left out.
+    Items shorter than a window are one window. Each item is there word for word, in lower case, and
+    with placeholders for numbers, with and without names. With placeholders, windows that are mostly
+    placeholders would match by chance and are left out; word for word only those of nothing but
+    numbers and units are. Items under ``shortest`` words are left out.
     """
     items = _with_words(benchmark.select("item_id", "text")).filter(F.size("numbers") >= shortest)
     items = stored(items.withColumn("size", F.least(F.lit(window), F.size("numbers"))), "benchmark-items")
@@ -140,9 +143,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
         cut = _windows(items.filter(F.col("size") == size), size)
         for form in FORMS:
             words = F.array(*_window(form, size))
-            plain = F.filter(words, lambda w: ~w.startswith(_MARK))
+            plain = F.size(F.filter(words, lambda w: ~w.startswith(_MARK)))
+            if form == LITERAL:
+                evidence = F.exists(F.array(*_window("numbers", size)), lambda w: ~w.startswith(_MARK))
+            else:
+                evidence = plain * 2 > size
             parts.append(
-                cut.filter(F.size(plain) * 2 > size).select(
+                cut.filter(evidence).select(
                     F.xxhash64(*_window(form, size)).alias("hash"),
                     "size",
                     "item_id",
@@ -187,7 +194,10 @@ def contaminated(
     parts = []
     for size in sizes:
         wanted = searched.filter(F.col("size") == size).drop("size")
-        cut = _windows(rows, size).withColumn("hash", F.xxhash64(*_window("sentence", size)))
+        hashes = [F.xxhash64(*_window(form, size)) for form in FORMS]
+        # What a form shares with the literal one is looked up once.
+        others = [F.when(h != hashes[0], h) for h in hashes[1:]]
+        cut = _windows(rows, size).withColumn("hash", F.explode(F.array(hashes[0], *others)))
         found = cut.join(F.broadcast(wanted) if small else wanted, "hash")
         shift = (F.col("start") - F.col("item_start")).alias("shift")
         parts.append(found.select("doc_id", "row_key", "item_id", "item_start", shift, _pairs().alias("pairs")))
