@@ -81,6 +81,24 @@ def test_literal_copies_are_found_whatever_they_are_made_of(spark):
     assert found[0, 0][1] == 0 and found[3, 2][1] == 0
 
 
+def test_names_do_not_depend_on_what_stands_around_them(spark):
+    tom = "Tom has 5 apples and 2 pears. Tom buys 3 more of each one. Tom eats 4 of them all. Tom gives how many away?"
+    france = "What is the capital of France?"
+    lines = QUESTION.replace(" ", "\n")
+    texts = [
+        tom.replace("Tom", "Bob"),
+        "well What is the capital of France anyway",
+        "well What is the capital of Spain anyway",
+        "well what is the capital of Spain anyway",
+        CHANGED.replace("Hugo", "\u00a0 Hugo").replace(" in ", " in\n"),
+        CHANGED.replace(" ", "  "),
+        lines,
+        tom.replace("Tom", "Bob", 2).replace("Tom", "Karl"),
+    ]
+    found = found_in(spark, texts, [tom, france, QUESTION])
+    assert set(found) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2)}
+
+
 def test_broadcast_and_shuffle_agree(spark):
     texts = [f"{FILLER} {QUESTION}", CHANGED, FILLER]
     assert found_in(spark, texts, [QUESTION], broadcast_windows=0) == found_in(spark, texts, [QUESTION])

@@ -39,15 +39,18 @@ _QUANTITY = rf"{_NUMBER}(?:{_UNIT})?"
 _BREAKS = r"[\s.,;:!?\"()\[\]]+"
 # The same breaks in a text that still has its numbers: a mark between two digits belongs to the number.
 _BREAKS_OUTSIDE_NUMBERS = r"(?:[\s;!?\"()\[\]]|[.,:](?!(?<=[0-9].)[0-9]))+"
+_BLANKS = r"[\s\p{Z}\x85]+"
 _ENDS = " \t\n\x0b\f\r.,;:!?\"()[]"
 # Forms in which documents and items are compared.
 LITERAL = "literal"
-FORMS = [LITERAL, "numbers", "sentence"]
+FIRST_WORD = "first_word"
+FORMS = [LITERAL, "numbers", "sentence", "names", FIRST_WORD]
 
 
 def _plain(text: Column) -> Column:
+    """A text without marks, any white space between words as one blank."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(text.contains(_MARK), F.translate(text, _MARK, "")).otherwise(text)
+    return F.regexp_replace(F.when(text.contains(_MARK), F.translate(text, _MARK, "")).otherwise(text), _BLANKS, " ")
 
 
 def _numbered(text: Column) -> Column:
@@ -64,7 +67,8 @@ def _with_words(rows: DataFrame) -> DataFrame:
     """Rows with the words of their text in several forms, place by place the same words.
 
     ``cased`` are the words as they stand; the others are in lower case: ``literal`` has no placeholders,
-    ``numbers`` has them for numbers and units, ``sentence`` for names inside sentences too. Null counts as empty, and an empty
+    ``numbers`` has them for numbers and units, ``sentence`` for names inside sentences too, ``names`` for
+    capitalised words anywhere. Null counts as empty, and an empty
     text is one empty word.
     """
     whole = rows.withColumn("_text", _plain(F.col("text"))).withColumn("_numbered", _numbered(F.col("_text")))
@@ -73,6 +77,7 @@ def _with_words(rows: DataFrame) -> DataFrame:
         LITERAL: _split(F.lower("_text"), _BREAKS_OUTSIDE_NUMBERS),
         "numbers": _split(F.lower("_numbered")),
         "sentence": _split(F.lower(F.regexp_replace("_numbered", _NAME, NAME))),
+        "names": _split(F.lower(F.regexp_replace("_numbered", _NAME_IN_WORD, NAME))),
     }
     return whole.select(*rows.columns, *[words.alias(name) for name, words in forms.items()])
 
@@ -96,7 +101,13 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _window(form: str, size: int) -> list[Column]:
-    """The words of a window in one of the forms."""
+    """The words of a window in one of the forms.
+
+    ``first_word`` has names but for the first word, which a passage set into a sentence may write
+    either way.
+    """
+    if form == FIRST_WORD:
+        return [F.get("numbers", F.col("start")), *_window("names", size)[1:]]
     return [F.get(form, F.col("start") + k) for k in range(size)]
 
 
@@ -132,7 +143,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
     """``hash``, ``size``, ``item_id``, ``item_start`` and ``item_slots`` of every window of the benchmark.
 
     Items shorter than a window are one window. Each item is there word for word, in lower case, and
-    with placeholders for numbers, with and without names. With placeholders, windows that are mostly
+    with placeholders for numbers: without names, with those inside sentences, with all capitalised words
+    as names, and with all but the first. With placeholders, windows that are mostly
     placeholders would match by chance and are left out; word for word only those of nothing but
     numbers and units are. Items under ``shortest`` words are left out.
     """
