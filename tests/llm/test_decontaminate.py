@@ -99,6 +99,16 @@ def test_names_do_not_depend_on_what_stands_around_them(spark):
     assert set(found) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2)}
 
 
+def test_an_edit_elsewhere_does_not_clear_a_copy(spark):
+    # The first window stays word for word; in the second text an edited word parts two runs.
+    head, tail = QUESTION.rsplit("Otto", 1)
+    long = f"{QUESTION} while the rest of the fruit is kept in the cellar until Otto comes back to eat 12 more of them in the spring"
+    parted = long.replace("12", "31").replace("while the rest", "while the remainder").replace("eat 31", "eat 44")
+    texts = [f"{head}Karl{tail}", parted, MIXED]
+    found = found_in(spark, texts, [QUESTION, long])
+    assert {(0, 0), (0, 1), (1, 1)} <= set(found) and not {(2, 0), (2, 1)} & set(found)
+
+
 def test_broadcast_and_shuffle_agree(spark):
     texts = [f"{FILLER} {QUESTION}", CHANGED, FILLER]
     assert found_in(spark, texts, [QUESTION], broadcast_windows=0) == found_in(spark, texts, [QUESTION])

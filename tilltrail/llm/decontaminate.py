@@ -3,7 +3,8 @@
 Names, numbers and units become typed placeholders, so that a question with other values has the
 same template. Every window of a document's template is looked up among the windows of the
 benchmark by hash, and the values that stand in the placeholders must then map onto each other one
-to one: the same value of the question is the same value everywhere in the copy.
+to one: the same value of the question is the same value everywhere in a run of windows. Windows that
+agree word for word need no such check.
 
 Templates are made on the whole text and windows are hashed after the words are exploded: both are
 compiled by Spark, where functions over arrays would be interpreted word by word.
@@ -11,7 +12,7 @@ compiled by Spark, where functions over arrays would be interpreted word by word
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilltrail.llm.store import row_key, stored, without_rows
@@ -140,7 +141,7 @@ def _pairs() -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """``hash``, ``size``, ``item_id``, ``item_start`` and ``item_slots`` of every window of the benchmark.
+    """``hash``, ``size``, ``item_id``, ``form``, ``item_start`` and ``item_slots`` of every window of the benchmark.
 
     Items shorter than a window are one window. Each item is there word for word, in lower case, and
     with placeholders for numbers: without names, with those inside sentences, with all capitalised words
@@ -165,13 +166,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
                     F.xxhash64(*_window(form, size)).alias("hash"),
                     "size",
                     "item_id",
+                    F.lit("names" if form == FIRST_WORD else form).alias("form"),
                     F.col("start").alias("item_start"),
                     _slots(words).alias("item_slots"),
                 )
             )
     if not parts:
         empty = (
-            "hash long, size int, item_id long, item_start int, "
+            "hash long, size int, item_id long, form string, item_start int, "
             "item_slots array<struct<at:int,names:boolean,values:array<string>>>"
         )
         return benchmark.sparkSession.createDataFrame([], empty)
@@ -191,8 +193,10 @@ def contaminated(
     """``doc_id``, ``row_key``, ``item_id``, ``windows``, ``changed_slots``: which document holds which item.
 
     A document holds an item if at least one window of ``window`` template words (or the whole of a
-    shorter item) agrees and the values of all windows in the same alignment map one to one.
-    ``changed_slots`` counts the values that differ: 0 for a literal copy. Null and empty
+    shorter item) agrees word for word, or if a run of windows at consecutive places agrees with
+    placeholders and the values of the whole run map one to one. So an edit elsewhere in a copy does not
+    clear it. ``windows`` counts those of the longest such run, ``changed_slots`` the values that differ in
+    the least changed one: 0 if a window is copied word for word. Null and empty
     texts hold nothing, an item without text is no item; repeated documents are reported by id
     and text. Further columns of either table are not looked at.
 
@@ -212,13 +216,20 @@ def contaminated(
         cut = _windows(rows, size).withColumn("hash", F.explode(F.array(hashes[0], *others)))
         found = cut.join(F.broadcast(wanted) if small else wanted, "hash")
         shift = (F.col("start") - F.col("item_start")).alias("shift")
-        parts.append(found.select("doc_id", "row_key", "item_id", "item_start", shift, _pairs().alias("pairs")))
+        parts.append(found.select("doc_id", "row_key", "item_id", "form", "item_start", shift, _pairs().alias("pairs")))
     aligned = parts[0]
     for part in parts[1:]:
         aligned = aligned.unionByName(part)
-    merged = aligned.groupBy("doc_id", "row_key", "item_id", "shift").agg(
-        F.count_distinct("item_start").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    # Places less their rank are the same all along a run. A window in two forms of a group is one place.
+    alignment = ["doc_id", "row_key", "item_id", "form", "shift"]
+    run = F.col("item_start") - F.dense_rank().over(Window.partitionBy(*alignment).orderBy("item_start"))
+    merged = (
+        aligned.withColumn("run", run)
+        .groupBy(*alignment, "run")
+        .agg(
+            F.count_distinct("item_start").alias("windows"),
+            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        )
     )
     mapping = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["copy"])))
     one_to_one = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size(mapping) for side in ("item", "copy")]
