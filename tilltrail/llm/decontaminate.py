@@ -207,13 +207,15 @@ def contaminated(
     sizes = sorted(r["size"] for r in searched.select("size").distinct().collect()) or [window]
     small = searched.count() <= broadcast_windows
     rows = _with_words(docs.select("doc_id", row_key().alias("row_key"), "text"))
+    # A row per form, so that the code for one window stays small enough to be compiled by the JVM.
+    pairs_of_forms = [("numbers", "names") if form == FIRST_WORD else (form, form) for form in FORMS]
+    structs = [F.struct(F.col(first).alias("first"), F.col(rest).alias("all")) for first, rest in pairs_of_forms]
+    forms = rows.select("doc_id", "row_key", "cased", "numbers", F.explode(F.array(*structs)).alias("_words"))
     parts = []
     for size in sizes:
         wanted = searched.filter(F.col("size") == size).drop("size")
-        hashes = [F.xxhash64(*_window(form, size)) for form in FORMS]
-        # What a form shares with the literal one is looked up once.
-        others = [F.when(h != hashes[0], h) for h in hashes[1:]]
-        cut = _windows(rows, size).withColumn("hash", F.explode(F.array(hashes[0], *others)))
+        window_words = [F.get("_words.first", F.col("start")), *[F.get("_words.all", F.col("start") + k) for k in range(1, size)]]
+        cut = _windows(forms, size).withColumn("hash", F.xxhash64(*window_words))
         found = cut.join(F.broadcast(wanted) if small else wanted, "hash")
         shift = (F.col("start") - F.col("item_start")).alias("shift")
         parts.append(found.select("doc_id", "row_key", "item_id", "form", "item_start", shift, _pairs().alias("pairs")))
