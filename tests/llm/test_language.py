@@ -101,3 +101,9 @@ def test_nothing_to_learn_from(spark):
     docs = edge_docs(spark).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
     assert {r["lang_pred"] for r in language.identify(docs).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    rows = [(i, t, None) for i, t in enumerate(["some text", "12 34 !", None, "", "слово"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.readable_documents(docs).collect()) == [0, 4]

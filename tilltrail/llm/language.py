@@ -262,7 +262,12 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def readable_documents(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """The documents that have a language; those that come out as ``und`` go. Columns stay as they are."""
+    """The documents that have a language; those that come out as ``und`` go. Columns stay as they are.
+
+    If there was nothing to learn from, those whose texts have a letter stay.
+    """
     model = train(training_samples(docs, folds=folds))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     known = predict(docs, model, docs.columns, ("_lang_pred", "_score"))
     return known.filter(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
