@@ -23,8 +23,6 @@ RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32, HEX32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
-FILE_BYTES = 64 << 20
-
 
 def digest(payload: Column) -> Column:
     """SHA-1 in upper-case base32: five hex digits at a time are four of the 32 letters."""
