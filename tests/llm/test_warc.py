@@ -98,3 +98,23 @@ def test_only_the_chain_from_the_start_is_reached(spark):
     found = {(r["file"], r["offset"]) for r in warc.reached(table).collect()}
     assert {x for x in found if x[0] != "k"} == {("f", 0), ("f", 10), ("f", 30), ("f", 77), ("h", 0)}
     assert {x for f, x in found if f == "k"} == set(range(71))
+
+
+def test_pieces_do_not_depend_on_how_a_later_read_packs_files(spark, monkeypatch):
+    pages = pages_of(spark, [(i, "http://a/b", f"{i} {MAGIC}y{MAGIC} {i}") for i in range(24)]).repartition(6)
+    least, reached = "spark.sql.files.minPartitionNum", warc.reached
+
+    def packed_anew(links):
+        found = reached(links)
+        spark.conf.set(least, "1")
+        return found
+
+    monkeypatch.setattr(warc, "reached", packed_anew)
+    spark.conf.set(least, "64")
+    try:
+        found = warc.archive_round_trip(pages).collect()
+    finally:
+        spark.conf.unset(least)
+    assert sorted((r["page_id"], r["payload_digest"]) for r in found) == [
+        (i, digest(f"{i} {MAGIC}y{MAGIC} {i}")) for i in range(24)
+    ]

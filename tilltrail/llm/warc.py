@@ -114,12 +114,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Each occurrence of the magic: where it is, what its header says, where the next record must begin.
 
     ``offset`` counts the bytes before it in the (unpacked) file: those of earlier blocks, from a sum
     per block, and of earlier rows of its block. ``next`` is null if there is no proper header.
-    ``whole`` says that the record's content ends before the next occurrence.
+    ``whole`` says that the record's content ends before the next occurrence. The second table has the
+    bytes by ``file``, ``block`` and ``row``: they are stored with the row's number, which another read may
+    number differently.
     """
     pieces = _pieces(spark, path)
     # Latin letters only stand in a header's names; its values are measured in bytes.
@@ -148,8 +150,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
     content = F.expr("substring(cast(value AS binary), cast(head_bytes + 1 AS int), cast(content_bytes AS int))")
     whole = F.coalesce(F.col("content_bytes") + F.col("head_bytes") <= F.col("bytes"), F.lit(False))
-    thin = sized.withColumns({"whole": whole, "payload_digest": F.when(whole, digest(content))}).drop("value")
-    thin = stored(thin, "warc-pieces")
+    thin = sized.withColumns({"whole": whole, "payload_digest": F.when(whole, digest(content))})
+    pieces = stored(thin, "warc-pieces")
+    thin = pieces.drop("value")
     step = F.col("bytes") + len(MAGIC)
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = thin.groupBy("file", "block").agg(F.sum(step).alias("_bytes"))
@@ -160,7 +163,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     offset = F.col("_start") + F.col("_before") - len(MAGIC)
     located = placed.join(starts, ["file", "block"]).withColumn("offset", offset).drop("_start", "_before")
     after = F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("content_bytes") + len(RECORD_END)
-    return located.filter("offset >= 0").withColumn("next", after)
+    return located.filter("offset >= 0").withColumn("next", after), pieces.select("file", "block", "row", "value")
 
 
 def reached(links: DataFrame) -> DataFrame:
@@ -191,10 +194,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under a path: place, header values, ``content_bytes`` and ``payload_digest``.
 
     ``payload_digest`` is computed from the content as read. Content that holds the magic is put
-    together from its pieces, which are looked up in the archives a second time; all other
-    content is seen once. A record whose content is cut off by the end of its file is none.
+    together from its pieces, which were stored when the archives were read; they are read once. A record whose content is cut off by the end of its file is none.
     """
-    all_found = stored(candidates(spark, path), "warc-candidates")
+    found_in_files, pieces_read = candidates(spark, path)
+    all_found = stored(found_in_files, "warc-candidates")
     kept = stored(all_found.join(reached(all_found), ["file", "offset"]), "warc-records")
     whole = kept.filter("whole").drop("whole")
     parted = kept.filter("NOT whole AND content_bytes IS NOT NULL")
@@ -206,7 +209,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("_kept"), F.col("offset")), ignorenulls=True).over(order)
     owned = marks.select("file", "block", "row", "offset", owner.alias("owner"))
     needed = owned.join(parted.select("file", F.col("offset").alias("owner")), ["file", "owner"])
-    found = _pieces(spark, path).join(needed, ["file", "block", "row"])
+    found = pieces_read.join(needed, ["file", "block", "row"])
     pieces = F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("pieces")
     joined = found.groupBy("file", "owner").agg(pieces)
     text = F.array_join(F.col("pieces.value"), MAGIC)
