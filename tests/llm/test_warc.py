@@ -103,6 +103,7 @@ def test_only_the_chain_from_the_start_is_reached(spark):
 def test_pieces_do_not_depend_on_how_a_later_read_packs_files(spark, monkeypatch):
     pages = pages_of(spark, [(i, "http://a/b", f"{i} {MAGIC}y{MAGIC} {i}") for i in range(24)]).repartition(6)
     least, reached = "spark.sql.files.minPartitionNum", warc.reached
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
 
     def packed_anew(links):
         found = reached(links)
@@ -111,10 +112,12 @@ def test_pieces_do_not_depend_on_how_a_later_read_packs_files(spark, monkeypatch
 
     monkeypatch.setattr(warc, "reached", packed_anew)
     spark.conf.set(least, "64")
+    spark.conf.set(merged, "false")
     try:
         found = warc.archive_round_trip(pages).collect()
     finally:
         spark.conf.unset(least)
+        spark.conf.unset(merged)
     assert sorted((r["page_id"], r["payload_digest"]) for r in found) == [
         (i, digest(f"{i} {MAGIC}y{MAGIC} {i}")) for i in range(24)
     ]
