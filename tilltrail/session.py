@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import itertools
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,16 +47,24 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, else the warehouse.
 
-    Both are named by the cluster and seen by all executors.
+    Both are named by the cluster and seen by all executors. Where neither is named, the warehouse is a
+    folder below the driver's own, which other machines do not see: such a session must be local.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named:
+        context = spark.sparkContext
+        configured = context.getConf().contains("spark.sql.warehouse.dir")
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A path for one intermediate table of this application, deleted when its driver ends.
 
-    The same label gives the same path, so a second run overwrites what the first one stored.
+    The same label gives the same path, so a second run overwrites what the first one stored;
+    ``fresh_folder`` gives another one each time.
     """
     path = f"{shared_folder(spark)}/tilltrail-{spark.sparkContext.applicationId}/{label}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +72,22 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+_calls: dict[tuple[str, str], itertools.count] = {}
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A scratch folder that no earlier call of this application got: what was stored there stays readable."""
+    n = next(_calls.setdefault((spark.sparkContext.applicationId, label), itertools.count(1)))
+    return scratch_folder(spark, label if n == 1 else f"{label}-{n}")
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write a frame to a folder of its own and read it back; the folder is returned to be removed."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
