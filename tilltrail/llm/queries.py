@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilltrail.llm import chat, decontaminate, language, neighbours, packing, sharding, simhash, tokencounts, urls, warc
+from tilltrail.llm import chat, decontaminate, language, neighbours, packing, prefixtrie, sharding, simhash, tokencounts, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations")).drop("node")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_neighbours": op2_neighbours,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # SQL where it can express the result. Trained models (5, 6), the forest (2), 64-bit hashes (3, 4, 10), best fit
@@ -120,4 +125,60 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 FROM said
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1_SQL, "op8_chat_format": _OP8_SQL}
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+_OP13_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS digits,
+    list(struct_pack(h := turn_hash, n := chars) ORDER BY turn NULLS FIRST, turn_hash) AS own
+  FROM said GROUP BY conv_id
+),
+taken AS (SELECT conv_id, own, {_crc32("digits")} % 6 AS h FROM convs),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS turns
+  FROM taken c LEFT JOIN taken b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS prefix, len(turns) = d AS is_end
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, depth
+),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * n.prefix[n.depth].n END AS own_saved
+  FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.prefix[1:n.depth - 1] = p.prefix
+),
+children AS (
+  SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+counted AS (
+  SELECT linked.*, coalesce(n_children, 0) AS n_children
+  FROM linked LEFT JOIN children ON linked.prefix = children.prefix AND linked.depth = children.depth
+),
+below AS (
+  SELECT prefix[1:a] AS prefix, a AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM (SELECT prefix, n_children, own_saved, unnest(range(0, depth + 1)) AS a FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs, c.n_children, b.n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON c.prefix = b.prefix AND c.depth = b.depth
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1_SQL, "op8_chat_format": _OP8_SQL, "op13_prefix_trie": _OP13_SQL}
