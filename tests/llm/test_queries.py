@@ -41,13 +41,10 @@ def test_matches_sql(spark, duck, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
     names = sorted(found.columns)
     answer = duck.execute(queries.ORACLE_SQL[name])
-    order = sorted(c[0] for c in answer.description)
-    assert names == order
-    expected = answer.df()[names].astype(object)
-    expected = expected.where(expected.notna(), None)
-    assert sorted(map(str, found.select(*names).toPandas().astype(object).pipe(lambda d: d.where(d.notna(), None)).values.tolist())) == sorted(
-        map(str, expected.values.tolist())
-    )
+    columns = [c[0] for c in answer.description]
+    assert names == sorted(columns)
+    expected = [tuple(row[columns.index(c)] for c in names) for row in answer.fetchall()]
+    assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, expected))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
