@@ -1,0 +1,135 @@
+"""Spelling variants against plain Python; the scan against all pairs; edges."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tilltrail.llm import variants
+
+SCHEMA = "doc_id long, text string"
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_variants(rows):
+    counts = Counter()
+    lower = str.maketrans(variants.UPPER, variants.LOWER)
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    near = {w: [o for o in words if one_edit(w, o)] for w in words}
+    form = {}
+    for w, others in near.items():
+        top = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = top if top and words[top] >= 10 * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(out, key=str)
+
+
+def found(df, **settings):
+    rows = variants.spelling_variants(df, **settings).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    return sorted(map(tuple, rows), key=str)
+
+
+def some_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(7, 10))) for _ in range(60)]
+    rows = []
+    for doc in range(120):
+        chosen = [rng.choice(words[: 1 + rng.randrange(60)]) for _ in range(60)]
+        chosen = [w.upper() if rng.random() < 0.1 else w for w in chosen]
+        rows.append((doc, " ".join(chosen) + ", " + "; ".join(chosen[:5])))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_equals_plain_variants(spark, hot):
+    """Also where groups of more than three words are cut, down to windows of one code point."""
+    rows = some_texts()
+    assert found(spark.createDataFrame(rows, SCHEMA), hot=hot) == plain_variants(rows)
+
+
+def test_batches_of_few_words(spark, monkeypatch):
+    monkeypatch.setattr(variants, "FLUSH_WORDS", 2)
+    rows = some_texts()
+    assert found(spark.createDataFrame(rows, SCHEMA)) == plain_variants(rows)
+
+
+def test_nulls_long_texts_ties_repeats_and_extra_columns(spark):
+    base = "straightforward"
+    rows = [(1, None), (2, ""), (None, f"{base} {base}x {base}x"), (3, "short words on ly"), (3, "short words on ly")]
+    rows += [(4, f"{base} " * 40), (4, f"{base} " * 40), (5, "abcdefgh abcdefgi " * 20 + "abcdefgj " * 2), (6, "z" * 5000 + " " + "z" * 5000)]
+    rows += [(7, "word" * 50_000), (8, "wêrklich wërklich wêrklich wërklich ×÷×÷×÷×")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA + ", word string, n int")
+    result = found(df)
+    assert result == plain_variants(rows)
+    tied = {r[0]: r for r in result}["abcdefgj"]
+    assert tied[1] == tied[2] == "abcdefgh"
+
+
+def test_chain_of_forms_ends_at_the_root(spark):
+    counts = {"aaaaaaaa": 2000, "aaaaaaab": 150, "aaaaaabb": 12}
+    rows = [(0, f"{w} " * n) for w, n in counts.items()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(df) == plain_variants(rows)
+
+
+def test_empty_table(spark):
+    assert found(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_scan_equals_all_pairs():
+    rng = random.Random(1)
+    for _ in range(100):
+        words, starts, ends, heads = [], [], [], []
+        for _ in range(rng.randrange(1, 4)):
+            opening = "".join(rng.choice("ab") for _ in range(rng.randrange(3)))
+            some = {opening + "".join(rng.choice("abé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 25))}
+            starts.append(len(words))
+            words += sorted(some)
+            ends.append(len(words))
+            heads += [len(opening)] * len(some)
+        lists = variants.SortedLists(words, np.array(starts), np.array(ends))
+        a, b = variants.near_pairs(lists, np.array(heads), np.full(len(words), 99))
+        expected = [
+            (i, j) for s, e in zip(starts, ends) for i in range(s, e) for j in range(i + 1, e) if one_edit(words[i], words[j])
+        ]
+        assert sorted(zip(a.tolist(), b.tolist())) == expected
+
+
+def test_scan_skips_ranges(monkeypatch):
+    """Work per word is far below the number of words, since most ranges differ twice in their first letters."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(10)) for _ in range(4000)})
+    work = []
+    searched = np.searchsorted
+
+    def counting(cuts, places, side):
+        work.append(len(places))
+        return searched(cuts, places, side=side)
+
+    lists = variants.SortedLists(words, np.array([0]), np.array([len(words)]))
+    monkeypatch.setattr(variants.np, "searchsorted", counting)
+    variants.near_pairs(lists, np.zeros(len(words), np.int64), np.full(len(words), 99))
+    assert sum(work) < 0.1 * len(words) ** 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilltrail.llm import chat, decontaminate, language, neighbours, packing, prefixtrie, sharding, simhash, tokencounts, urls, warc
+from tilltrail.llm import chat, decontaminate, language, neighbours, packing, prefixtrie, sharding, simhash, tokencounts, urls, variants, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, folder, "conversations")).drop("node")
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -181,4 +186,51 @@ SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs,
 FROM counted c JOIN below b ON c.prefix = b.prefix AND c.depth = b.depth
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1_SQL, "op8_chat_format": _OP8_SQL, "op13_prefix_trie": _OP13_SQL}
+# The CRC-32 here goes byte by byte through a table that the query makes itself.
+_OP11_SQL = """
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY i) AS crc
+  FROM range(256) t(i)
+),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+counted AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS bytes FROM runs GROUP BY id, run),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(bytes), 2),
+    lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM counted, crcs
+),
+spelled AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+    ELSE run END AS word
+  FROM hashed
+),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+),
+shorter AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, min({'rank': -near_n, 'near': near}) AS top FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -top.rank >= 10 * n THEN top.near END AS form,
+    CASE WHEN -top.rank >= 10 * n THEN -top.rank END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+),
+followed AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT f.word, f.next, g.form FROM followed f JOIN formed g ON f.next = g.word
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN followed r ON f.word = r.word AND r.next IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _OP11_SQL, "op1_warc": _OP1_SQL, "op8_chat_format": _OP8_SQL, "op13_prefix_trie": _OP13_SQL}
