@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op10_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op11_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op12_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op13_prefix_trie": [
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
     ],
