@@ -49,7 +49,7 @@ def test_layouts_held_out_of_training(sample, model):
     for text in layouts.pages(texts, 200, seed=10_000):
         page = extraction.read(text)
         want = dom.text_of(page, [node.main == "1" for node in page.nodes]).split("\n")
-        got = extraction.extract(text, model).split("\n")
+        got = extraction.extract([text], model)[0].split("\n")
         same += got == want
         right += sum(len(x) for x in got if x in want)
         given += sum(map(len, got))
@@ -90,7 +90,7 @@ BY_HAND = {
 @pytest.mark.parametrize("name", sorted(BY_HAND))
 def test_pages_written_by_hand(model, name):
     text, expected = BY_HAND[name]
-    assert extraction.extract(text, model) == expected
+    assert extraction.extract([text], model) == [expected]
 
 
 def test_decoding_is_the_best_choice_without_contradictions():

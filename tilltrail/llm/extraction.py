@@ -10,6 +10,7 @@ on the sample's own pages where they say in words which element is the article.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from tilltrail.llm.dom import HEADINGS, Page, read_page, text_of
 TRAINING_PAGES = 150
 TRAINING_CHARS = 60_000
 LAYOUTS = 1300
+BATCH_NODES = 1 << 14
 
 # Beginnings of attribute words that say what an element is for.
 SAID = {
@@ -69,6 +71,7 @@ def _said(words: tuple[str, ...]) -> int:
 
 
 NOT_CONTENT = ~1
+MARKS = re.compile("[.,;:!?]")
 
 
 def marked(words: tuple[str, ...]) -> bool:
@@ -80,62 +83,91 @@ def read(html_text: str) -> Page:
     return read_page(html_text, marked)
 
 
-def features(page: Page) -> np.ndarray:
-    """One row of numbers per node."""
-    nodes, n = page.nodes, len(page.nodes)
-    own = np.zeros((n, 6))
-    for node, _, text, linked in page.pieces:
-        size = len(text) if text.strip() else 0
-        if size:
-            own[node] += (size, size if linked else 0, text.count(" ") + 1, sum(map(text.count, ".,;:!?")), text[-3:].rstrip()[-1:] in ".!?", 1)
+def features(pages: list[Page]) -> np.ndarray:
+    """One row of numbers per node, page behind page; the pages' trees are worked on together, level by level."""
+    nodes = [node for page in pages for node in page.nodes]
+    n = len(nodes)
+    sizes = np.array([len(page.nodes) for page in pages])
+    first = np.cumsum(sizes) - sizes
+    root = np.repeat(first, sizes)
+    parent = np.fromiter((node.parent for node in nodes), np.int64, n) + root
+    depth = np.fromiter((node.depth for node in nodes), np.int64, n)
+    parent[first] = first
+    own, begins = _own_text(pages, first, n)
     sums = np.zeros((n, 10))
     sums[:, :6] = own
-    sums[:, 6], sums[:, 7] = page.links, page.controls
+    sums[:, 6] = [x for page in pages for x in page.links]
+    sums[:, 7] = [x for page in pages for x in page.controls]
     sums[:, 8] = [node.tag == "p" for node in nodes]
     sums[:, 9] = 1
-    parent = np.array([node.parent for node in nodes])
-    # Nodes of loose text stand at the end of the list, children behind their parents everywhere else.
-    depth = np.array([node.depth for node in nodes])
-    for level in range(int(depth.max()), 0, -1):
-        at = np.flatnonzero(depth == level)
+    tag = np.fromiter((TAGS.get(node.tag, 18) for node in nodes), np.int64, n)
+    bits = np.fromiter((_said(node.words) if node.words else 0 for node in nodes), np.int64, n)
+    hidden = np.fromiter((node.hidden for node in nodes), bool, n)
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]
+    for at in reversed(levels):
         np.add.at(sums, parent[at], sums[at])
-    tag = np.array([TAGS.get(node.tag, 18) for node in nodes])
-    bits = np.array([_said(node.words) for node in nodes])
-    hidden = np.array([node.hidden for node in nodes])
-    flags = (bits[:, None] >> np.arange(len(GROUPS))) & 1
     above, outside, inside = np.zeros_like(bits), np.zeros(n), np.zeros(n)
-    up = np.maximum(parent, 0)
-    for level in range(1, int(depth.max()) + 1):
-        at = np.flatnonzero(depth == level)
-        p = up[at]
+    apart, article = np.isin(tag, list(OUTSIDE)), tag == 0
+    for at in levels:
+        p = parent[at]
         above[at] = above[p] | bits[p]
-        outside[at] = np.maximum(outside[p], np.isin(tag[p], list(OUTSIDE)) | hidden[p])
-        inside[at] = np.maximum(inside[p], tag[p] == 0)
-    above_flags = (above[:, None] >> np.arange(len(GROUPS))) & 1
+        outside[at] = np.maximum(outside[p], apart[p] | hidden[p])
+        inside[at] = np.maximum(inside[p], article[p])
+    flags, above_flags = ((b[:, None] >> np.arange(len(GROUPS))) & 1 for b in (bits, above))
     chars, links, words, marks = (sums[:, i] for i in range(4))
     some = np.maximum(chars, 1)
-    index, count, mean, longest, before, after, same = (np.zeros(n) for _ in range(7))
-    for node in nodes:
-        kids = node.children
-        if not kids:
-            continue
-        sizes = chars[kids]
-        index[kids] = np.arange(len(kids)) / max(len(kids) - 1, 1)
-        count[kids], mean[kids], longest[kids] = len(kids), sizes.mean(), sizes.max()
-        before[kids[1:]], after[kids[:-1]] = sizes[:-1], sizes[1:]
-        tags = tag[kids]
-        same[kids] = (tags[:, None] == tags[None, :]).mean(axis=1) if len(kids) <= 64 else np.bincount(tags, minlength=N_TAGS)[tags] / len(kids)
-    start = np.cumsum(np.concatenate([[0], [len(t) for _, _, t, _ in page.pieces]]))
-    begins = start[[min(node.start, len(page.pieces)) for node in nodes]] / max(start[-1], 1)
+    index, count, mean, longest, before, after, same = _siblings(nodes, parent, depth, tag, chars)
     columns = [
         np.log1p(chars), links / some, words / np.maximum(sums[:, 5], 1), marks / np.maximum(words, 1), sums[:, 4] / np.maximum(sums[:, 5], 1),
-        chars / max(chars[0], 1), chars / np.maximum(chars[up], 1), np.log1p(own[:, 0]), sums[:, 9] / some * 100, np.log1p(sums[:, 6]),
+        chars / some[root], chars / some[parent], np.log1p(own[:, 0]), sums[:, 9] / some * 100, np.log1p(sums[:, 6]),
         np.log1p(sums[:, 7]), np.log1p(sums[:, 8]), depth, index, np.log1p(count), np.log1p(mean), np.log1p(longest), np.log1p(before),
-        np.log1p(after), same, begins, hidden, outside, inside, tag[up] == 0, chars / np.maximum(longest, 1), words,
+        np.log1p(after), same, begins, hidden, outside, inside, article[parent], chars / np.maximum(longest, 1), words, apart[parent],
     ]
-    tags = np.eye(N_TAGS)[tag]
-    parent_tags = np.isin(tag[up], list(OUTSIDE))
-    return np.column_stack([*columns, parent_tags, tags, flags, flags[up], above_flags]).astype(np.float64)
+    return np.column_stack([*columns, np.eye(N_TAGS)[tag], flags, flags[parent], above_flags]).astype(np.float64)
+
+
+def _own_text(pages: list[Page], first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per node of its own text: characters, those in links, words, marks, pieces that end a sentence, pieces; and where it begins."""
+    own, begins = np.zeros((n, 6)), np.zeros(n)
+    for page, base in zip(pages, first):
+        at, starts = 0, []
+        for node, _, text, linked in page.pieces:
+            starts.append(at)
+            at += len(text)
+            if text and not text.isspace():
+                row = own[base + node]
+                row += (len(text), len(text) if linked else 0, text.count(" ") + 1, len(MARKS.findall(text)), text[-3:].rstrip()[-1:] in ".!?", 1)
+        starts.append(at)
+        for i, node in enumerate(page.nodes):
+            begins[base + i] = starts[min(node.start, len(page.pieces))] / max(at, 1)
+    return own, begins
+
+
+def _siblings(nodes, parent: np.ndarray, depth: np.ndarray, tag: np.ndarray, chars: np.ndarray) -> list[np.ndarray]:
+    """Among the children of one parent: place, number, mean and largest text, the texts next to it, share of its own tag."""
+    n = len(nodes)
+    out = [np.zeros(n) for _ in range(7)]
+    kids = np.flatnonzero(depth > 0)
+    if not len(kids):
+        return out
+    start = np.fromiter((nodes[i].start for i in kids), np.int64, len(kids))
+    kids = kids[np.lexsort((kids, start, parent[kids]))]
+    opens = np.flatnonzero(np.diff(parent[kids], prepend=-1))
+    group = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(kids)))
+    count = np.bincount(group)
+    nth, sizes = np.arange(len(kids)) - opens[group], chars[kids]
+    last = np.diff(group, append=len(opens)) > 0
+    alike = np.unique(group * N_TAGS + tag[kids], return_inverse=True, return_counts=True)
+    index, number, mean, longest, before, after, same = out
+    index[kids] = nth / np.maximum(count[group] - 1, 1)
+    number[kids] = count[group]
+    mean[kids] = (np.add.reduceat(sizes, opens) / count)[group]
+    longest[kids] = np.maximum.reduceat(sizes, opens)[group]
+    before[kids] = np.where(nth > 0, np.roll(sizes, 1), 0)
+    after[kids] = np.where(last, 0, np.roll(sizes, -1))
+    same[kids] = alike[2][alike[1]] / count[group]
+    return out
 
 
 def decode(page: Page, worth: np.ndarray) -> list[bool]:
@@ -152,11 +184,30 @@ def decode(page: Page, worth: np.ndarray) -> list[bool]:
     return kept
 
 
-def extract(html_text: str, model: boosting.BoostedTrees) -> str:
-    page = read(html_text)
-    if not any(text.strip() for _, _, text, _ in page.pieces):
-        return ""
-    return text_of(page, decode(page, model.log_odds(features(page))))
+def extract(texts: list[str], model: boosting.BoostedTrees) -> list[str]:
+    """The main text of each page; the trees judge the nodes of many pages at once."""
+    found: list[str] = []
+    held: list[Page] = []
+    size = 0
+
+    def flush() -> None:
+        worth = model.log_odds(features(held))
+        at = 0
+        for page in held:
+            kept = decode(page, worth[at : at + len(page.nodes)])
+            found.append(text_of(page, kept))
+            at += len(page.nodes)
+        held.clear()
+
+    for text in texts:
+        held.append(read(text))
+        size += len(held[-1].nodes)
+        if size >= BATCH_NODES:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return found
 
 
 # --- training -------------------------------------------------------------------------------------
@@ -195,7 +246,7 @@ def train(sample: list[str], n_layouts: int = LAYOUTS) -> boosting.BoostedTrees:
         answer = labels_of(page)
         if answer is None or not answer.any():
             continue
-        x = features(page)
+        x = features([page])
         rows.append(x)
         labels.append(answer)
         weights.append(np.full(len(answer), min(1.0, 40 / len(answer))))
@@ -203,10 +254,12 @@ def train(sample: list[str], n_layouts: int = LAYOUTS) -> boosting.BoostedTrees:
 
 
 def training_sample(pages: DataFrame, size: int = TRAINING_PAGES) -> list[str]:
-    """At most ``size`` pages of at most ``TRAINING_CHARS``, those whose hash is least."""
-    usable = pages.select("html").filter(F.length("html").between(200, TRAINING_CHARS))
-    least = usable.orderBy(F.xxhash64("html"), "html").limit(size)
-    return [row.html for row in least.collect()]
+    """At most ``size`` different pages of at most ``TRAINING_CHARS``, those whose hash is least."""
+    usable = pages.select("html", F.xxhash64("html").alias("hash")).filter(F.length("html").between(200, TRAINING_CHARS))
+    # Only hashes are ranked: every task offers as many rows as are wanted in the end.
+    least = [row.hash for row in usable.select("hash").distinct().orderBy("hash").limit(size).collect()]
+    chosen = usable.filter(F.col("hash").isin(least)).groupBy("hash").agg(F.first("html").alias("html"))
+    return [row.html for row in sorted(chosen.collect())]
 
 
 # --- the operator ---------------------------------------------------------------------------------
@@ -226,7 +279,7 @@ def extract_pages(pages: DataFrame, model: boosting.BoostedTrees | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(h, trees) if h else "" for h in batch["html"]]
+            texts = extract([h or "" for h in batch["html"]], trees)
             out = batch[["page_id", "url"]].copy()
             out["text"], out["n_chars"] = texts, [len(t) for t in texts]
             yield out
