@@ -192,6 +192,16 @@ def test_round_trips_overwrite_what_they_stored(spark, small):
     assert len(list((base / "csv-round-trip").glob("_SUCCESS"))) == 1
 
 
+def test_two_results_of_one_query_are_readable_side_by_side(spark):
+    """A lazy result reads what its own call stored, whatever was stored since."""
+    queries = all_queries()
+    for name in ("write_clean", "read_purchases", "append_ids", "export_reports"):
+        one = queries[name](spark, "/root/testdata/sf0.001")
+        two = queries[name](spark, "/root/testdata/sf0.01")
+        assert 0 < one.count() <= two.count(), name
+        assert one.collect(), name
+
+
 def test_new_rows_show_in_the_view(spark, small, tmp_path):
     clean = clean_purchases(sample_purchases(spark, small, STORED))
     path = str(tmp_path / "clean")

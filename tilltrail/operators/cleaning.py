@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilltrail import schema as S
 from tilltrail.functions import columns as C
-
-DIGIT_BITS = 21
-SPREAD = 4096
+from tilltrail.operators.ordering import placed
 
 # The stored table is cut by year and month of the normalized clock, under names of their own.
 CLEAN_CLOCK = "normalized_event_time"
@@ -51,38 +49,17 @@ def add_arrival_id(df: DataFrame, after: int = 0) -> DataFrame:
 def add_surrogate_id(
     df: DataFrame, order_by: str = "serial_number", spread_by: list[str] | None = None
 ) -> DataFrame:
-    """Dense ids 1..n in the order of a number, the same in every run; rows without it come last.
+    """Dense ids 1..n in the order of a number; rows without it come last.
 
-    The number is cut into digits of ``DIGIT_BITS``. Rows that agree in all but the last digit are
-    numbered in one task, and what comes before them is added up digit by digit, so no window has
-    more than 2^21 rows, however sparse the numbers are (the number is meant to be unique; rows
-    that repeat it stay together). Rows without a number are spread by a hash of ``spread_by``, or of
-    all columns.
+    Rows are numbered in ranges of (number, hash of ``spread_by`` or of all columns), so neither a number that
+    very many rows repeat nor the rows without one are one task's work. Ids are the same in every run, except among rows
+    that agree in number and hash. The numbered rows are stored once in the shared folder (see ``ordering.placed``).
     """
-    number = F.coalesce(F.col(order_by).cast("long"), F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SPREAD)))
-    ranged = df.withColumns(
-        {
-            "_absent": F.col(order_by).isNull(),
-            "_high": F.shiftright(number, 2 * DIGIT_BITS),
-            "_middle": F.shiftright(number, DIGIT_BITS),
-            "_low": F.when(F.col(order_by).isNull(), number).otherwise(0),
-        }
-    )
-    keys = ["_absent", "_high", "_middle", "_low"]
-    ranges = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    highs = ranges.groupBy("_absent", "_high").agg(F.sum("_rows").alias("_rows"))
-    earlier = Window.orderBy("_absent", "_high").rowsBetween(Window.unboundedPreceding, -1)
-    bases = highs.select("_absent", "_high", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
-    before = Window.partitionBy("_absent", "_high").orderBy("_middle", "_low").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .join(bases, ["_absent", "_high"])
-        .select(*keys, (F.col("_base") + F.col("_before")).alias("_start"))
+    spread = F.xxhash64(*(spread_by or df.columns))
+    numbered = placed(
+        df.drop("id").withColumn("_spread", spread), [F.col(order_by).asc_nulls_last(), "_spread"], "_place", "numbered"
     )
-    within = Window.partitionBy(*keys).orderBy(order_by)
-    placed = ranged.withColumn("_place", F.row_number().over(within))
-    numbered = placed.join(starts, keys).withColumn("id", F.col("_start") + F.col("_place"))
-    return numbered.select(*[c for c in df.columns if c != "id"], "id")
+    return numbered.withColumn("id", F.col("_place") + 1).drop("_place", "_spread")
 
 
 def add_user_type(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
 from tilltrail.plans import baseline, strategy, summaries, views
-from tilltrail.session import scratch_folder
+from tilltrail.session import fresh_folder
 from tilltrail.sources import tables
 from tilltrail.sources.samples import ALL, sample_purchases
 
@@ -201,7 +201,7 @@ def csv_round_trip(records: DataFrame) -> DataFrame:
     The files hold instants; the sample's clock is ahead of them by the usual offset.
     """
     spark = records.sparkSession
-    folder = scratch_folder(spark, "csv-round-trip")
+    folder = fresh_folder(spark, "csv-round-trip")
     instant = F.date_format(C.hours_before("event_time", S.CLOCK_OFFSET_HOURS), "yyyy-MM-dd HH:mm:ss")
     files = records.withColumn("event_time", F.concat(instant, F.lit(" UTC")))
     files.write.mode("overwrite").option("header", True).csv(folder)
@@ -211,7 +211,7 @@ def csv_round_trip(records: DataFrame) -> DataFrame:
 def stored_table(df: DataFrame) -> DataFrame:
     """The clean table written by month and scanned again."""
     spark = df.sparkSession
-    folder = scratch_folder(spark, "stored-table")
+    folder = fresh_folder(spark, "stored-table")
     tables.write_clean(df, folder)
     return tables.read_clean(spark, folder)
 
@@ -226,7 +226,7 @@ def stored_baseline(df: DataFrame) -> DataFrame:
 def appended_ids(df: DataFrame) -> DataFrame:
     """The records stored in two writes, the second one appended: their ids must differ."""
     spark = df.sparkSession
-    folder = scratch_folder(spark, "appended-table")
+    folder = fresh_folder(spark, "appended-table")
     odd = F.col("order_id") % 2 == 1
     tables.write_clean(df.filter(~odd), folder)
     tables.write_clean(df.filter(odd), folder, mode="append")
@@ -237,7 +237,7 @@ def appended_ids(df: DataFrame) -> DataFrame:
 def exported_report(report: DataFrame) -> DataFrame:
     """A report exported as CSV and read back."""
     spark = report.sparkSession
-    folder = scratch_folder(spark, "exported-report")
+    folder = fresh_folder(spark, "exported-report")
     tables.export_reports({"report": report}, folder)
     return spark.read.schema(report.schema).csv(f"{folder}/report", header=True, mode="FAILFAST")
 

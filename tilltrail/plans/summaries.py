@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tilltrail.operators import measures as M
 from tilltrail.plans import strategy
 from tilltrail.plans.strategy import CLOCK, with_user_type
-from tilltrail.session import remove_folder, scratch_folder
+from tilltrail.session import fresh_folder, remove_folder, scratch_folder
 
 
 def product_summary(facts: DataFrame) -> DataFrame:
@@ -29,21 +29,13 @@ def hour_summary(facts: DataFrame) -> DataFrame:
     return with_user_type(facts).groupBy(hour.alias(CLOCK), "user_type").agg(*M.row_measures())
 
 
-def store(spark: SparkSession, summary: DataFrame, name: str) -> DataFrame:
-    path = scratch_folder(spark, f"summaries/{name}")
-    summary.write.mode("overwrite").parquet(path)
-    return spark.read.schema(summary.schema).parquet(path)
-
-
-def all_reports(spark: SparkSession, clean: DataFrame) -> dict[str, DataFrame]:
-    """The ten exported reports by file name; they read the stored summaries until these are removed."""
-    products = store(spark, product_summary(clean), "products")
-    hours = store(spark, hour_summary(clean), "hours")
+def reports_from(products: DataFrame, hours: DataFrame, buyers: DataFrame) -> dict[str, DataFrame]:
+    """The ten exported reports by file name; ``buyers`` are rows to count users and products in."""
     timed = {strategy.monthly_seasonality, strategy.payday_analysis, strategy.weekday_rhythm, strategy.hourly_analysis}
     reports = {}
     for name, report in strategy.EXPORTS.items():
         if report is strategy.user_segmentation:
-            reports[name] = report(products, buyers=clean)
+            reports[name] = report(products, buyers=buyers)
         elif report is strategy.strategy_portfolio:
             reports[name] = report(products, hours=hours)
         else:
@@ -51,6 +43,16 @@ def all_reports(spark: SparkSession, clean: DataFrame) -> dict[str, DataFrame]:
     return reports
 
 
+def all_reports(spark: SparkSession, clean: DataFrame) -> dict[str, DataFrame]:
+    """The ten reports of a clean table. They read the stored summaries, which each call stores anew, until these are removed."""
+    folder = fresh_folder(spark, "summaries/run")
+    stored = []
+    for name, summary in (("products", product_summary(clean)), ("hours", hour_summary(clean))):
+        summary.write.parquet(f"{folder}/{name}")
+        stored.append(spark.read.schema(summary.schema).parquet(f"{folder}/{name}"))
+    return reports_from(*stored, buyers=clean)
+
+
 def remove(spark: SparkSession) -> None:
-    """Delete the stored summaries, once the reports are exported."""
+    """Delete all summaries that this application stored, once their reports are exported."""
     remove_folder(spark, scratch_folder(spark, "summaries"))
