@@ -13,8 +13,12 @@ from tilltrail.plans import baseline, strategy
 from tilltrail.plans.registry import all_queries
 
 QUERIES = all_queries()
-# Windows over few rows by construction: a limit of k, and at most 2^21 leading digits of a number.
+# Windows over few rows by construction: a limit of k, one row per shuffle partition, one per 2^32 positions.
 BOUNDED_WINDOWS = {
+    "category_concentration",
+    "brand_concentration",
+    "category_concentration_summary",
+    "brand_concentration_summary",
     "top_brands_avg_price",
     "epoch_top_brands_avg_price",
     "add_surrogate_id",

@@ -515,5 +515,85 @@ def _sources() -> dict[str, str]:
     }
 
 
+def _concentration(label: str, status: str, status_column: str) -> dict[str, str]:
+    ranked = (
+        f", g AS (SELECT {label}, count(*) AS n, coalesce(sum(cents), 0) AS c FROM vw GROUP BY {label}),\n"
+        f"r AS (SELECT *, row_number() OVER (ORDER BY c DESC, {label}) AS place, sum(c) OVER (ORDER BY c DESC, {label} "
+        "ROWS UNBOUNDED PRECEDING) AS run, sum(c) OVER () AS total, count(*) OVER () AS labels FROM g)\n"
+    )
+    core = "(run - c) * 100 < total * 80"
+    return {
+        "rows": on_view(
+            f"{ranked}SELECT place AS revenue_rank, {label}, {status} AS {status_column}, n AS transaction_volume, "
+            f"{money('c')} AS total_revenue, {money('run')} AS running_revenue, {share('run', 'total')} AS "
+            f"running_share_pct, {core} AS is_core FROM r"
+        ),
+        "summary": on_view(
+            f"{ranked}, s AS (SELECT count(*) AS labels, sum(c) AS total, count(*) FILTER ({core}) AS core, "
+            f"coalesce(sum(c) FILTER (NOT {core}), 0) AS tail, max(c) AS top, sum((place - 1) * c) AS weighted FROM r)\n"
+            f"SELECT labels, {money('total')} AS total_revenue, core AS core_labels, labels - core AS tail_labels, "
+            f"{share('top', 'total')} AS top_share_pct, {share('tail', 'total')} AS tail_share_pct, "
+            f"{share('(labels - 1) * total - 2 * weighted', 'labels * total')} AS gini_pct FROM s"
+        ),
+    }
+
+
+def _heavy_gaps(key: str, value: str, opening: str, per_mille: int) -> str:
+    return on_records(
+        f", t AS (SELECT {key}, max({value}) AS text FROM tx GROUP BY {key}),\n"
+        f"g AS (SELECT {key}, count(*) AS n, sum(cents) AS c FROM tx WHERE {value} IS NULL GROUP BY {key}),\n"
+        "s AS (SELECT *, sum(c) OVER () AS total FROM g)\n"
+        f"SELECT {key}, coalesce(text, '{opening}' || CAST({key} AS VARCHAR) || ')') AS label, text IS NOT NULL AS "
+        f"is_recoverable, n AS transaction_volume, {money('c')} AS total_revenue, {share('c', 'total')} AS "
+        f"share_of_gap_revenue FROM s JOIN t USING ({key}) WHERE c * 1000 >= total * {per_mille}"
+    )
+
+
+MONTHLY_DISTINCT = (
+    "SELECT year, month, user_type, count(DISTINCT user_id) AS unique_registered_users, count(DISTINCT product_id) AS "
+    "product_diversity, count(DISTINCT category_id) AS category_diversity{more} FROM dated GROUP BY ALL"
+)
+
+MOVED_BRANDS = f"""
+, cut AS (SELECT *, least(order_id % 40, 2)::INT AS part FROM clean),
+steps AS (SELECT unnest([1, 2]) AS step),
+texts AS (
+  SELECT step, product_id, max(brand) FILTER (part < step) AS old, max(brand) FILTER (part = step) AS brought
+  FROM cut, steps GROUP BY ALL
+),
+moving AS (
+  SELECT step, product_id, user_type, count(*) AS n, sum(cents) AS c, count(price) AS p
+  FROM cut, steps WHERE part < step AND brand IS NULL GROUP BY ALL
+)
+SELECT ['first', 'second', 'third'][step + 1] AS batch, product_id,
+  coalesce(old, 'unknown (Prod: ' || CAST(product_id AS VARCHAR) || ')') AS from_label, brought AS to_label, user_type,
+  n AS vol, {money('c')} AS rev, p AS priced
+FROM texts JOIN moving USING (step, product_id) WHERE brought IS NOT NULL AND (old IS NULL OR brought > old)
+"""
+
+
+def _questions() -> dict[str, str]:
+    category = _concentration("category_code", _status("category_code", "unlabelled", "Unlabelled", "Labelled"), "label_status")
+    brand = _concentration("brand", _status("brand", "unknown", "Unknown", "Known"), "brand_status")
+    names = ("unique_registered_users", "product_diversity", "category_diversity")
+    within = "".join(f", true AS {name}_within" for name in names)
+    totals = on_view("SELECT {label}, user_type, count(*) AS vol, {rev} AS rev, count(price) AS priced FROM vw GROUP BY ALL")
+    return {
+        "distinct_by_month": on_clean(MONTHLY_DISTINCT.format(more="")),
+        "distinct_estimates_by_month": on_clean(MONTHLY_DISTINCT.format(more=within)),
+        "portfolio_after_appends": _strategy()["strategy_portfolio"],
+        "segmentation_after_appends": _strategy()["user_segmentation"],
+        "category_totals_after_appends": totals.replace("{label}", "category_code").replace("{rev}", money("sum(cents)")),
+        "brand_totals_after_appends": totals.replace("{label}", "brand").replace("{rev}", money("sum(cents)")),
+        "moved_brand_totals": on_clean(MOVED_BRANDS.strip()),
+        "category_concentration": category["rows"],
+        "brand_concentration": brand["rows"],
+        "category_concentration_summary": category["summary"],
+        "brand_concentration_summary": brand["summary"],
+        "heavy_gap_categories": _heavy_gaps("category_id", "category_code", "unlabelled (ID: ", 5),
+        "heavy_gap_products": _heavy_gaps("product_id", "brand", "unknown (Prod: ", 5),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources()}
+    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources(), **_questions()}

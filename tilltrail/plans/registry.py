@@ -11,8 +11,9 @@ from tilltrail import schema as S
 from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
-from tilltrail.plans import baseline, strategy, summaries, views
-from tilltrail.session import fresh_folder
+from tilltrail.plans import baseline, concentration, distincts, enrichment, strategy, summaries, views
+from tilltrail.plans.incremental import SummaryStore
+from tilltrail.session import fresh_folder, stored
 from tilltrail.sources import tables
 from tilltrail.sources.samples import ALL, sample_purchases
 
@@ -230,8 +231,8 @@ def appended_ids(df: DataFrame) -> DataFrame:
     odd = F.col("order_id") % 2 == 1
     tables.write_clean(df.filter(~odd), folder)
     tables.write_clean(df.filter(odd), folder, mode="append")
-    stored = tables.read_clean(spark, folder)
-    return stored.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("distinct_ids"))
+    whole = tables.read_clean(spark, folder)
+    return whole.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("distinct_ids"))
 
 
 def exported_report(report: DataFrame) -> DataFrame:
@@ -263,5 +264,53 @@ def _sources() -> dict[str, Query]:
     }
 
 
+def by_month() -> list[Column]:
+    return [F.year(CLOCK).alias("year"), F.month(CLOCK).alias("month"), F.col("user_type")]
+
+
+def distinct_estimates(df: DataFrame) -> DataFrame:
+    """Monthly estimates merged from stored sketches by hour, held against exact counts."""
+    sketches, _ = stored(distincts.hour_sketches(df), "hour-sketches")
+    return distincts.checked_estimates(df, sketches, *by_month())
+
+
+BATCHES = ("first", "second", "third")
+
+
+def appended_store(df: DataFrame) -> SummaryStore:
+    """A store of summaries to which the records were appended in three batches: two small ones, then the rest."""
+    spark = df.sparkSession
+    store = SummaryStore(spark, fresh_folder(spark, "summary-store"))
+    part = F.least((F.col("order_id") % 40).cast("int"), F.lit(2))
+    for i, name in enumerate(BATCHES):
+        store.append(df.filter(part == i), name)
+    return store
+
+
+def _questions() -> dict[str, Query]:
+    counted = ["user_id", "event_time", "product_id", "category_id"]
+    money = [*CATEGORY_COLUMNS, "price"], [*BRAND_COLUMNS, "price"]
+    (category, brand), both = money, (I.CATEGORY, I.BRAND)
+    return {
+        "distinct_by_month": clean(counted, lambda df: distincts.exact(df, *by_month())),
+        "distinct_estimates_by_month": clean(counted, distinct_estimates),
+        "portfolio_after_appends": clean(
+            STORED, lambda df: appended_store(df).reports()["10_unified_strategy_portfolio"]
+        ),
+        "segmentation_after_appends": clean(
+            STORED, lambda df: appended_store(df).reports()["01_user_segmentation_summary"]
+        ),
+        "category_totals_after_appends": clean(STORED, lambda df: appended_store(df).label_totals(I.CATEGORY)),
+        "brand_totals_after_appends": clean(STORED, lambda df: appended_store(df).label_totals(I.BRAND)),
+        "moved_brand_totals": clean(STORED, lambda df: appended_store(df).moves(I.BRAND)),
+        "category_concentration": clean(category, lambda df: concentration.concentration(df, both[0])),
+        "brand_concentration": clean(brand, lambda df: concentration.concentration(df, both[1])),
+        "category_concentration_summary": clean(category, lambda df: concentration.concentration_summary(df, both[0])),
+        "brand_concentration_summary": clean(brand, lambda df: concentration.concentration_summary(df, both[1])),
+        "heavy_gap_categories": clean(category, lambda df: enrichment.heavy_gaps(df, both[0], "0.5")),
+        "heavy_gap_products": clean(brand, lambda df: enrichment.heavy_gaps(df, both[1], "0.5")),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources()}
+    return {**_quality(), **_cleaning(), **_baseline(), **_strategy(), **_sources(), **_questions()}
