@@ -52,22 +52,31 @@ def _expanded(part: Column) -> Column:
 
 
 def _visited(parts: Column) -> Column:
-    """Each part with what it puts into the text, and its number among the turn's attachments."""
+    """What the parts put into the text, and the attachments among them.
+
+    Text between two attachments is joined before it is escaped: a control string may be spread over several parts.
+    """
     is_text = lambda part: F.coalesce(part["type"] == "text", F.lit(True))
     attached = F.filter(parts, lambda p: ~is_text(p))
+    numbered = F.transform(parts, lambda p, i: F.struct(is_text(p).alias("text"), (i + 1).alias("at")))
+    places = F.transform(F.filter(numbered, lambda p: ~p["text"]), lambda p: p["at"])
+    bounds = F.concat(F.array(F.lit(0)), places, F.array(F.size(parts) + 1))
 
     def recorded(part: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).alias("number"), part["type"].alias("type"), part["ref"].alias("ref"), _expanded(part).alias("tokens")
         )
 
-    def visit(part: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(parts, 1, i + 1), lambda p: ~is_text(p)))
-        kind = F.regexp_replace(F.coalesce(part["type"], F.lit("")), "[^A-Za-z0-9_]", "_")
-        holder = F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
-        return F.when(is_text(part), escape(part["text"])).otherwise(holder)
+    def stretch(start: Column, i: Column) -> Column:
+        """The text from one attachment to the next, and that one's placeholder."""
+        end = F.get(bounds, i + 1)
+        between = F.slice(parts, start + 1, F.coalesce(end - start - 1, F.lit(0)))
+        text = escape(F.array_join(F.transform(between, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+        kind = F.regexp_replace(F.coalesce(F.get(attached, i)["type"], F.lit("")), "[^A-Za-z0-9_]", "_")
+        holder = F.concat(F.lit("<|"), kind, F.lit(":"), (i + 1).cast("string"), F.lit("|>"))
+        return F.concat(text, F.when(i < F.size(attached), holder).otherwise(""))
 
-    text = F.array_join(F.transform(parts, visit), "")
+    text = F.array_join(F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), stretch), "")
     return F.struct(text.alias("text"), F.transform(attached, recorded).alias("attachments"))
 
 
@@ -79,7 +88,7 @@ def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) ->
     A null role or text is empty, rows without a conv_id are one conversation. ``loss_spans`` are
     offsets in characters, ``start`` and ``length``, of what the trained role says. An attachment is
     known by its turn's place and its number there. The text of a conversation is one value, so
-    a conversation is as large as a value may be.
+    a conversation is as large as a value may be. Columns of other names are not read, so they cannot clash.
     """
     parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else text_parts(F.col("text"))
     parts = F.coalesce(parts, F.array().cast(PARTS))
