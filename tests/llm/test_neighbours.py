@@ -44,7 +44,7 @@ def test_all_leaves_opened_is_brute_force(spark, kind, monkeypatch):
         vectors *= draw.uniform(0.1, 5, (600, 1)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 10)
+    monkeypatch.setattr(neighbours, "SEARCHED", 10)
     found = found_in(neighbours.nearest(table_of(spark, rows), 20, 20, trees=2, share=2.0, leaf_rows=20))
     expected = brute(rows, 20, 20)
     assert found.keys() == expected.keys()
@@ -72,3 +72,54 @@ def test_unusable_vectors_take_no_part(spark):
 def test_nothing_to_search(spark):
     assert neighbours.nearest(table_of(spark, [])).count() == 0
     assert neighbours.nearest(table_of(spark, [(20, [1.0])])).count() == 0
+
+
+def test_repeated_rows_take_no_places(spark, monkeypatch):
+    """Thirty equal rows of one id, and all vectors equal: neighbours are as many different ids as there are."""
+    draw = np.random.default_rng(5)
+    others = [(i, draw.standard_normal(4).astype(np.float32).tolist()) for i in range(2, 31)]
+    rows = [(1, [9.0, 9.0, 9.0, 9.0])] * 30 + others + [(20, others[18][1])] * 5
+    expected = brute(list({(i, tuple(v)) for i, v in rows}), 20, 20)
+    for block in (32_768, 8):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+        found = found_in(neighbours.nearest(table_of(spark, rows), share=2.0, trees=2, leaf_rows=8))
+        assert {q: [i for i, _ in own] for q, own in found.items()} == {q: [i for i, _ in own] for q, own in expected.items()}
+    same = [(i // 3, [1.0, 2.0]) for i in range(120)]
+    found = found_in(neighbours.nearest(table_of(spark, same), share=2.0))
+    assert [i for i, _ in found[0]] == list(range(1, 21)) and [i for i, _ in found[20]] == list(range(20))
+
+
+def test_ids_with_several_vectors_count_with_the_best(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = [(i % 60, draw.standard_normal(5).astype(np.float32).tolist()) for i in range(400)]
+    sound = [(i, np.array(v, dtype=np.float64)) for i, v in rows]
+    expected = {}
+    for q in (0, 20, 40):
+        best = {}
+        for i, v in sound:
+            if i != q:
+                best[i] = max([best.get(i, -np.inf), *[float((x * v).sum()) for j, x in sound if j == q]])
+        expected[q] = sorted(best, key=lambda i: (-best[i], i))[:20]
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    found = found_in(neighbours.nearest(table_of(spark, rows), share=2.0, trees=2, leaf_rows=20))
+    assert {q: [i for i, _ in own] for q, own in found.items()} == expected
+
+
+def test_rows_are_sent_once_per_tree_and_queries_to_few_buckets(spark):
+    """On structured vectors a query opens few leaves, and what is sent for it does not grow with the rows."""
+    draw = np.random.default_rng(7)
+    sent = {}
+    for groups in (40, 160):
+        centres = draw.standard_normal((groups, 16)) * 10
+        vectors = np.repeat(centres, 50, axis=0) + draw.standard_normal((groups * 50, 16)) * 0.1
+        forest = neighbours.fit(vectors, len(vectors), float(np.linalg.norm(vectors, axis=1).max()), 4, 50)
+        leaves = forest.leaves(vectors)
+        held = np.stack([np.bincount(leaves[:, t], minlength=forest.inner + 1) for t in range(4)])
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(neighbours, "BLOCK_ROWS", 100)
+            index = neighbours._Index.of(forest, held, len(vectors), 400 / len(vectors))
+        assert index.blocks.sum() <= 4 * len(vectors) / 100 + 4
+        distances = forest.distances(forest.lifted(vectors[::20])[:, :-1])
+        opened = [{int(index.buckets[t, leaf]) for t, leaf in neighbours.search(d, held, index.wanted)} for d in distances]
+        sent[groups] = np.mean([len(b) for b in opened])
+    assert sent[160] < 1.5 * sent[40]

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilltrail.llm.store import stored
+
 TREES = 6
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 50
 SHARE = 1.3
 BUCKETS = 4
 BLOCK_ROWS = 32_768
-BLOCK_QUERIES = 8_192
 SEARCHED = 64
 TOLERANCE = 1e-9
 
@@ -136,18 +137,21 @@ class _Index:
     held: np.ndarray
     buckets: np.ndarray
     blocks: np.ndarray
-    query_blocks: int
     wanted: float
 
     @staticmethod
-    def of(forest: Forest, held: np.ndarray, rows: int, queries: int, share: float) -> _Index:
-        """Leaves side by side share a bucket of about even size; a large bucket is dealt to blocks."""
+    def of(forest: Forest, held: np.ndarray, rows: int, share: float) -> _Index:
+        """Leaves side by side share a bucket of about ``BLOCK_ROWS``; one with a large leaf is dealt to blocks.
+
+        So a query goes to as many buckets as its leaves lie in, and a tree sends each row to one place.
+        """
+        per_tree = max(BUCKETS, -(-rows // BLOCK_ROWS))
         before = np.cumsum(held, axis=1) - held
-        part = np.minimum(BUCKETS - 1, before * BUCKETS // max(1, rows))
-        buckets = part + np.arange(len(held))[:, None] * BUCKETS
-        sizes = np.bincount(buckets.ravel(), held.ravel(), minlength=len(held) * BUCKETS)
-        blocks = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(int)
-        return _Index(forest, held, buckets, blocks, max(1, -(-queries // BLOCK_QUERIES)), share * rows)
+        part = np.minimum(per_tree - 1, before * per_tree // max(1, rows))
+        buckets = part + np.arange(len(held))[:, None] * per_tree
+        sizes = np.bincount(buckets.ravel(), held.ravel(), minlength=len(held) * per_tree)
+        blocks = np.maximum(1, np.ceil(sizes / (2 * BLOCK_ROWS))).astype(int)
+        return _Index(forest, held, buckets, blocks, share * rows)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -185,8 +189,14 @@ def _count_leaves(shared):
     return of_batches
 
 
-def _deal_rows(shared):
-    """Each row once per tree, for each block of queries."""
+DEALT = ["bucket", "block", "asks", "leaves", "vec_id", "further", "vector"]
+
+
+def _deal(shared, query_step: int):
+    """Each row once per tree, to the bucket of its leaf; each query to every bucket it opens leaves of.
+
+    Rows come with their leaf, queries with all leaves they open there and to every block of the bucket.
+    """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: _Index = shared.value
@@ -194,57 +204,36 @@ def _deal_rows(shared):
             if not len(batch):
                 continue
             ids = batch.column("vec_id").to_numpy()
-            leaves = index.forest.leaves(_matrix(batch.column("vector")))
+            vectors = _matrix(batch.column("vector"))
+            leaves = index.forest.leaves(vectors)
             for tree in range(leaves.shape[1]):
                 bucket = index.buckets[tree, leaves[:, tree]]
-                block = (_spread(ids, 1 << 30) % index.blocks[bucket]).astype(np.int64)
-                for query_block in range(index.query_blocks):
-                    columns = [
-                        pa.array(bucket, pa.int32()),
-                        pa.array(block, pa.int32()),
-                        pa.array(np.full(len(ids), query_block), pa.int32()),
-                        pa.array(leaves[:, tree], pa.int32()),
-                        batch.column("vec_id"),
-                        batch.column("vector"),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "query_block", "leaf", "vec_id", "vector"])
+                block = _spread(ids, 1 << 30) % index.blocks[bucket]
+                yield _dealt(batch, np.arange(len(ids)), bucket, block, False, leaves[:, tree, None].tolist())
+            asks = np.flatnonzero(ids % query_step == 0)
+            for some in np.split(asks, range(SEARCHED, len(asks), SEARCHED)):
+                at, bucket, block, opened = [], [], [], []
+                distances = index.forest.distances(vectors[some])
+                for i, near in zip(some, distances, strict=True):
+                    own: dict[int, list[int]] = {}
+                    for tree, leaf in search(near, index.held, index.wanted):
+                        own.setdefault(int(index.buckets[tree, leaf]), []).append(leaf)
+                    for b, leaves_there in own.items():
+                        for k in range(index.blocks[b]):
+                            at.append(i)
+                            bucket.append(b)
+                            block.append(k)
+                            opened.append(leaves_there)
+                if at:
+                    yield _dealt(batch, np.array(at), np.array(bucket), np.array(block), True, opened)
 
     return of_batches
 
 
-def _deal_queries(shared):
-    """Each query once per bucket it opens a leaf of, with these leaves, for each block of rows."""
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: _Index = shared.value
-        for batch in batches:
-            at, bucket, block, leaves = [], [], [], []
-            vectors = _matrix(batch.column("vector"))
-            for i in range(len(vectors)):
-                if i % SEARCHED == 0:
-                    distances = index.forest.distances(vectors[i : i + SEARCHED])
-                opened: dict[int, list[int]] = {}
-                for tree, leaf in search(distances[i % SEARCHED], index.held, index.wanted):
-                    opened.setdefault(int(index.buckets[tree, leaf]), []).append(leaf)
-                for b, own in opened.items():
-                    for k in range(index.blocks[b]):
-                        at.append(i)
-                        bucket.append(b)
-                        block.append(k)
-                        leaves.append(own)
-            rows = batch.take(pa.array(at, pa.int64()))
-            own_block = _spread(rows.column("vec_id").to_numpy(), index.query_blocks)
-            columns = [
-                pa.array(bucket, pa.int32()),
-                pa.array(block, pa.int32()),
-                pa.array(own_block, pa.int32()),
-                pa.array(leaves, pa.list_(pa.int32())),
-                rows.column("vec_id"),
-                rows.column("vector"),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "query_block", "leaves", "vec_id", "vector"])
-
-    return of_batches
+def _dealt(batch: pa.RecordBatch, at: np.ndarray, bucket: np.ndarray, block: np.ndarray, asks: bool, leaves: list) -> pa.RecordBatch:
+    rows = batch.take(pa.array(at, pa.int64()))
+    own = [pa.array(bucket, pa.int32()), pa.array(block, pa.int32()), pa.array(np.full(len(at), asks)), pa.array(leaves, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([*own, *(rows.column(c) for c in ("vec_id", "further", "vector"))], DEALT)
 
 
 def _first_of_equals(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -263,7 +252,7 @@ class _Best:
 
     Rough scores come from matrix products, whose last bits depend on where a row stands. So what
     is close to the ``k``-th is kept too, and what is left at the end is scored pair by pair: equal
-    vectors get equal scores.
+    vectors get equal scores. An id that has several vectors counts once: only one of them raises the limit.
     """
 
     def __init__(self, queries: int, k: int) -> None:
@@ -275,10 +264,10 @@ class _Best:
         kth = self.scores[who].min(axis=1)
         return np.where(np.isfinite(kth), kth - TOLERANCE * np.maximum(1.0, np.abs(kth)), -np.finfo(float).max)
 
-    def add(self, who: np.ndarray, rows: np.ndarray, rough: np.ndarray) -> None:
+    def add(self, who: np.ndarray, rows: np.ndarray, rough: np.ndarray, further: np.ndarray) -> None:
         at, row = np.nonzero(rough >= self._limits(who)[:, None])
         self.found.append((who[at], rows[row], rough[at, row]))
-        both = np.concatenate([self.scores[who], rough], axis=1)
+        both = np.concatenate([self.scores[who], rough[:, ~further]], axis=1)
         self.scores[who] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
 
     def left(self) -> tuple[np.ndarray, np.ndarray]:
@@ -289,36 +278,77 @@ class _Best:
         return who[keep], rows[keep]
 
 
-def _score_block(k: int):
-    def of_group(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        query_ids = queries.column("vec_id").to_numpy()
-        query, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        if len(query_ids) and len(rows):
-            asked = _matrix(queries.column("vector").combine_chunks())
-            opened = queries.column("leaves").combine_chunks()
-            owner = np.repeat(np.arange(len(opened)), opened.value_lengths().to_numpy())
-            wanted = opened.flatten().to_numpy()
-            ids, leaf = rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy()
-            vectors = _matrix(rows.column("vector").combine_chunks())
-            best = _Best(len(query_ids), k)
-            for who, inside in _by_leaf(owner, wanted, leaf):
-                if len(inside) > k + 1:
-                    inside = inside[_first_of_equals(vectors[inside], ids[inside], k + 1)]
-                rough = asked[who] @ vectors[inside].T
-                rough[query_ids[who][:, None] == ids[inside][None, :]] = -np.inf
-                best.add(who, inside, rough)
-            q, r = best.left()
-            query, row, score = query_ids[q], ids[r], np.empty(len(q))
-            for at in range(0, len(q), BLOCK_ROWS):
-                part = slice(at, at + BLOCK_ROWS)
-                score[part] = (asked[q[part]] * vectors[r[part]]).sum(axis=1)
+class _Block:
+    """The rows of one block, to which its queries come batch by batch."""
+
+    def __init__(self, key: tuple[int, int]) -> None:
+        self.key = key
+        self.parts: list[pa.RecordBatch] = []
+        self.rows: tuple | None = None
+
+    def _gathered(self) -> tuple:
+        if self.rows is None:
+            table = pa.Table.from_batches(self.parts)
+            self.parts = []
+            column = lambda name: table.column(name).combine_chunks()
+            self.rows = (
+                column("vec_id").to_numpy(),
+                column("leaves").flatten().to_numpy(),
+                column("further").to_numpy(zero_copy_only=False),
+                _matrix(column("vector")),
+            )
+        return self.rows
+
+    def best(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
+        if not self.parts and self.rows is None:
+            return None
+        ids, leaf, further, vectors = self._gathered()
+        query_ids, asked = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"))
+        opened = queries.column("leaves")
+        owner = np.repeat(np.arange(len(opened)), opened.value_lengths().to_numpy())
+        best = _Best(len(query_ids), k)
+        for who, inside in _by_leaf(owner, opened.flatten().to_numpy(), leaf):
+            if len(inside) > k + 1:
+                inside = inside[_first_of_equals(vectors[inside], ids[inside], k + 1)]
+            rough = asked[who] @ vectors[inside].T
+            rough[query_ids[who][:, None] == ids[inside][None, :]] = -np.inf
+            best.add(who, inside, rough, further[inside])
+        q, r = best.left()
+        score = np.empty(len(q))
+        for at in range(0, len(q), BLOCK_ROWS):
+            part = slice(at, at + BLOCK_ROWS)
+            score[part] = (asked[q[part]] * vectors[r[part]]).sum(axis=1)
+        # A query id with several vectors asks with each; an id found by several vectors counts with the best.
+        query, row = query_ids[q], ids[r]
         order = np.lexsort((row, -score, query))
         query, row, score = query[order], row[order], score[order]
+        firsts = np.sort(np.unique(np.stack([query, row]), axis=1, return_index=True)[1]) if len(query) else np.empty(0, np.int64)
+        query, row, score = query[firsts], row[firsts], score[firsts]
         keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
-        columns = {"query_id": pa.array(query[keep]), "vec_id": pa.array(row[keep]), "score": pa.array(score[keep])}
-        return pa.table(columns)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (query, row, score)], ["query_id", "vec_id", "score"])
 
-    return of_group
+
+def _score_blocks(k: int):
+    """Scores of blocks sorted by key, rows before queries. A block's rows are held, its queries pass by."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Block | None = None
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "block", "asks")]
+            cuts = np.flatnonzero(np.any([np.diff(key) != 0 for key in keys], axis=0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+                if start == end:
+                    continue
+                key = (int(keys[0][start]), int(keys[1][start]))
+                if held is None or held.key != key:
+                    held = _Block(key)
+                part = batch.slice(start, end - start)
+                if not keys[2][start]:
+                    held.parts.append(part)
+                elif (found := held.best(part, k)) is not None:
+                    yield found
+
+    return of_batches
 
 
 def _by_leaf(owner: np.ndarray, wanted: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -333,6 +363,19 @@ def _by_leaf(owner: np.ndarray, wanted: np.ndarray, leaf: np.ndarray) -> Iterato
 # --- search -------------------------------------------------------------------------------------
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows without repeats, and whether a row is a ``further`` vector of its id. Nothing is shuffled if ids are unique."""
+    counts = rows.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first()
+    if counts[0] == counts[1]:
+        return rows.withColumn("further", F.lit(False))
+    apart = rows.withColumn("_hash", F.xxhash64("vector")).dropDuplicates(["vec_id", "_hash", "vector"])
+    apart = stored(apart, "vectors")
+    firsts = apart.groupBy("vec_id").agg(F.min(F.struct("_hash", "vector")).alias("_first"))
+    keyed = [side.withColumn("_h", F.hash("vec_id")) for side in (apart, firsts)]
+    further = F.struct("_hash", "vector") != F.col("_first")
+    return stored(keyed[0].join(keyed[1], ["vec_id", "_h"]).select("vec_id", "vector", further.alias("further")), "vectors")
+
+
 def nearest(
     table: DataFrame,
     query_step: int = 20,
@@ -347,8 +390,9 @@ def nearest(
     Queries are the rows whose ``vec_id`` is divisible by ``query_step``, candidates all rows but
     those with the query's id; ties go to the smaller id. Rows without an id, and vectors that are null, zero,
     or hold null or non-finite components, take no part, nor do those that are not as long as
-    most vectors are. Repeated rows count once per query. Few rows, or none, give as many neighbours as
-    there are.
+    most vectors are. Repeated rows count once; an id with several vectors counts with the one that scores best, and
+    as a query asks with each. Few rows, or none, give as many neighbours as there are. Only ``vec_id`` and ``embedding``
+    are read, so other names cannot clash.
 
     ``share`` is how many rows, as a share of all, the opened leaves hold, rows counted once per tree.
     It trades time for recall: vectors without any structure, as in the test data, need most of it, and
@@ -360,28 +404,25 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("vector") == lengths[0]["n"])
+    rows = _told_apart(rows.filter(F.size("vector") == lengths[0]["n"]))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    is_query = F.col("vec_id") % query_step == 0
-    total, queries, longest = rows.agg(
-        F.count(F.lit(1)), F.count_if(is_query), F.sqrt(F.max(norm))
-    ).first()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    total, longest = rows.agg(F.count(F.lit(1)), F.sqrt(F.max(norm))).first()
+    # Few more rows than wanted by their hash, so that tasks do not each offer a whole sample to the driver.
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.2 * sample_rows / total + 100 / total))
+    sample = rows.filter(spread).select("vector").orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).collect()
     forest = fit(np.array([r["vector"] for r in sample], dtype=np.float64), total, longest, trees, leaf_rows)
     shared_forest = spark.sparkContext.broadcast(forest)
     counted = rows.mapInArrow(_count_leaves(shared_forest), "tree int, leaf int, n long")
     held = np.zeros((trees, forest.inner + 1), dtype=np.int64)
     for row in counted.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
         held[row["tree"], row["leaf"]] = row["n"]
-    index = spark.sparkContext.broadcast(_Index.of(forest, held, total, queries, share))
+    index = spark.sparkContext.broadcast(_Index.of(forest, held, total, share))
     kind = rows.schema["vector"].dataType.simpleString()
-    keys = "bucket int, block int, query_block int"
-    dealt_rows = rows.mapInArrow(_deal_rows(index), f"{keys}, leaf int, vec_id long, vector {kind}")
-    asked = rows.filter(is_query).mapInArrow(_deal_queries(index), f"{keys}, leaves array<int>, vec_id long, vector {kind}")
-    by = ["bucket", "block", "query_block"]
-    scored = (
-        asked.groupBy(*by).cogroup(dealt_rows.groupBy(*by)).applyInArrow(_score_block(k), "query_id long, vec_id long, score double")
-    )
+    types = ["int", "int", "boolean", "array<int>", "long", "boolean", kind]
+    dealt = rows.mapInArrow(_deal(index, query_step), ", ".join(f"{n} {t}" for n, t in zip(DEALT, types, strict=True)))
+    blocks = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
+    scored = blocks.mapInArrow(_score_blocks(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
