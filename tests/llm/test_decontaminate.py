@@ -55,13 +55,17 @@ def test_values_must_map_one_to_one(spark):
 
 
 def test_short_items_count_as_a_whole(spark):
-    texts = ["well what is the capital of france anyway", "what is the capital of spain", "is it"]
-    assert set(found_in(spark, texts, ["What is the capital of France?", "is it", None, ""])) == {(0, 0)}
+    """Items under five words are found word for word, but in no other words."""
+    texts = ["well what is the capital of france anyway", "what is the capital of spain", "Is it", "visit Otto 5", "now visit Hugo 6", "this item"]
+    items = ["What is the capital of France?", "is it", None, "", "visit Otto 5"]
+    assert set(found_in(spark, texts, items)) == {(0, 0), (2, 1), (3, 4)}
 
 
 def test_placeholders_alone_are_no_evidence(spark):
+    """Thirty numbers are a copy if they are the same numbers."""
     numbers = " ".join(str(i) for i in range(30))
-    assert found_in(spark, [numbers, " ".join(str(i * 7) for i in range(30))], [numbers]) == {}
+    found = found_in(spark, [numbers, " ".join(str(i * 7) for i in range(30)), f"{FILLER} {numbers} kg"], [numbers])
+    assert found == {(0, 0): (18, 0), (2, 0): (18, 0)}
 
 
 def test_values_are_those_of_their_own_words(spark):
@@ -164,3 +168,56 @@ def test_planted_passages_of_the_test_table(spark):
         text = " ".join((row["text"] or "").split())
         expected |= {(row["doc_id"], i) for i, passage in bench.items() if passage in text}
     assert expected and expected <= found
+
+
+LONG = (
+    "Maria bought 14 boxes of apples at the market in Vienna and carried them home with Jonas who had 3 bags of his own while "
+    "the rain fell on the old bridge and the river rose to the second step of the stairs so that nobody could cross before the "
+    "evening came and the lamps were lit along the whole street again"
+)
+
+
+def test_one_changed_value_does_not_clear_a_long_copy(spark):
+    copy = LONG.replace("Maria", "Paula").replace("14", "22").replace("Vienna", "London").replace("Jonas", "Peter").replace(" 3 ", " 8 ")
+    tail = " and at the end Maria counted her boxes and Jonas his bags and both were glad that Maria had bought them"
+    clashing = copy + tail.replace("Maria", "Paula", 1).replace("Jonas", "Peter").replace("Maria", "Stella")
+    found = found_in(spark, [copy, clashing, f"{FILLER} {clashing} {FILLER}"], [LONG, LONG + tail])
+    assert {(0, 0), (1, 0), (1, 1), (2, 1)} <= set(found)
+    assert found[1, 1][0] >= 30
+
+
+def test_long_texts_and_what_is_shuffled_of_them(spark):
+    """A text of 20,000 words goes through the shuffle as hashes with places."""
+    words = " ".join(f"w{i % 977} x{i % 31}" for i in range(10_000))
+    text = f"{words} {QUESTION} {words}"
+    both = [found_in(spark, [text, text, words], [QUESTION], broadcast_windows=n) for n in (0, 1_000_000)]
+    assert both[0] == both[1] and set(both[0]) == {(0, 0), (1, 0)}
+    searched = decontaminate.benchmark_windows(bench_of(spark, [QUESTION]))
+    rows = decontaminate._with_words(docs_of(spark, [text]).selectExpr("doc_id", "1L as row_key", "text"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = decontaminate._hits_by_shuffle(rows, searched, [13])._jdf.queryExecution().executedPlan()
+        shuffled = []
+        stack = [plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+        while stack:
+            node = stack.pop()
+            if node.nodeName() == "Exchange":
+                shuffled.append(node.schema().simpleString())
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    documents = [s for s in shuffled if "doc_id" in s]
+    assert documents and all("array" not in s and "string" not in s for s in documents)
+
+
+def test_repeated_ids_ties_and_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, QUESTION, "a", 1), (1, FILLER, "a", 1), (None, QUESTION, "b", 2), (1, QUESTION, "c", 3)],
+        "doc_id long, text string, form string, windows int",
+    )
+    items = spark.createDataFrame([(7, QUESTION, 1), (8, QUESTION, 2), (7, QUESTION, 3)], "item_id long, text string, start int")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in found) == [("1", 7), ("1", 8), ("None", 7), ("None", 8)]
+    kept = decontaminate.clean_documents(docs, items)
+    assert [tuple(r) for r in kept.collect()] == [(1, FILLER, "a", 1)] and kept.columns == docs.columns

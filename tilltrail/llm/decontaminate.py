@@ -3,7 +3,7 @@
 Names, numbers and units become typed placeholders, so that a question with other values has the
 same template. Every window of a document's template is looked up among the windows of the
 benchmark by hash, and the values that stand in the placeholders must then map onto each other one
-to one: the same value of the question is the same value everywhere in a run of windows. Windows that
+to one: the same value of the question is the same value everywhere in a stretch of windows. Windows that
 agree word for word need no such check.
 
 Templates are made on the whole text and windows are hashed after the words are exploded: both are
@@ -12,6 +12,8 @@ compiled by Spark, where functions over arrays would be interpreted word by word
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tilltrail.llm.store import row_key, stored, without_rows
 
 WINDOW = 13
 SHORTEST = 5
+ANCHOR = 4
 BROADCAST_WINDOWS = 1_000_000
 
 # Words that name a unit if a number stands before them.
@@ -101,15 +104,28 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
     return cut.filter(F.size("numbers") - F.col("start") >= size)
 
 
-def _window(form: str, size: int) -> list[Column]:
-    """The words of a window in one of the forms.
+def _word(form: str, k: int) -> Column:
+    """The word at a place of a window in one of the forms.
 
     ``first_word`` has names but for the first word, which a passage set into a sentence may write
     either way.
     """
-    if form == FIRST_WORD:
-        return [F.get("numbers", F.col("start")), *_window("names", size)[1:]]
-    return [F.get(form, F.col("start") + k) for k in range(size)]
+    column = form if form != FIRST_WORD else "names" if k else "numbers"
+    return F.get(column, F.col("start") + k)
+
+
+def _window(form: str, size: int) -> list[Column]:
+    return [_word(form, k) for k in range(size)]
+
+
+def _hash(words: list[Column]) -> Column:
+    """A hash of the words and, with them, of their number."""
+    return F.xxhash64(*words, F.lit(len(words)))
+
+
+def _has_mark(size: int) -> Column:
+    """Whether a placeholder stands in the window in any form; ``names`` has all that the others have."""
+    return reduce(lambda a, b: a | b, [F.coalesce(_word("names", k).contains(_MARK), F.lit(False)) for k in range(size)])
 
 
 def _slots(words: Column) -> Column:
@@ -141,29 +157,27 @@ def _pairs() -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """``hash``, ``size``, ``item_id``, ``form``, ``item_start`` and ``item_slots`` of every window of the benchmark.
+    """``hash``, ``anchor``, ``size``, ``item_id``, ``form``, ``item_start`` and ``item_slots`` of every window of the benchmark.
 
     Items shorter than a window are one window. Each item is there word for word, in lower case, and
     with placeholders for numbers: without names, with those inside sentences, with all capitalised words
-    as names, and with all but the first. With placeholders, windows that are mostly
-    placeholders would match by chance and are left out; word for word only those of nothing but
-    numbers and units are. Items under ``shortest`` words are left out.
+    as names, and with all but the first. Windows that are mostly placeholders, and items under ``shortest``
+    words, would match by chance in other words: they are there word for word only. ``anchor`` is a hash of the first words.
     """
-    items = _with_words(benchmark.select("item_id", "text")).filter(F.size("numbers") >= shortest)
+    items = _with_words(benchmark.select("item_id", "text")).filter(F.array_join(LITERAL, "") != "")
     items = stored(items.withColumn("size", F.least(F.lit(window), F.size("numbers"))), "benchmark-items")
     parts = []
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
         cut = _windows(items.filter(F.col("size") == size), size)
-        for form in FORMS:
+        for form in FORMS if size >= shortest else [LITERAL]:
             words = F.array(*_window(form, size))
             plain = F.size(F.filter(words, lambda w: ~w.startswith(_MARK)))
-            if form == LITERAL:
-                evidence = F.exists(F.array(*_window("numbers", size)), lambda w: ~w.startswith(_MARK))
-            else:
-                evidence = plain * 2 > size
+            # Without a placeholder the other forms are the literal one.
+            evidence = F.lit(True) if form == LITERAL else (plain * 2 > size) & _has_mark(size)
             parts.append(
                 cut.filter(evidence).select(
-                    F.xxhash64(*_window(form, size)).alias("hash"),
+                    _hash(_window(form, size)).alias("hash"),
+                    _hash(_window(form, min(ANCHOR, size))).alias("anchor"),
                     "size",
                     "item_id",
                     F.lit("names" if form == FIRST_WORD else form).alias("form"),
@@ -173,7 +187,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
             )
     if not parts:
         empty = (
-            "hash long, size int, item_id long, form string, item_start int, "
+            "hash long, anchor long, size int, item_id long, form string, item_start int, "
             "item_slots array<struct<at:int,names:boolean,values:array<string>>>"
         )
         return benchmark.sparkSession.createDataFrame([], empty)
@@ -183,6 +197,52 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
     return whole.distinct()
 
 
+HIT = ["doc_id", "row_key", "start", "size", "item_id", "form", "item_start", "item_slots"]
+
+
+def _hits_by_anchor(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows that agree, the benchmark's being broadcast.
+
+    The first words of every window are looked up; only where they are found is all of it hashed. Where these few
+    words hold no placeholder they are the same in all forms, so one hash serves for all.
+    """
+    lengths = sorted({min(ANCHOR, size) for size in sizes})
+    probes = []
+    for n in lengths:
+        every = F.struct(F.lit(None).cast("string").alias("one"), F.lit(n).alias("n"), _hash(_window(LITERAL, n)).alias("anchor"))
+        own = [F.struct(F.lit(f).alias("one"), F.lit(n).alias("n"), _hash(_window(f, n)).alias("anchor")) for f in FORMS]
+        probes.append(F.when(_has_mark(n), F.array(*own)).otherwise(F.array(every)))
+    looked = _windows(rows, lengths[0]).withColumn("_probe", F.explode(F.concat(*probes) if len(probes) > 1 else probes[0]))
+    looked = looked.withColumn("anchor", F.col("_probe.anchor"))
+    near = looked.join(F.broadcast(searched.select("anchor").distinct()), "anchor", "left_semi")
+    forms = F.when(F.col("_probe.one").isNull(), F.array(*map(F.lit, FORMS))).otherwise(F.array("_probe.one"))
+    near = near.withColumn("_form", F.explode(forms))
+    parts = []
+    for size in sizes:
+        own = near.filter((F.col("_probe.n") == min(ANCHOR, size)) & (F.size("numbers") - F.col("start") >= size))
+        found = own.withColumn("hash", _hash_of_form(size)).join(F.broadcast(searched.filter(F.col("size") == size)), "hash")
+        parts.append(found.select(*HIT))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _hash_of_form(size: int) -> Column:
+    """The hash of the window in the form that ``_form`` names."""
+    out = _hash(_window(LITERAL, size))
+    for form in FORMS:
+        out = F.when(F.col("_form") == form, _hash(_window(form, size))).otherwise(out) if form != LITERAL else out
+    return out
+
+
+def _hits_by_shuffle(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows that agree, both sides shuffled by hash. What is shuffled of a document is a hash and where it stands, no words."""
+    parts = []
+    for size in sizes:
+        hashes = F.when(_has_mark(size), F.array(*[_hash(_window(f, size)) for f in FORMS])).otherwise(F.array(_hash(_window(LITERAL, size))))
+        cut = _windows(rows, size).select("doc_id", "row_key", "start", F.explode(F.array_distinct(hashes)).alias("hash"))
+        parts.append(cut.join(searched.filter(F.col("size") == size), "hash").select(*HIT))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -192,13 +252,15 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id``, ``row_key``, ``item_id``, ``windows``, ``changed_slots``: which document holds which item.
 
-    A document holds an item if at least one window of ``window`` template words (or the whole of a
-    shorter item) agrees word for word, or if a run of windows at consecutive places agrees with
-    placeholders and the values of the whole run map one to one. So an edit elsewhere in a copy does not
-    clear it. ``windows`` counts those of the longest such run, ``changed_slots`` the values that differ in
-    the least changed one: 0 if a window is copied word for word. Null and empty
-    texts hold nothing, an item without text is no item; repeated documents are reported by id
-    and text. Further columns of either table are not looked at.
+    A document holds an item if at least one window of ``window`` words (or the whole of a
+    shorter item) agrees word for word, or if windows at consecutive places agree with placeholders and a long
+    enough stretch of them maps the values one to one: two thirds of the run, or as many windows as a window has words
+    and one more. So neither an edit elsewhere nor a single changed value clears a long copy, and a few windows that agree by chance
+    beside conflicting ones are no copy. ``windows`` counts those of the longest such stretch, ``changed_slots`` the values that
+    differ in the least changed one: 0 if a window is copied word for word.
+
+    Null and empty texts hold nothing, an item without text is no item; repeated documents are reported by id
+    and text. Very long texts are read whole. Further columns of either table are not looked at, so they cannot clash.
 
     The windows of the benchmark are broadcast if they are counted to be at most
     ``broadcast_windows`` (about 100 bytes each); a larger benchmark is joined by shuffling hashes.
@@ -206,40 +268,66 @@ def contaminated(
     searched = stored(benchmark_windows(benchmark, window, shortest), "benchmark-windows")
     sizes = sorted(r["size"] for r in searched.select("size").distinct().collect()) or [window]
     small = searched.count() <= broadcast_windows
-    rows = _with_words(docs.select("doc_id", row_key().alias("row_key"), "text"))
-    # A row per form, so that the code for one window stays small enough to be compiled by the JVM.
-    pairs_of_forms = [("numbers", "names") if form == FIRST_WORD else (form, form) for form in FORMS]
-    structs = [F.struct(F.col(first).alias("first"), F.col(rest).alias("all")) for first, rest in pairs_of_forms]
-    forms = rows.select("doc_id", "row_key", "cased", "numbers", F.explode(F.array(*structs)).alias("_words"))
-    parts = []
-    for size in sizes:
-        wanted = searched.filter(F.col("size") == size).drop("size")
-        window_words = [F.get("_words.first", F.col("start")), *[F.get("_words.all", F.col("start") + k) for k in range(1, size)]]
-        cut = _windows(forms, size).withColumn("hash", F.xxhash64(*window_words))
-        found = cut.join(F.broadcast(wanted) if small else wanted, "hash")
-        shift = (F.col("start") - F.col("item_start")).alias("shift")
-        parts.append(found.select("doc_id", "row_key", "item_id", "form", "item_start", shift, _pairs().alias("pairs")))
-    aligned = parts[0]
-    for part in parts[1:]:
-        aligned = aligned.unionByName(part)
-    # Places less their rank are the same all along a run. A window in two forms of a group is one place.
-    alignment = ["doc_id", "row_key", "item_id", "form", "shift"]
+    keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
+    by_what = _hits_by_anchor if small else _hits_by_shuffle
+    hits = stored(by_what(_with_words(keyed), searched, sizes), "benchmark-hits").distinct()
+    # Words are made again for the documents that were hit, and meet their hits by key.
+    hit = keyed.join(hits.select("row_key").distinct(), "row_key", "left_semi")
+    words = _with_words(hit.dropDuplicates(["doc_id", "row_key"])).withColumnRenamed("doc_id", "_doc_id")
+    met = hits.join(words, "row_key").filter(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    alignment = ["doc_id", "row_key", "item_id", "form", "size", "shift"]
+    aligned = met.select(*HIT[:6], (F.col("start") - F.col("item_start")).alias("shift"), "item_start", _pairs().alias("pairs"))
+    # Places less their rank are the same all along a run.
     run = F.col("item_start") - F.dense_rank().over(Window.partitionBy(*alignment).orderBy("item_start"))
-    merged = (
-        aligned.withColumn("run", run)
-        .groupBy(*alignment, "run")
-        .agg(
-            F.count_distinct("item_start").alias("windows"),
-            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        )
+    # A window in two forms of a group is one place.
+    windows = aligned.withColumn("run", run).groupBy(*alignment, "run", "item_start").agg(
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    return _longest_stretches(stored(windows, "benchmark-runs"), [*alignment, "run"], window)
+
+
+def _longest_stretches(windows: DataFrame, run: list[str], window: int) -> DataFrame:
+    """The longest stretch of windows of each run whose values map one to one, where it is long enough.
+
+    Two values conflict if one side is the same and the other is not. A stretch ending at a window may begin behind
+    the latest place that conflicts with a later one in it.
+    """
+    values = windows.select(*run, F.explode("pairs").alias("p")).select(*run, "p.at", "p.nth", "p.item", "p.copy").distinct()
+    conflicts = values
+    for same, other in (("item", "copy"), ("copy", "item")):
+        occurrences = Window.partitionBy(*run, same).orderBy("at", "nth")
+        before = F.lag(F.struct("at", other)).over(occurrences)
+        switched = F.when(before.isNotNull() & ~before[other].eqNullSafe(F.col(other)), before["at"])
+        conflicts = conflicts.withColumn(f"_{same}", switched)
+        conflicts = conflicts.withColumn(f"_{same}", F.max(f"_{same}").over(occurrences.rowsBetween(Window.unboundedPreceding, 0)))
+    differs = (~F.col("item").eqNullSafe(F.col("copy"))).cast("int")
+    places = conflicts.select(
+        *run, F.col("at").alias("place"), F.lit(0).alias("kind"), F.greatest("_item", "_copy").alias("conflict"), differs.alias("differs"),
+        F.lit(None).cast("int").alias("item_start"),
+    )
+    ends = windows.select(
+        *run, (F.col("item_start") + F.col("size") - 1).alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("conflict"),
+        F.lit(0).alias("differs"), "item_start",
+    )
+    so_far = Window.partitionBy(*run).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*run)
+    both = places.unionByName(ends).withColumns(
+        {
+            "_first": F.min("item_start").over(whole),
+            "_all": F.count("item_start").over(whole),
+            "_changed": F.sum("differs").over(whole),
+            "_behind": F.max("conflict").over(so_far) + 1,
+        }
+    )
+    length = F.col("item_start") - F.greatest("_behind", "_first") + 1
+    runs = both.filter("kind = 1").groupBy(*run).agg(
+        F.max(length).alias("windows"), F.max("_all").alias("_all"), F.max("_changed").alias("changed")
     )
-    mapping = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["copy"])))
-    one_to_one = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size(mapping) for side in ("item", "copy")]
-    changed = F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["copy"])))
+    enough = F.least(F.ceil(F.col("_all") * 2 / 3), F.lit(window + 1))
     return (
-        merged.filter(one_to_one[0] & one_to_one[1])
+        runs.filter((F.col("windows") > 0) & (F.col("windows") >= enough))
         .groupBy("doc_id", "row_key", "item_id")
-        .agg(F.max("windows").alias("windows"), F.min(changed).alias("changed_slots"))
+        .agg(F.max("windows").cast("long").alias("windows"), F.min("changed").cast("int").alias("changed_slots"))
     )
 
 
