@@ -197,7 +197,7 @@ def test_long_texts_and_what_is_shuffled_of_them(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = decontaminate._hits_by_shuffle(rows, searched, [13])._jdf.queryExecution().executedPlan()
+        plan = decontaminate._found_by_shuffle(rows, searched, [13])._jdf.queryExecution().executedPlan()
         shuffled = []
         stack = [plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
         while stack:

@@ -221,10 +221,19 @@ def _hits_by_anchor(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> D
     for size in sizes:
         own = near.filter((F.col("_probe.n") == min(ANCHOR, size)) & (F.size("numbers") - F.col("start") >= size))
         found = own.withColumn("hash", _hash_of_form(size)).join(F.broadcast(searched.filter(F.col("size") == size)), "hash")
-        parts.append(found.select(*HIT))
+        parts.append(_aligned(found))
     return reduce(DataFrame.unionByName, parts)
 
 
+ALIGNMENT = ["doc_id", "row_key", "item_id", "form", "size", "shift"]
+
+
+def _aligned(found: DataFrame) -> DataFrame:
+    """Windows that agree with the values that stand in both; the words of the document are at hand."""
+    shift = (F.col("start") - F.col("item_start")).alias("shift")
+    return found.select(*ALIGNMENT[:-1], shift, "item_start", _pairs().alias("pairs"))
+
+
 def _hash_of_form(size: int) -> Column:
     """The hash of the window in the form that ``_form`` names."""
     out = _hash(_window(LITERAL, size))
@@ -234,7 +243,17 @@ def _hash_of_form(size: int) -> Column:
 
 
 def _hits_by_shuffle(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> DataFrame:
-    """Windows that agree, both sides shuffled by hash. What is shuffled of a document is a hash and where it stands, no words."""
+    """Windows that agree, both sides shuffled by hash. What is shuffled of a document is a hash and where it stands, no words.
+
+    Words are made again for the documents that were hit, which meet their hits by key.
+    """
+    hits = stored(_found_by_shuffle(rows, searched, sizes), "benchmark-hits").distinct()
+    hit = rows.join(hits.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["doc_id", "row_key"])
+    met = hits.join(hit.withColumnRenamed("doc_id", "_doc_id"), "row_key")
+    return _aligned(met.filter(F.col("doc_id").eqNullSafe(F.col("_doc_id"))))
+
+
+def _found_by_shuffle(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> DataFrame:
     parts = []
     for size in sizes:
         hashes = F.when(_has_mark(size), F.array(*[_hash(_window(f, size)) for f in FORMS])).otherwise(F.array(_hash(_window(LITERAL, size))))
@@ -270,20 +289,14 @@ def contaminated(
     small = searched.count() <= broadcast_windows
     keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
     by_what = _hits_by_anchor if small else _hits_by_shuffle
-    hits = stored(by_what(_with_words(keyed), searched, sizes), "benchmark-hits").distinct()
-    # Words are made again for the documents that were hit, and meet their hits by key.
-    hit = keyed.join(hits.select("row_key").distinct(), "row_key", "left_semi")
-    words = _with_words(hit.dropDuplicates(["doc_id", "row_key"])).withColumnRenamed("doc_id", "_doc_id")
-    met = hits.join(words, "row_key").filter(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    alignment = ["doc_id", "row_key", "item_id", "form", "size", "shift"]
-    aligned = met.select(*HIT[:6], (F.col("start") - F.col("item_start")).alias("shift"), "item_start", _pairs().alias("pairs"))
+    aligned = by_what(_with_words(keyed), searched, sizes)
     # Places less their rank are the same all along a run.
-    run = F.col("item_start") - F.dense_rank().over(Window.partitionBy(*alignment).orderBy("item_start"))
+    run = F.col("item_start") - F.dense_rank().over(Window.partitionBy(*ALIGNMENT).orderBy("item_start"))
     # A window in two forms of a group is one place.
-    windows = aligned.withColumn("run", run).groupBy(*alignment, "run", "item_start").agg(
+    windows = aligned.withColumn("run", run).groupBy(*ALIGNMENT, "run", "item_start").agg(
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    return _longest_stretches(stored(windows, "benchmark-runs"), [*alignment, "run"], window)
+    return _longest_stretches(stored(windows, "benchmark-runs"), [*ALIGNMENT, "run"], window)
 
 
 def _longest_stretches(windows: DataFrame, run: list[str], window: int) -> DataFrame:
