@@ -86,11 +86,15 @@ def _with_words(rows: DataFrame) -> DataFrame:
     return whole.select(*rows.columns, *[words.alias(name) for name, words in forms.items()])
 
 
-def _values(at: Column, names: Column) -> Column:
-    """What the placeholders of the word at a place stand for: its numbers, each with its unit, and its names."""
+def _held(at: Column) -> Column:
+    """The word at a place as it stands, with the unit that follows its number."""
     words, numbers = F.col("cased"), F.col("numbers")
     unit_follows = F.get(numbers, at).endswith(NUMBER) & F.get(numbers, at + 1).startswith(UNIT)
-    word = F.concat(F.get(words, at), F.when(unit_follows, F.get(words, at + 1)).otherwise(""))
+    return F.concat(F.get(words, at), F.when(unit_follows, F.get(words, at + 1)).otherwise(""))
+
+
+def _values(word: Column, names: Column) -> Column:
+    """What the placeholders of a word stand for: its numbers, each with its unit, and its names."""
     found = F.when(names, F.regexp_extract_all(word, F.lit(f"{_NAME_IN_WORD}|{_QUANTITY}"), F.lit(0)))
     return F.transform(found.otherwise(F.regexp_extract_all(word, F.lit(_QUANTITY), F.lit(0))), F.lower)
 
@@ -138,22 +142,24 @@ def _slots(words: Column) -> Column:
     held = F.filter(places, lambda p: p["names"] | p["word"].contains(NUMBER))
     return F.transform(
         held,
-        lambda p: F.struct(p["at"], p["names"], _values(F.col("start") + p["at"], p["names"]).alias("values")),
+        lambda p: F.struct(p["at"], p["names"], _values(_held(F.col("start") + p["at"]), p["names"]).alias("values")),
     )
 
 
 def _pairs() -> Column:
-    """The values of a window of the benchmark with those at the same places of the window that was found."""
-
-    def of_word(slot: Column) -> Column:
-        ours = _values(F.col("start") + slot["at"], slot["names"])
-        at = (F.col("item_start") + slot["at"]).alias("at")
-        return F.transform(
-            slot["values"],
-            lambda value, k: F.struct(at, k.alias("nth"), value.alias("item"), F.get(ours, k).alias("copy")),
-        )
+    """The values of a window of the benchmark with the words at the same places of the window that was found.
 
-    return F.flatten(F.transform("item_slots", of_word))
+    Neighbouring windows share these words, so their values are taken later, once a place. A literal window has the
+    values of the item itself.
+    """
+    beside = F.transform(
+        "item_slots",
+        lambda slot: F.struct(
+            (F.col("item_start") + slot["at"]).alias("at"), slot["names"].alias("names"), slot["values"].alias("values"),
+            _held(F.col("start") + slot["at"]).alias("word"),
+        ),
+    )
+    return F.when(F.col("form") != LITERAL, beside)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -292,11 +298,9 @@ def contaminated(
     aligned = by_what(_with_words(keyed), searched, sizes)
     # Places less their rank are the same all along a run.
     run = F.col("item_start") - F.dense_rank().over(Window.partitionBy(*ALIGNMENT).orderBy("item_start"))
-    # A window in two forms of a group is one place.
-    windows = aligned.withColumn("run", run).groupBy(*ALIGNMENT, "run", "item_start").agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    return _longest_stretches(stored(windows, "benchmark-runs"), [*ALIGNMENT, "run"], window)
+    # A window in two forms of a group is one place, so ranks are dense.
+    runs = stored(aligned.withColumn("run", run), "benchmark-runs")
+    return _longest_stretches(runs, [*ALIGNMENT, "run"], window)
 
 
 def _longest_stretches(windows: DataFrame, run: list[str], window: int) -> DataFrame:
@@ -305,7 +309,11 @@ def _longest_stretches(windows: DataFrame, run: list[str], window: int) -> DataF
     Two values conflict if one side is the same and the other is not. A stretch ending at a window may begin behind
     the latest place that conflicts with a later one in it.
     """
-    values = windows.select(*run, F.explode("pairs").alias("p")).select(*run, "p.at", "p.nth", "p.item", "p.copy").distinct()
+    held = windows.select(*run, F.explode("pairs").alias("p")).select(*run, "p.at", "p.names", "p.values", "p.word").distinct()
+    read = held.withColumn("_ours", _values(F.col("word"), F.col("names")))
+    values = read.select(*run, "at", "_ours", F.posexplode("values").alias("nth", "item"))
+    values = values.select(*run, "at", "nth", "item", F.get("_ours", F.col("nth")).alias("copy")).distinct()
+    windows = windows.select(*run, "item_start").distinct()
     conflicts = values
     for same, other in (("item", "copy"), ("copy", "item")):
         occurrences = Window.partitionBy(*run, same).orderBy("at", "nth")
