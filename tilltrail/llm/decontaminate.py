@@ -210,7 +210,8 @@ def _hits_by_anchor(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> D
     """Windows that agree, the benchmark's being broadcast.
 
     The first words of every window are looked up; only where they are found is all of it hashed. Where these few
-    words hold no placeholder they are the same in all forms, so one hash serves for all.
+    words hold no placeholder they are the same in all forms, so one hash serves for all. The words of windows that pass
+    are stored: in one piece with the rest, the code for a word would be too large to be compiled by the JVM.
     """
     lengths = sorted({min(ANCHOR, size) for size in sizes})
     probes = []
@@ -221,11 +222,15 @@ def _hits_by_anchor(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> D
     looked = _windows(rows, lengths[0]).withColumn("_probe", F.explode(F.concat(*probes) if len(probes) > 1 else probes[0]))
     looked = looked.withColumn("anchor", F.col("_probe.anchor"))
     near = looked.join(F.broadcast(searched.select("anchor").distinct()), "anchor", "left_semi")
-    forms = F.when(F.col("_probe.one").isNull(), F.array(*map(F.lit, FORMS))).otherwise(F.array("_probe.one"))
+    # One word more than a window has, as its last number may have a unit.
+    words = [F.slice(c, F.col("start") + 1, F.lit(sizes[-1] + 1)).alias(c) for c in ("cased", LITERAL, "numbers", "sentence", "names")]
+    near = near.select("doc_id", "row_key", F.col("start").alias("place"), F.lit(0).alias("start"), "_probe.one", "_probe.n", *words)
+    near = stored(near, "benchmark-near")
+    forms = F.when(F.col("one").isNull(), F.array(*map(F.lit, FORMS))).otherwise(F.array("one"))
     near = near.withColumn("_form", F.explode(forms))
     parts = []
     for size in sizes:
-        own = near.filter((F.col("_probe.n") == min(ANCHOR, size)) & (F.size("numbers") - F.col("start") >= size))
+        own = near.filter((F.col("n") == min(ANCHOR, size)) & (F.size("numbers") >= size)).drop("n")
         found = own.withColumn("hash", _hash_of_form(size)).join(F.broadcast(searched.filter(F.col("size") == size)), "hash")
         parts.append(_aligned(found))
     return reduce(DataFrame.unionByName, parts)
@@ -236,7 +241,7 @@ ALIGNMENT = ["doc_id", "row_key", "item_id", "form", "size", "shift"]
 
 def _aligned(found: DataFrame) -> DataFrame:
     """Windows that agree with the values that stand in both; the words of the document are at hand."""
-    shift = (F.col("start") - F.col("item_start")).alias("shift")
+    shift = (F.col("place") - F.col("item_start")).alias("shift")
     return found.select(*ALIGNMENT[:-1], shift, "item_start", _pairs().alias("pairs"))
 
 
@@ -256,7 +261,7 @@ def _hits_by_shuffle(rows: DataFrame, searched: DataFrame, sizes: list[int]) ->
     hits = stored(_found_by_shuffle(rows, searched, sizes), "benchmark-hits").distinct()
     hit = rows.join(hits.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["doc_id", "row_key"])
     met = hits.join(hit.withColumnRenamed("doc_id", "_doc_id"), "row_key")
-    return _aligned(met.filter(F.col("doc_id").eqNullSafe(F.col("_doc_id"))))
+    return _aligned(met.filter(F.col("doc_id").eqNullSafe(F.col("_doc_id"))).withColumn("place", F.col("start")))
 
 
 def _found_by_shuffle(rows: DataFrame, searched: DataFrame, sizes: list[int]) -> DataFrame:
