@@ -106,3 +106,15 @@ def test_pipeline_without_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    own = {"_score": 9.5, "_lang_pred": "x", "_row_key": 7, "_doc_id": 8, "_key": 9, "row_key": 10, "score": 1.5, "_text": "t", "_h": 3}
+    rows = [(1, "ein Text mit Worten", "de", *own.values()), (2, "a text of some words", "en", *own.values()), (2, "a text of some words", "en", *own.values())]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *own])
+    spark.createDataFrame([(0, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:3], (3, 2, 3)):
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        kept = found.collect()
+        assert len(kept) == left and {tuple(r) for r in kept} == set(map(tuple, rows)), name

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilltrail.llm.store import free_name
+
 UNKNOWN = "und"
 LANE = 1024
 SLAB_BYTES = 8 << 20
@@ -269,5 +271,6 @@ def readable_documents(docs: DataFrame, folds: int = 5) -> DataFrame:
     model = train(training_samples(docs, folds=folds))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = predict(docs, model, docs.columns, ("_lang_pred", "_score"))
-    return known.filter(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
+    predicted, score = free_name(docs, "_lang_pred"), free_name(docs, "_score")
+    known = predict(docs, model, docs.columns, (predicted, score))
+    return known.filter(F.col(predicted) != UNKNOWN).select(*docs.columns)

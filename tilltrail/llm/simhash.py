@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilltrail.llm.components import components
-from tilltrail.llm.store import row_key, stored, without_rows
+from tilltrail.llm.store import free_name, row_key, stored, without_rows
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -244,7 +244,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS)
     components as all pairs and is never longer than the group. Groups over ``run_rows`` are cut
     into blocks, and each pair of blocks is a task of its own, so no link is lost and no task grows.
     """
-    keyed = variants(prints.select("fingerprint").distinct(), max_bits)
+    # Few bytes become 64 times as many rows: spread over all cores first, whatever the bytes ask for.
+    tasks = 4 * prints.sparkSession.sparkContext.defaultParallelism
+    keyed = variants(prints.select("fingerprint").distinct().repartition(tasks, "fingerprint"), max_bits)
     ordered = keyed.repartition("bit", "part").sortWithinPartitions("bit", "part")
     found = stored(ordered.mapInArrow(_link_sorted(max_bits, run_rows), LINKS), "simhash-links")
     direct, late = found.filter("not late").select("a", "b"), found.filter("late")
@@ -272,7 +274,8 @@ def near_duplicates(
     Fingerprints within ``max_bits`` are linked; ``component_id`` is the smallest doc_id that can be
     reached over links. ``kept`` marks the row with that id, of several such rows the one with
     the least row key. Documents without an id take part and count as having the largest id: a
-    component of nothing else has a null id and still keeps one row.
+    component of nothing else has a null id and still keeps one row. Only ``doc_id`` and ``text`` are read, so other
+    names cannot clash.
     """
     rows = stored(fingerprints(docs, shingle), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
@@ -295,12 +298,13 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents, with all their columns, that stand for their components.
 
-    Where the chosen row is repeated (same id and text), one of the repeats stays.
+    Where the chosen row is repeated (same id and text), one of the repeats stays. Columns of any name come through.
     """
     found = near_duplicates(docs, shingle, max_bits).filter("kept").select("doc_id", "row_key")
     found = stored(found, "simhash-kept")
-    kept = without_rows(docs, found, "left_semi")
+    key = free_name(docs, "_row_key")
+    kept = without_rows(docs, found, "left_semi", key)
     repeated = found.groupBy("doc_id", "row_key").count().filter("count > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["_row_key", "doc_id"])
-    return kept.drop("_row_key")
+        kept = kept.dropDuplicates([key, "doc_id"])
+    return kept.drop(key)

@@ -33,9 +33,22 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def without_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Documents whose ``(doc_id, row_key)`` is (``left_semi``) or is not (``left_anti``) in ``keys``."""
-    left = docs.withColumn("_row_key", row_key())
-    right = keys.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_key"))
-    same = (F.col("_row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    return left.join(right, same, how).select(*docs.columns, *(["_row_key"] if how == "left_semi" else []))
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores before it one that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, how: str, key: str | None = None) -> DataFrame:
+    """Documents whose ``(doc_id, row_key)`` is (``left_semi``) or is not (``left_anti``) in ``keys``.
+
+    All columns stay as they are, whatever their names; with ``key`` the row key is added under that name.
+    """
+    own = key or free_name(docs, "_row_key")
+    other, theirs = free_name(docs, "_doc_id"), free_name(docs, "_key")
+    left = docs.withColumn(own, row_key())
+    right = keys.select(F.col("doc_id").alias(other), F.col("row_key").alias(theirs))
+    same = (F.col(own) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(other))
+    return left.join(right, same, how).select(*docs.columns, *([own] if key else []))
