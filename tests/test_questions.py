@@ -16,7 +16,7 @@ from tilltrail.operators import heavy, ordering
 from tilltrail.operators import measures as M
 from tilltrail.operators.cleaning import clean_purchases
 from tilltrail.operators.imputation import BRAND, CATEGORY
-from tilltrail.plans import concentration, distincts, enrichment, strategy
+from tilltrail.plans import concentration, distincts, enrichment, growth, strategy
 from tilltrail.plans.incremental import SummaryStore
 from tilltrail.plans.registry import STORED
 from tilltrail.sources.samples import sample_purchases
@@ -254,3 +254,22 @@ def test_measures_of_a_store_are_exact_for_large_sums(spark, sales, tmp_path):
     [hour] = store.hours().collect()
     assert (hour.vol, hour.rev, hour.priced) == (100, D("99999999.00"), 100)
     assert set(M.MEASURES) <= set(hour.asDict()) and hour[strategy.CLOCK] == dt.datetime(2020, 6, 1, 12)
+
+
+def test_months_without_sales_count_as_zero(spark, sales):
+    at = lambda month, year=2020: dt.datetime(year, month, 5, 12)
+    facts = sales(
+        {"at": at(1), "price": "10.00"}, {"at": at(2), "price": "15.00"}, {"at": at(4), "price": "3.00"}, {"at": at(5), "price": None},
+        {"at": at(3, 2019), "price": "99.00"}, {"at": at(2), "code": None, "category_id": 2}, {"at": at(7, 2021), "code": "x.late", "category_id": 2},
+    )
+    found = growth.monthly_growth(facts, CATEGORY)
+    rows = {(r.category_code, r.month): (r.monthly_volume, r.monthly_revenue, r.revenue_before, r.growth_pct) for r in found.collect()}
+    assert len(rows) == 24 and {code for code, _ in rows} == {"c.one", "x.late"}
+    assert rows["c.one", 1] == (1, D("10.00"), None, None)
+    assert rows["c.one", 2] == (1, D("15.00"), D("10.00"), D("50.00"))
+    assert rows["c.one", 3] == (0, D("0.00"), D("15.00"), D("-100.00"))
+    assert rows["c.one", 4] == (1, D("3.00"), D("0.00"), None)
+    assert rows["c.one", 5] == (1, D("0.00"), D("3.00"), D("-100.00"))
+    assert rows["x.late", 2][:2] == (1, D("1.00"))
+    text = planned(found)
+    assert "Join" not in text

@@ -554,6 +554,19 @@ MONTHLY_DISTINCT = (
     "product_diversity, count(DISTINCT category_id) AS category_diversity{more} FROM dated GROUP BY ALL"
 )
 
+CATEGORY_GROWTH = f"""
+, g AS (SELECT category_code, month, count(*) AS n, sum(cents) AS c FROM vw WHERE year = 2020 GROUP BY ALL),
+dense AS (
+  SELECT l.category_code, m.month, coalesce(n, 0) AS n, coalesce(c, 0) AS c
+  FROM (SELECT DISTINCT category_code FROM g) l CROSS JOIN (SELECT unnest(range(1, 13))::INT AS month) m
+  LEFT JOIN g ON g.category_code = l.category_code AND g.month = m.month
+),
+lagged AS (SELECT *, lag(c) OVER (PARTITION BY category_code ORDER BY month) AS b FROM dense)
+SELECT category_code, month, n AS monthly_volume, {money('c')} AS monthly_revenue, {money('b')} AS revenue_before,
+  CAST(sign(c - b) * {ratio('abs(c - b)', 'b', 100)} AS DECIMAL(18,2)) AS growth_pct
+FROM lagged
+"""
+
 MOVED_BRANDS = f"""
 , cut AS (SELECT *, least(order_id % 40, 2)::INT AS part FROM clean),
 steps AS (SELECT unnest([1, 2]) AS step),
@@ -590,6 +603,7 @@ def _questions() -> dict[str, str]:
         "brand_concentration": brand["rows"],
         "category_concentration_summary": category["summary"],
         "brand_concentration_summary": brand["summary"],
+        "category_growth": on_view(CATEGORY_GROWTH.strip()),
         "heavy_gap_categories": _heavy_gaps("category_id", "category_code", "unlabelled (ID: ", 5),
         "heavy_gap_products": _heavy_gaps("product_id", "brand", "unknown (Prod: ", 5),
     }

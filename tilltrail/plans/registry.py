@@ -11,7 +11,7 @@ from tilltrail import schema as S
 from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
-from tilltrail.plans import baseline, concentration, distincts, enrichment, strategy, summaries, views
+from tilltrail.plans import baseline, concentration, distincts, enrichment, growth, strategy, summaries, views
 from tilltrail.plans.incremental import SummaryStore
 from tilltrail.session import fresh_folder, stored
 from tilltrail.sources import tables
@@ -307,6 +307,7 @@ def _questions() -> dict[str, Query]:
         "brand_concentration": clean(brand, lambda df: concentration.concentration(df, both[1])),
         "category_concentration_summary": clean(category, lambda df: concentration.concentration_summary(df, both[0])),
         "brand_concentration_summary": clean(brand, lambda df: concentration.concentration_summary(df, both[1])),
+        "category_growth": clean(["event_time", *category], lambda df: growth.monthly_growth(df, both[0])),
         "heavy_gap_categories": clean(category, lambda df: enrichment.heavy_gaps(df, both[0], "0.5")),
         "heavy_gap_products": clean(brand, lambda df: enrichment.heavy_gaps(df, both[1], "0.5")),
     }
