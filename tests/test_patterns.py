@@ -1,0 +1,242 @@
+"""Medians by selection, outliers, statuses and runs of gaps: on made rows, against plain Python."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from collections import defaultdict
+from decimal import Decimal as D
+from statistics import median
+
+import pytest
+
+from conftest import rows_of
+from tilltrail.operators import ordering
+from tilltrail.operators.imputation import BRAND, CATEGORY
+from tilltrail.operators.selection import middle_sums
+from tilltrail.plans import gapruns, integrity, outliers
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- medians ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_middle_sums_equal_sorting(spark, seed):
+    rnd = random.Random(seed)
+    values = {
+        "wide": [rnd.randint(-(2**60), 2**60) for _ in range(rnd.randint(300, 400))],
+        "ties": [rnd.choice([-1, 0, 0, 1, 65535, 65536, -65536]) for _ in range(rnd.randint(50, 60))],
+        "even": [7, 9],
+        "edge": [-1, 0],
+        "one": [-5],
+        "same": [3] * 1000,
+        "none": [None, None],
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("one", None)]
+    rnd.shuffle(rows)
+    found = rows_of(middle_sums(spark.createDataFrame(rows, "k string, v long"), "k", "v"), "k")
+    assert set(found) == set(values) - {"none"}
+    for name, row in found.items():
+        own = sorted(values[name])
+        assert row["n"] == len(own)
+        assert row["twice_median"] == own[(len(own) - 1) // 2] + own[len(own) // 2]
+
+
+def test_middle_sums_of_nothing(spark):
+    assert middle_sums(spark.createDataFrame([], "k string, v long"), "k", "v").collect() == []
+
+
+def test_values_are_counted_by_digit_and_never_sorted(spark):
+    df = spark.range(1000).selectExpr("'a' as k", "id as v")
+    text = planned(middle_sums(df, "k", "v"))
+    assert text.count("Range (0, 1000") == 5
+    sorts = [line for line in text.splitlines() if " Sort [" in line]
+    assert sorts and all("_digit" in line for line in sorts)
+
+
+# --- outliers -----------------------------------------------------------------------------------
+
+
+def test_outliers_stand_apart_from_their_own_dimension(spark, sales):
+    prices = ["10.00", "11.00", "12.00", "13.00", "100.00"]
+    rows = [{"product": i, "brand": f"b{i}", "price": p} for i, p in enumerate(prices)]
+    rows.append({"product": 9, "brand": "unpriced", "price": None})
+    found = rows_of(outliers.outlying_segments(sales(*rows)), "dimension", "segment_name")
+    brands = {k[1]: r for k, r in found.items() if k[0] == "Brand"}
+    assert {r["median_aov"] for r in brands.values()} == {D("12.000")}
+    assert {r["median_deviation"] for r in brands.values()} == {D("1.0000")}
+    assert brands["b4"]["robust_score"] == D("59.36") and brands["b4"]["is_outlier"]
+    assert brands["b0"]["robust_score"] == D("-1.35") and not brands["b0"]["is_outlier"]
+    assert brands["unpriced"]["robust_score"] is None and not brands["unpriced"]["is_outlier"]
+    # One category and one time window: no deviation at all, and none differs.
+    assert all(r["robust_score"] is None and not r["is_outlier"] for k, r in found.items() if k[0] != "Brand")
+
+
+def test_even_counts_and_no_deviation(spark, sales):
+    rows = [{"product": i, "brand": f"b{i}", "price": p} for i, p in enumerate(["1.00", "1.01", "1.02", "1.05"])]
+    found = rows_of(outliers.outlying_segments(sales(*rows)), "dimension", "segment_name")
+    cents = [100, 101, 102, 105]
+    mid = median(cents)
+    away = median(abs(2 * c - 2 * mid) for c in cents) / 2
+    row = found["Brand", "b0"]
+    assert (row["median_aov"], row["median_deviation"]) == (D("1.015"), D(str(away / 100)).quantize(D("0.0001")))
+    same = [{"product": i, "brand": f"b{i}", "price": "5.00"} for i in range(4)] + [{"product": 8, "brand": "x", "price": "5.01"}]
+    found = rows_of(outliers.outlying_segments(sales(*same)), "dimension", "segment_name")
+    assert found["Brand", "x"]["is_outlier"] and found["Brand", "x"]["robust_score"] is None
+    assert outliers.outlying_segments(sales(*same).limit(0)).collect() == []
+
+
+# --- statuses -----------------------------------------------------------------------------------
+
+
+def statuses_of(rows) -> list[tuple]:
+    """User type, time window, category status, brand status and cents of each row, in plain Python."""
+    texts = {c: {} for c in ("code", "brand")}
+    for r in rows:
+        for column, key in (("code", "category_id"), ("brand", "product")):
+            if r[column] is not None:
+                texts[column].setdefault(r[key], r[column])
+    out = []
+    for r in rows:
+        hour = r["at"].hour
+        window = next((n for a, b, n in integrity.S.TIME_WINDOWS if a <= hour <= b), integrity.S.NIGHT_WINDOW)
+        if r["at"].year != 2020:
+            window = integrity.OUTSIDE
+        category = "Labelled" if r["code"] or r["category_id"] in texts["code"] else "Unlabelled"
+        brand = "Known" if r["brand"] or r["product"] in texts["brand"] else "Unknown"
+        out.append(("registered" if r["user"] else "anonymous", window, category, brand, int(D(r["price"] or 0) * 100)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def shop():
+    rnd = random.Random(4)
+    return [
+        {
+            "user": rnd.choice([None, 1, 2]),
+            "at": dt.datetime(rnd.choice([2019, 2020, 2020]), 3, 4, rnd.randint(0, 23)),
+            "product": rnd.randint(1, 12),
+            "category_id": rnd.randint(1, 6),
+            "code": rnd.choice([None, None, None, None, "c"]),
+            "brand": rnd.choice([None, None, None, None, "b"]),
+            "price": rnd.choice([None, "1.10", "20.05"]),
+        }
+        for _ in range(60)
+    ]
+
+
+def test_integrity_of_every_level(spark, sales, shop):
+    expected = defaultdict(lambda: [0, 0, 0, 0, 0, 0])
+    for *by, cents in statuses_of(shop):
+        gaps = by[2] == "Unlabelled", by[3] == "Unknown"
+        for mask in range(16):
+            own = expected[(mask, *[None if mask >> (3 - i) & 1 else v for i, v in enumerate(by)])]
+            for i, add in enumerate([1, cents, any(gaps), cents * any(gaps), cents * gaps[0], cents * gaps[1]]):
+                own[i] += add
+    found = rows_of(integrity.integrity_score(integrity.status_cells(sales(*shop))), "level", *integrity.LEVELS)
+    assert set(found) == set(expected)
+    for key, (n, c, hn, h, hc, hb) in expected.items():
+        row = found[key]
+        assert (row["transaction_volume"], row["hidden_volume"]) == (n, hn)
+        money = [int(row[k] * 100) for k in ("hidden_revenue", "hidden_category_revenue", "hidden_brand_revenue")]
+        assert money == [h, hc, hb] and int((row["total_revenue"] or 0) * 100) == c
+    whole = found[(15, None, None, None, None)]
+    assert whole["hidden_revenue_pct"] + whole["integrity_score"] == 100
+
+
+def test_facts_are_read_once_for_all_levels(spark, sales, shop, tmp_path):
+    sales(*shop).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    cells = integrity.status_cells(facts)
+    for result in (integrity.integrity_score(cells), integrity.status_associations(cells)):
+        assert "status-groups" in planned(result) and str(tmp_path / "facts") not in planned(result)
+
+
+def test_association_of_every_pair(spark, sales, shop):
+    rows = statuses_of(shop)
+    found = rows_of(
+        integrity.status_associations(integrity.status_cells(sales(*shop))),
+        "first_column", "second_column", "first_value", "second_value",
+    )
+    columns = list(integrity.LEVELS)
+    assert len(found) == sum(len(integrity.LEVELS[a]) * len(integrity.LEVELS[b]) for i, a in enumerate(columns) for b in columns[i + 1 :])
+    for (a, b, x, y), row in found.items():
+        i, j = columns.index(a), columns.index(b)
+        n = sum(r[i] == x and r[j] == y for r in rows)
+        first, second = sum(r[i] == x for r in rows), sum(r[j] == y for r in rows)
+        assert (row["n"], row["first_total"], row["second_total"]) == (n, first, second)
+        assert row["lift"] is None if not first * second else abs(float(row["lift"]) - n * len(rows) / (first * second)) <= 0.0051
+        chi = 0.0
+        for u in {r[i] for r in rows}:
+            for v in {r[j] for r in rows}:
+                expected = sum(r[i] == u for r in rows) * sum(r[j] == v for r in rows) / len(rows)
+                chi += (sum(r[i] == u and r[j] == v for r in rows) - expected) ** 2 / expected
+        fewest = min(len({r[i] for r in rows}), len({r[j] for r in rows}))
+        assert abs(float(row["cramers_v"]) - (chi / len(rows) / (fewest - 1)) ** 0.5) < 0.0001
+
+
+def test_statuses_that_go_together_and_statuses_of_nothing(spark, sales):
+    rows = [{"user": 1, "code": "c", "category_id": 1}] * 5 + [{"user": None, "code": None, "category_id": 2}] * 3
+    cells = integrity.status_cells(sales(*rows))
+    found = rows_of(integrity.status_associations(cells), "first_column", "second_column", "first_value", "second_value")
+    tied = found["user_type", "category_status", "registered", "Unlabelled"]
+    assert (tied["n"], tied["lift"], tied["cramers_v"]) == (0, D("0.00"), D("1.0000"))
+    alone = found["user_type", "brand_status", "registered", "Unknown"]
+    assert (alone["n"], alone["lift"], alone["cramers_v"]) == (0, None, None)
+    empty = integrity.status_cells(sales(*rows).limit(0))
+    assert integrity.integrity_score(empty).collect() == []
+    assert all(r["n"] == 0 and r["lift"] is None and r["cramers_v"] is None for r in integrity.status_associations(empty).collect())
+
+
+# --- runs ---------------------------------------------------------------------------------------
+
+
+def test_runs_cross_blocks_and_days(spark, sales, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK_BITS", 2)
+    rnd = random.Random(8)
+    start = dt.datetime(2020, 2, 28, 20)
+    rows, gaps = [{"at": start, "brand": "known", "product": 1}], defaultdict(int)
+    for hour in range(1, 90):
+        at = start + dt.timedelta(hours=hour, minutes=7)
+        for _ in range(rnd.choice([0, 1, 3]) if hour < 40 or hour > 60 else 2):
+            rows.append({"at": at, "brand": None, "product": 2, "price": "0.50"})
+            gaps[hour] += 1
+    rows += [{"at": start + dt.timedelta(hours=95), "brand": None, "product": 1}, {"at": dt.datetime(2019, 5, 5), "brand": None, "product": 2}]
+    runs, last = [], None
+    for hour in sorted(gaps):
+        if last is None or hour > last + 1:
+            runs.append([hour, hour, 0])
+        runs[-1][1], runs[-1][2], last = hour, runs[-1][2] + gaps[hour], hour
+    found = sorted(
+        (r.run_start, r.run_end, r.hours, r.gap_rows, r.gap_revenue) for r in gapruns.gap_runs(sales(*rows), BRAND).collect()
+    )
+    at = lambda h: start + dt.timedelta(hours=h)
+    assert found == [(at(a), at(b), b - a + 1, n, n * D("0.50")) for a, b, n in runs]
+    [row] = gapruns.gap_dispersion(sales(*rows), BRAND).collect()
+    counts = [gaps.get(h, 0) for h in range(96)]
+    mean = sum(counts) / 96
+    assert (row.hours, row.gap_hours, row.runs, row.gap_rows) == (96, len(gaps), len(runs), sum(counts))
+    assert row.longest_run == max(b - a + 1 for a, b, _ in runs)
+    assert abs(float(row.gap_dispersion) - (sum(c * c for c in counts) / 96 - mean**2) / mean) <= 0.0051
+
+
+def test_no_gaps_and_no_sales(spark, sales):
+    full = sales({}, {"at": dt.datetime(2020, 6, 1, 15)})
+    assert gapruns.gap_runs(full, CATEGORY, BRAND).collect() == []
+    for row in gapruns.gap_dispersion(full, CATEGORY, BRAND).collect():
+        assert (row.hours, row.gap_hours, row.runs, row.longest_run, row.gap_dispersion) == (4, 0, 0, 0, None)
+        assert row.sales_dispersion == D("0.50")
+    for row in gapruns.gap_dispersion(full.limit(0), CATEGORY).collect():
+        assert (row.hours, row.runs, row.sales_dispersion) == (0, 0, None)
+
+
+def test_only_rows_without_a_text_are_counted_by_key(spark, sales, tmp_path):
+    sales({"brand": None}).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    dated = facts.filter(facts.brand.isNull() | BRAND.is_gap())
+    assert "PushedFilters: [Or(IsNull(brand),StringStartsWith(brand,unknown))" in planned(dated)
+    assert "hourly-gaps" in planned(gapruns.gap_runs(facts, BRAND)) and str(tmp_path / "facts") not in planned(gapruns.gap_runs(facts, BRAND))

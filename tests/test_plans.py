@@ -21,6 +21,8 @@ BOUNDED_WINDOWS = {
     "brand_concentration_summary",
     "top_brands_avg_price",
     "epoch_top_brands_avg_price",
+    "gap_runs",
+    "gap_dispersion",
     "add_surrogate_id",
     "purchases_view_ids",
 }

@@ -585,6 +585,120 @@ FROM texts JOIN moving USING (step, product_id) WHERE brought IS NOT NULL AND (o
 """
 
 
+WINDOWS = (
+    "CASE WHEN year <> 2020 THEN '05. Outside the Year' WHEN hour BETWEEN 5 AND 10 THEN '01. Morning (Premium Window)' "
+    "WHEN hour BETWEEN 11 AND 16 THEN '02. Afternoon (Peak Volume)' WHEN hour BETWEEN 17 AND 22 THEN '03. Evening (Standard)' "
+    "ELSE '04. Night (Low Activity)' END"
+)
+STATUS_ROWS = f"""
+, st AS (
+  SELECT user_type, {WINDOWS} AS time_window, {_status("category_code", "unlabelled", "Unlabelled", "Labelled")} AS category_status,
+    {_status("brand", "unknown", "Unknown", "Known")} AS brand_status, cents
+  FROM vw
+)"""
+LEVELS = "user_type, time_window, category_status, brand_status"
+
+INTEGRITY = f"""
+{STATUS_ROWS.strip()},
+g AS (
+  SELECT {LEVELS}, CAST(GROUPING({LEVELS}) AS INT) AS level, count(*) AS n, coalesce(sum(cents), 0) AS c,
+    count(*) FILTER (category_status = 'Unlabelled' OR brand_status = 'Unknown') AS hn,
+    coalesce(sum(cents) FILTER (category_status = 'Unlabelled' OR brand_status = 'Unknown'), 0) AS h,
+    coalesce(sum(cents) FILTER (category_status = 'Unlabelled'), 0) AS hc,
+    coalesce(sum(cents) FILTER (brand_status = 'Unknown'), 0) AS hb
+  FROM st GROUP BY CUBE ({LEVELS})
+)
+SELECT level, {LEVELS}, n AS transaction_volume, {money('c')} AS total_revenue, hn AS hidden_volume, {money('h')} AS hidden_revenue,
+  {money('hc')} AS hidden_category_revenue, {money('hb')} AS hidden_brand_revenue, {share('h', 'c')} AS hidden_revenue_pct,
+  {share('c - h', 'c')} AS integrity_score
+FROM g
+"""
+
+_VALUES = {
+    "user_type": ["anonymous", "registered"],
+    "time_window": [
+        "01. Morning (Premium Window)",
+        "02. Afternoon (Peak Volume)",
+        "03. Evening (Standard)",
+        "04. Night (Low Activity)",
+        "05. Outside the Year",
+    ],
+    "category_status": ["Labelled", "Unlabelled"],
+    "brand_status": ["Known", "Unknown"],
+}
+
+
+def _associations() -> str:
+    columns = list(_VALUES)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    tables = " UNION ALL ".join(
+        f"SELECT '{a}' AS first_column, '{b}' AS second_column, x.v AS first_value, y.v AS second_value, "
+        f"(SELECT count(*) FROM st WHERE {a} = x.v AND {b} = y.v) AS n "
+        f"FROM (SELECT unnest({_VALUES[a]}) AS v) x, (SELECT unnest({_VALUES[b]}) AS v) y"
+        for a, b in pairs
+    )
+    pair = "PARTITION BY first_column, second_column"
+    return (
+        f"{STATUS_ROWS.strip()}, t AS ({tables}),\n"
+        f"m AS (SELECT *, sum(n) OVER ({pair}, first_value) AS r, sum(n) OVER ({pair}, second_value) AS c, "
+        f"sum(n) OVER ({pair}) AS total FROM t),\n"
+        "v AS (SELECT first_column, second_column, sum(n::DOUBLE * n / nullif(r::DOUBLE * c::DOUBLE, 0)) AS s, "
+        "least(count(DISTINCT first_value) FILTER (r > 0), count(DISTINCT second_value) FILTER (c > 0)) AS k FROM m GROUP BY ALL)\n"
+        "SELECT first_column, second_column, first_value, second_value, n, r::BIGINT AS first_total, c::BIGINT AS second_total, "
+        f"{ratio('n * total', 'r * c')} AS lift, "
+        "CAST(CASE WHEN k > 1 THEN sqrt(greatest(s - 1, 0) / (k - 1)) END AS DECIMAL(9,4)) AS cramers_v "
+        "FROM m JOIN v USING (first_column, second_column)"
+    )
+
+
+def _outliers() -> str:
+    def middle(source: str, value: str) -> str:
+        return (
+            f"(SELECT dimension, sum({value}) * if(max(k) % 2 = 1, 2, 1) AS m2 FROM (SELECT dimension, {value}, row_number() OVER "
+            f"(PARTITION BY dimension ORDER BY {value}) - 1 AS place, count(*) OVER (PARTITION BY dimension) AS k FROM {source} "
+            f"WHERE {value} IS NOT NULL) WHERE place IN ((k - 1) // 2, k // 2) GROUP BY dimension)"
+        )
+
+    return (
+        f"{_segments().rstrip()}, a AS (SELECT *, {aov('c', 'p')} AS aov, CAST({aov('c', 'p')} * 100 AS HUGEINT) AS x FROM seg),\n"
+        f"d AS (SELECT a.*, m2, 2 * x - m2 AS apart, abs(2 * x - m2) AS away FROM a LEFT JOIN {middle('a', 'x')} USING (dimension)),\n"
+        f"s AS (SELECT d.*, q.m2 AS d4 FROM d LEFT JOIN {middle('d', 'away')} q USING (dimension))\n"
+        f"SELECT dimension, segment_name, n AS transaction_count, {money('c')} AS total_revenue, aov AS segment_aov, "
+        "CAST(CAST(m2 AS DECIMAL(20,0)) * 0.005 AS DECIMAL(18,3)) AS median_aov, "
+        "CAST(CAST(d4 AS DECIMAL(20,0)) * 0.0025 AS DECIMAL(18,4)) AS median_deviation, "
+        f"CAST(sign(apart) * {ratio('1349 * away', '1000 * d4')} AS DECIMAL(18,2)) AS robust_score, "
+        "coalesce(1349 * away > 3500 * d4, false) AS is_outlier FROM s"
+    )
+
+
+def _gap_hours() -> str:
+    hours = "SELECT unnest(range(min(h), max(h) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h FROM sold"
+    return (
+        ", rows_ AS (SELECT date_trunc('hour', normalized_event_time) AS h, category_code, brand, cents FROM vw WHERE year = 2020),\n"
+        "sold AS (SELECT h, count(*) AS n FROM rows_ GROUP BY h),\n"
+        "gap AS (SELECT 'Category' AS dimension, h, count(*) AS n, coalesce(sum(cents), 0) AS c FROM rows_ "
+        "WHERE starts_with(category_code, 'unlabelled') GROUP BY h UNION ALL SELECT 'Brand', h, count(*), coalesce(sum(cents), 0) "
+        "FROM rows_ WHERE starts_with(brand, 'unknown') GROUP BY h),\n"
+        f"dense AS (SELECT dimension, c.h, coalesce(s.n, 0) AS sold, coalesce(g.n, 0) AS n FROM ({hours}) c "
+        "CROSS JOIN (SELECT unnest(['Category', 'Brand']) AS dimension) LEFT JOIN sold s USING (h) LEFT JOIN gap g USING (h, dimension)),\n"
+        "isle AS (SELECT *, h - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY dimension ORDER BY h) AS run FROM gap),\n"
+        "runs AS (SELECT dimension, min(h) AS a, max(h) AS b, count(*) AS hours, sum(n) AS n, sum(c) AS c FROM isle GROUP BY dimension, run)\n"
+    )
+
+
+GAP_RUNS = (
+    f"SELECT dimension, a AS run_start, b AS run_end, hours, n::BIGINT AS gap_rows, {money('c')} AS gap_revenue FROM runs"
+)
+GAP_DISPERSION = (
+    ", t AS (SELECT dimension, count(*) AS k, count(*) FILTER (n > 0) AS gap_hours, sum(n) AS s, sum(n * n) AS q, sum(sold) AS ss, "
+    "sum(sold * sold) AS sq FROM dense GROUP BY dimension),\n"
+    "longest AS (SELECT dimension, count(*) AS runs, max(hours) AS longest_run FROM runs GROUP BY dimension)\n"
+    "SELECT dimension, k AS hours, gap_hours, coalesce(runs, 0) AS runs, coalesce(longest_run, 0) AS longest_run, s::BIGINT AS gap_rows, "
+    f"{ratio('k * q - s * s', 'k * s')} AS gap_dispersion, {ratio('k * sq - ss * ss', 'k * ss')} AS sales_dispersion "
+    "FROM t LEFT JOIN longest USING (dimension)"
+)
+
+
 def _questions() -> dict[str, str]:
     category = _concentration("category_code", _status("category_code", "unlabelled", "Unlabelled", "Labelled"), "label_status")
     brand = _concentration("brand", _status("brand", "unknown", "Unknown", "Known"), "brand_status")
@@ -604,6 +718,11 @@ def _questions() -> dict[str, str]:
         "category_concentration_summary": category["summary"],
         "brand_concentration_summary": brand["summary"],
         "category_growth": on_view(CATEGORY_GROWTH.strip()),
+        "gap_runs": on_view(_gap_hours() + GAP_RUNS),
+        "gap_dispersion": on_view(_gap_hours().rstrip() + GAP_DISPERSION),
+        "outlying_segments": on_view(_outliers()),
+        "integrity_score": on_view(INTEGRITY.strip()),
+        "status_associations": on_view(_associations()),
         "heavy_gap_categories": _heavy_gaps("category_id", "category_code", "unlabelled (ID: ", 5),
         "heavy_gap_products": _heavy_gaps("product_id", "brand", "unknown (Prod: ", 5),
     }

@@ -11,7 +11,19 @@ from tilltrail import schema as S
 from tilltrail.functions import columns as C
 from tilltrail.operators import cleaning, profiling
 from tilltrail.operators import imputation as I
-from tilltrail.plans import baseline, concentration, distincts, enrichment, growth, strategy, summaries, views
+from tilltrail.plans import (
+    baseline,
+    concentration,
+    distincts,
+    enrichment,
+    gapruns,
+    growth,
+    integrity,
+    outliers,
+    strategy,
+    summaries,
+    views,
+)
 from tilltrail.plans.incremental import SummaryStore
 from tilltrail.session import fresh_folder, stored
 from tilltrail.sources import tables
@@ -291,6 +303,7 @@ def _questions() -> dict[str, Query]:
     counted = ["user_id", "event_time", "product_id", "category_id"]
     money = [*CATEGORY_COLUMNS, "price"], [*BRAND_COLUMNS, "price"]
     (category, brand), both = money, (I.CATEGORY, I.BRAND)
+    every = ["user_id", "event_time", *CATEGORY_COLUMNS, *BRAND_COLUMNS, "price"]
     return {
         "distinct_by_month": clean(counted, lambda df: distincts.exact(df, *by_month())),
         "distinct_estimates_by_month": clean(counted, distinct_estimates),
@@ -308,6 +321,11 @@ def _questions() -> dict[str, Query]:
         "category_concentration_summary": clean(category, lambda df: concentration.concentration_summary(df, both[0])),
         "brand_concentration_summary": clean(brand, lambda df: concentration.concentration_summary(df, both[1])),
         "category_growth": clean(["event_time", *category], lambda df: growth.monthly_growth(df, both[0])),
+        "gap_runs": clean(every, lambda df: gapruns.gap_runs(df, *both)),
+        "gap_dispersion": clean(every, lambda df: gapruns.gap_dispersion(df, *both)),
+        "outlying_segments": clean(every, outliers.outlying_segments),
+        "integrity_score": clean(every, lambda df: integrity.integrity_score(integrity.status_cells(df))),
+        "status_associations": clean(every, lambda df: integrity.status_associations(integrity.status_cells(df))),
         "heavy_gap_categories": clean(category, lambda df: enrichment.heavy_gaps(df, both[0], "0.5")),
         "heavy_gap_products": clean(brand, lambda df: enrichment.heavy_gaps(df, both[1], "0.5")),
     }

@@ -430,6 +430,12 @@ def time_window_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFra
     return _as_report(_time_segments(facts, year))
 
 
+def all_segments(facts: DataFrame, year: int = S.REPORT_YEAR) -> DataFrame:
+    """Categories, brands and time windows with volume, revenue and order value."""
+    segments = _category_segments(facts).unionByName(_brand_segments(facts)).unionByName(_time_segments(facts, year))
+    return _as_report(segments)
+
+
 def scored_segments(facts: DataFrame, year: int = S.REPORT_YEAR, hours: DataFrame | None = None) -> DataFrame:
     """Every segment with shares of the grand totals, efficiency index and role.
 
