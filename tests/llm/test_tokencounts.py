@@ -43,6 +43,35 @@ def test_an_edit_recounts_only_its_surroundings(counter):
     assert doc.text().endswith(" end") and doc.recounted < 24
 
 
+def test_leaves_split_where_a_text_grows(counter):
+    rnd = random.Random(3)
+    doc, text = T.Document.of("", counter), ""
+    for i in range(400):
+        at = rnd.choice([len(text), rnd.randint(0, len(text))])
+        new = "".join(f" w{rnd.randint(0, 99)}, " for _ in range(rnd.randint(1, 40)))
+        doc.edit(at, at, new)
+        text = text[:at] + new + text[at:]
+        assert max(len(leaf.pieces) for leaf in doc.leaves) <= 2 * T.LEAF
+        if i % 50 == 0:
+            assert pieces_of(doc) == counter.cut.findall(text)
+    assert pieces_of(doc) == counter.cut.findall(text) and doc.length == len(text)
+    assert doc.count == len(counter.encoding.encode_ordinary(text))
+    assert len(doc.leaves) > 100 and len(doc.chars[0]) == len(doc.tokens[0]) == len(doc.leaves)
+    doc.edit(0, len(text), "")
+    assert (doc.count, doc.text()) == (0, "")
+
+
+def test_vocabulary_is_read_by_the_driver(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a word")], "doc_id long, text string")
+    with pytest.raises(FileNotFoundError, match="ranks_path"):
+        T.count_with_edits(docs, ranks_path=str(tmp_path / "absent"))
+    own = tmp_path / "ranks"
+    own.write_bytes(T.vocabulary())
+    counted = T.count_with_edits(docs, ranks_path=str(own))
+    own.unlink()
+    assert counted.first()["tokens"] == 2
+
+
 def test_what_is_remembered_is_bounded(counter, monkeypatch):
     monkeypatch.setattr(T, "KNOWN", 50)
     own = T.Counter()

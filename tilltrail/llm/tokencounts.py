@@ -32,12 +32,22 @@ PHONE = regex.compile(r"\+\d{1,3}[ (]*\d{1,4}[) -]+\d{2,4}[ -]\d{2,5}(?:[ -]\d{2
 ADDRESS = regex.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 
 
+def vocabulary(path: str = RANKS) -> bytes:
+    """What the vocabulary file holds."""
+    try:
+        with open(path, "rb") as file:
+            return file.read()
+    except OSError as error:
+        raise FileNotFoundError(f"the driver needs the vocabulary file {path}; ranks_path names another one") from error
+
+
 class Counter:
     """Tokens of a pre-token; those met before are remembered, up to a bound."""
 
-    def __init__(self, ranks_path: str = RANKS) -> None:
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, ranks: str | bytes = RANKS) -> None:
+        """``ranks`` is the vocabulary file or what it holds."""
+        lines = (ranks if isinstance(ranks, bytes) else vocabulary(ranks)).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
@@ -72,17 +82,17 @@ class Document:
 
     @staticmethod
     def of(text: str, counter: Counter) -> Document:
-        pieces = counter.cut.findall(text)
-        leaves = []
-        for at in range(0, len(pieces), LEAF):
-            own = pieces[at : at + LEAF]
-            leaves.append(Leaf(own, sum(map(counter, own))))
-        leaves = leaves or [Leaf([], 0)]
+        leaves = Document._cut_into_leaves(counter.cut.findall(text), counter) or [Leaf([], 0)]
         doc = Document(counter, leaves)
         doc.chars = _levels([sum(map(len, x.pieces)) for x in leaves])
         doc.tokens = _levels([x.tokens for x in leaves])
         return doc
 
+    @staticmethod
+    def _cut_into_leaves(pieces: list[str], counter: Counter) -> list[Leaf]:
+        cut = [pieces[at : at + LEAF] for at in range(0, len(pieces), LEAF)]
+        return [Leaf(own, sum(map(counter, own))) for own in cut]
+
     @property
     def count(self) -> int:
         return self.tokens[-1][0]
@@ -114,6 +124,17 @@ class Document:
                 below = sums[level - 1]
                 sums[level][node] = below[2 * node] + (below[2 * node + 1] if 2 * node + 1 < len(below) else 0)
 
+    def _split(self, first: int, last: int, pieces: list[str]) -> None:
+        """Put as many leaves as the pieces fill in the place of some, and build the sums above anew.
+
+        Before that happens again at a leaf it has to double, so few edits pay for it.
+        """
+        leaves = self._cut_into_leaves(pieces, self.counter)
+        self.leaves[first : last + 1] = leaves
+        self.chars[0][first : last + 1] = [sum(map(len, x.pieces)) for x in leaves]
+        self.tokens[0][first : last + 1] = [x.tokens for x in leaves]
+        self.chars, self.tokens = _levels(self.chars[0]), _levels(self.tokens[0])
+
     def _pieces_from(self, leaf: int) -> Iterator[tuple[int, str]]:
         for at in range(leaf, len(self.leaves)):
             for piece in self.leaves[at].pieces:
@@ -179,7 +200,10 @@ class Document:
         rest += [p for at_leaf, p in old if at_leaf == last] if gone else []
         self.recounted += len(cut)
         whole = kept + cut + rest
-        # Leaves keep their number: new pre-tokens are dealt out to the leaves touched.
+        if len(whole) > 2 * LEAF * len(touched):
+            self._split(first, last, whole)
+            return
+        # New pre-tokens are dealt out to the leaves touched.
         share = -(-len(whole) // len(touched)) if whole else 0
         for i, leaf in enumerate(touched):
             own = whole[i * share : (i + 1) * share]
@@ -222,11 +246,13 @@ def count_with_edits(docs: DataFrame, edits_of: Edits = redactions, ranks_path:
     ``tokens`` counts the text as it is, ``tokens_edited`` after the edits, which name places in the
     original text and do not overlap; ``recounted`` is how many pre-tokens that took. Null and empty
     texts have no tokens and no edits. Repeated documents are counted each; further columns are not
-    read. Rows stay in the task that reads them, and a task remembers a bounded number of pre-tokens.
+    read, whatever their names. No documents give no rows. Rows stay in the task that reads them, and a task remembers a bounded
+    number of pre-tokens. The vocabulary is read by the driver alone and sent to the tasks; it is as large as its file.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks_path)
+        counter = Counter(ranks.value)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for value in batch.column("text"):
