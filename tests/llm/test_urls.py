@@ -99,3 +99,43 @@ def test_features(spark):
 def test_trees_run_without_python(spark):
     plan = urls.judge(pages_of(spark, URLS)).select(F.max("score"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def kind_of(rnd, host: str, bad: bool) -> str:
+    if bad:
+        return f"http://{host}/ads-{rnd.getrandbits(50)}/c-{rnd.getrandbits(40)}?id={rnd.getrandbits(30)}&b=2&c=3"
+    return f"http://{host}/{rnd.choice(['news', 'about', 'people'])}/{rnd.choice(['today', 'archive', 'city'])}"
+
+
+def test_hosts_without_a_rule_are_told_by_their_look(spark):
+    """Each rule's host and suffix in turn is unknown to the trees; those of other rules must do."""
+    rnd = random.Random(6)
+    hosts = {f"h{i}.s{i}": i % 2 == 0 for i in range(8)}
+    found = [(host, bad, kind_of(rnd, host, bad)) for host, bad in hosts.items() for _ in range(60)]
+    pages = pages_of(spark, [u for _, _, u in found])
+    right = total = 0
+    for withheld in ("h0.s0", "h3.s3"):
+        rules = tuple(urls.Rule("block" if bad else "allow", f"{h}/") for h, bad in hosts.items() if h != withheld)
+        verdicts = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules).collect()}
+        own = [i for i, (h, _, _) in enumerate(found) if h == withheld]
+        right += sum(verdicts[i] == ("block" if found[i][1] else "allow") for i in own)
+        total += len(own)
+    assert right / total >= 0.95
+
+
+def test_training_rates_come_from_hosts_of_other_folds(spark):
+    rows = [(f"http://h{i}.net/a.html", f"h{i}.net", "/a.html", float(i % 2)) for i in range(40)] + [("http://a.b/x", "a.b", "/x", 1.0)]
+    sample = urls.with_features(spark.createDataFrame(rows, "url string, host string, path string, label double"))
+    folds = {r["host"]: r["f"] for r in sample.select("host", F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)).alias("f")).collect()}
+    found = urls._with_own_rates_withheld(sample).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        others = [label for _, host, _, label in rows if folds[host] != folds[r["host"]] and host.endswith(r["tld"])]
+        assert math.isclose(r["tld_rate"], (sum(others) + 1) / (len(others) + 2))
+
+
+def test_repeated_and_very_long_urls(spark):
+    long = "http://a.info/" + "x/1?" * 50_000
+    found = urls.judge(pages_of(spark, [long, long, "http://a.net/", "http://x.org/fr/"])).collect()
+    assert len(found) == 4
+    assert len({(r["host"], r["path"], r["verdict"], r["score"]) for r in found if r["host"] == "a.info"}) == 1

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilltrail.llm import warc
 
@@ -121,3 +122,12 @@ def test_pieces_do_not_depend_on_how_a_later_read_packs_files(spark, monkeypatch
     assert sorted((r["page_id"], r["payload_digest"]) for r in found) == [
         (i, digest(f"{i} {MAGIC}y{MAGIC} {i}")) for i in range(24)
     ]
+
+
+def test_two_calls_do_not_share_archives(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(warc, "write_archives", lambda pages, path, *rest, write=warc.write_archives: (paths.append(path), write(pages, path, *rest)))
+    pages = spark.createDataFrame([(1, "a"), (2, "a")], "page_id long, html string").withColumn("url", F.lit("http://a.b/"))
+    first, second = warc.archive_round_trip(pages), warc.archive_round_trip(pages.limit(1))
+    assert len(set(paths)) == 2
+    assert (first.count(), second.count()) == (2, 1)

@@ -180,7 +180,7 @@ def pack(
     ``start`` is where a piece begins within its document, ``bin_offset`` where it goes within its
     bin. Every document is packed whole: null and empty texts take the one token that ends them,
     longer ones than the largest capacity are cut. Pieces that agree in id and number (repeated
-    rows) are places of their own. No documents give no rows.
+    rows) are places of their own. No documents give no rows. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows = stored(pieces(docs, max(capacities)), "packing-pieces")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilltrail.llm.store import stored
@@ -20,6 +20,7 @@ ALLOW, BLOCK = "allow", "block"
 TRAINING_ROWS = 20_000
 TREES = 15
 DEPTH = 3
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -121,12 +122,29 @@ def _with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
+def _with_own_rates_withheld(sample: DataFrame) -> DataFrame:
+    """Rates for the rows that trees are trained on: of the suffix among hosts of the other folds.
+
+    With rates of all rows a row's own label would be in its features, and the suffix that a rule names would decide alone. A suffix
+    that only hosts of the row's own fold have counts as unseen, as it does when pages are judged.
+    """
+    rows = sample.withColumn("_fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    for suffix, rate in SUFFIXES.items():
+        counts = rows.groupBy(suffix, "_fold").agg(F.sum("label").alias("_blocked"), F.count(F.lit(1)).alias("_n"))
+        of_suffix = Window.partitionBy(suffix)
+        blocked, n = (F.sum(c).over(of_suffix) - F.col(c) for c in ("_blocked", "_n"))
+        rates = counts.select(suffix, "_fold", ((blocked + 1.0) / (n + 2.0)).alias(rate))
+        # At most as many rows as the sample.
+        rows = rows.join(F.broadcast(rates), [suffix, "_fold"])
+    return rows.drop("_fold")
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` for every page.
 
     A rule that fits decides; elsewhere the trees do, by a ``score`` (how likely the URL is blocked)
     above a half. They are trained on at most ``training_rows`` distinct URLs that rules label, those
-    with the least hashes. If these carry one label only, that is the verdict, and without any it is
+    with the least hashes; suffix rates of a row come from hosts of other folds. If these carry one label only, that is the verdict, and without any it is
     ``allow``; the score is then null. Repeated pages are judged each, columns named like the new
     ones give way.
     """
@@ -145,7 +163,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, training_rows: int
         rates = {suffix: stored(_suffix_rates(sample, suffix), f"{suffix}-rates") for suffix in SUFFIXES}
         vectors = VectorAssembler(inputCols=[*FEATURES, *SUFFIXES.values()], outputCol="features")
         trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=42)
-        model = trees.fit(vectors.transform(_with_rates(sample, rates)))
+        model = trees.fit(vectors.transform(_with_own_rates_withheld(sample)))
         scored = model.transform(vectors.transform(_with_rates(featured, rates)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
         scored = scored.withColumn("_guess", F.when(F.col("score") > 0.5, BLOCK).otherwise(ALLOW))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilltrail.llm.store import discard, stored, stored_at
-from tilltrail.session import scratch_folder
+from tilltrail.session import fresh_folder
 
 # The record format.
 MAGIC = "WARC/1.1\r\n"
@@ -226,11 +226,11 @@ def archive_round_trip(pages: DataFrame, smallest: int = 0, compression: str = "
 
     The pages are written as archives and everything is read back from them: a response's size
     and digest from its content, a revisit's from the response it refers to. Null and empty
-    html are empty payloads. No pages give no records.
+    html are empty payloads. No pages give no records. Other columns of the pages are not read, whatever their names. Each call
+    has archives of its own, which go once they are read.
     """
     spark = pages.sparkSession
-    path = scratch_folder(spark, "warc-archives")
-    discard(spark, path)
+    path = fresh_folder(spark, "warc-archives")
     write_archives(pages, path, smallest, compression)
     back = stored(read_records(spark, path), "warc-read")
     discard(spark, path)
