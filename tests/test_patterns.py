@@ -240,3 +240,23 @@ def test_only_rows_without_a_text_are_counted_by_key(spark, sales, tmp_path):
     dated = facts.filter(facts.brand.isNull() | BRAND.is_gap())
     assert "PushedFilters: [Or(IsNull(brand),StringStartsWith(brand,unknown))" in planned(dated)
     assert "hourly-gaps" in planned(gapruns.gap_runs(facts, BRAND)) and str(tmp_path / "facts") not in planned(gapruns.gap_runs(facts, BRAND))
+
+
+def test_facts_are_read_once_for_all_dimensions(spark, sales, tmp_path, monkeypatch):
+    """The facts may be a join of large tables: each reading would shuffle them again."""
+    at = dt.datetime(2020, 3, 1, 9)
+    rows = [{"at": at, "code": None, "brand": None, "price": "2.00"}, {"at": at, "code": None, "category_id": 2, "brand": None, "product": 2}]
+    # Texts of other years fill gaps too.
+    rows += [{"at": dt.datetime(1970, 1, 1), "code": "of.other", "brand": "of other"}, {"at": dt.datetime(1970, 1, 1), "code": None, "product": 3}]
+    sales(*rows).write.parquet(str(tmp_path / "facts"))
+    facts, plans, stored = spark.read.parquet(str(tmp_path / "facts")), [], gapruns.stored
+    monkeypatch.setattr(gapruns, "stored", lambda df, label: (plans.append(planned(df)), stored(df, label))[1])
+    for query in (gapruns.gap_runs, gapruns.gap_dispersion):
+        plans.clear()
+        found = query(facts, CATEGORY, BRAND)
+        assert "".join([*plans, planned(found)]).count(str(tmp_path / "facts")) == 1
+        assert [(r.dimension, r.gap_rows) for r in found.collect()] == [("Category", 1), ("Brand", 1)]
+    assert {(r.dimension, r.run_start, r.gap_revenue) for r in gapruns.gap_runs(facts, CATEGORY, BRAND).collect()} == {
+        ("Category", at, D("1.00")),
+        ("Brand", at, D("1.00")),
+    }

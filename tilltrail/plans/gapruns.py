@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilltrail import schema as S
 from tilltrail.functions import columns as C
 from tilltrail.functions import ratios as R
-from tilltrail.operators import cleaning
 from tilltrail.operators import measures as M
 from tilltrail.operators.imputation import Dimension, impute, value_map
 from tilltrail.operators.ordering import running
 from tilltrail.plans.strategy import CLOCK
-from tilltrail.session import stored
+from tilltrail.session import remove_folder, stored
 
 HOUR = "_hour"
 
@@ -27,19 +28,35 @@ def _clock(number: str) -> Column:
     return F.timestamp_add("HOUR", F.col(number), F.expr(C.EPOCH))
 
 
+def _open(dim: Dimension) -> Column:
+    return F.col(dim.value).isNull() | dim.is_gap()
+
+
+def gap_rows(facts: DataFrame, *dims: Dimension, year: int = S.REPORT_YEAR) -> DataFrame:
+    """What the gaps of all ``dims`` are read from: keys and texts of rows of any year, the hour of those of the year, open prices.
+
+    Rows of other years have no hour; they take part in the maps. Facts may be joins themselves, so whoever needs more than one
+    reading stores these rows.
+    """
+    hour = F.when(C.within_year(CLOCK, year), _hour_number())
+    texts = dict.fromkeys(c for dim in dims for c in (dim.key, dim.value))
+    price = F.when(hour.isNotNull() & reduce(Column.__or__, map(_open, dims)), F.col("price"))
+    return facts.select(hour.alias(HOUR), *texts, price.alias("price"))
+
+
 def hourly_gaps(facts: DataFrame, dim: Dimension, year: int = S.REPORT_YEAR) -> DataFrame:
     """A row for every hour from the first to the last sale of the year: ``sold`` rows, and measures of those no text is known for.
 
-    Rows without a text are counted by key and hour first; the map, made of rows of any year, is joined to these counts. Sales by
-    hour take a scan of the clock alone. Stored, as what follows reads it more than once.
+    ``facts`` may be ``gap_rows`` already. Rows without a text are counted by key and hour first; the map, made of rows of any year, is
+    joined to these counts. Stored, as what follows reads it more than once.
     """
-    dated = cleaning.in_year(facts, year, CLOCK)
-    sold = dated.groupBy(_hour_number().alias(HOUR)).agg(F.count(F.lit(1)).alias("sold"))
-    open_ = dated.filter(F.col(dim.value).isNull() | dim.is_gap())
-    counts = open_.groupBy(dim.key, dim.value, _hour_number().alias(HOUR)).agg(*M.row_measures())
-    filled = impute(counts, dim, value_map(facts, dim))
+    rows = facts if HOUR in facts.columns else gap_rows(facts, dim, year=year)
+    dated = rows.filter(F.col(HOUR).isNotNull())
+    sold = dated.groupBy(HOUR).agg(F.count(F.lit(1)).alias("sold"))
+    counts = dated.filter(_open(dim)).groupBy(dim.key, dim.value, HOUR).agg(*M.row_measures())
+    filled = impute(counts, dim, value_map(rows, dim))
     # A row without a key has no label that names it, and is a gap too.
-    gaps = filled.filter(F.col(dim.value).isNull() | dim.is_gap()).groupBy(HOUR).agg(*M.merged_measures())
+    gaps = filled.filter(_open(dim)).groupBy(HOUR).agg(*M.merged_measures())
     span = sold.agg(F.min(HOUR).alias("a"), F.max(HOUR).alias("b")).filter("a is not null")
     calendar = span.select(F.explode(F.sequence("a", "b")).alias(HOUR))
     counted = [F.coalesce(name, F.lit(0)).alias(name) for name in ("sold", "vol", "rev")]
@@ -47,6 +64,14 @@ def hourly_gaps(facts: DataFrame, dim: Dimension, year: int = S.REPORT_YEAR) ->
     return stored(dense, "hourly-gaps")[0]
 
 
+def _hours_by_dimension(facts: DataFrame, dims: tuple[Dimension, ...], year: int) -> list[tuple[Dimension, DataFrame]]:
+    """The hours of every dimension, from one reading of the facts: its rows are stored until all hours are."""
+    rows, path = stored(gap_rows(facts, *dims, year=year), "gap-rows")
+    hours = [(dim, hourly_gaps(rows, dim)) for dim in dims]
+    remove_folder(facts.sparkSession, path)
+    return hours
+
+
 def _islands(hours: DataFrame) -> DataFrame:
     """Runs of side-by-side hours with a gap.
 
@@ -69,8 +94,8 @@ def gap_runs(facts: DataFrame, *dims: Dimension, year: int = S.REPORT_YEAR) -> D
     Hours without any sale end a run. Years without gaps have no runs.
     """
     found = None
-    for dim in dims:
-        runs = _islands(hourly_gaps(facts, dim, year)).select(
+    for dim, hours in _hours_by_dimension(facts, dims, year):
+        runs = _islands(hours).select(
             F.lit(dim.name).alias("dimension"),
             _clock("_first").alias("run_start"),
             _clock("_last").alias("run_end"),
@@ -95,8 +120,7 @@ def gap_dispersion(facts: DataFrame, *dims: Dimension, year: int = S.REPORT_YEAR
     """
     found = None
     added = "cast(coalesce(sum(cast({} as decimal(17,0)) * {}), 0) as decimal({},0))"
-    for dim in dims:
-        hours = hourly_gaps(facts, dim, year)
+    for dim, hours in _hours_by_dimension(facts, dims, year):
         runs = _islands(hours).agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.max("hours"), F.lit(0)).alias("longest_run"))
         sums = hours.agg(
             F.count(F.lit(1)).alias("hours"),
