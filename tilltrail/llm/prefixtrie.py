@@ -253,7 +253,8 @@ def with_anchors(nodes: DataFrame) -> DataFrame:
     only from its own shard, so no pointer is shared by more rows than a shard holds.
     """
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    level = sum((F.col("n_convs") > WIDE**k).cast("int") for k in range(1, 8))
+    # Bounds beyond a long would be passed by no count.
+    level = sum((F.col("n_convs") > WIDE**k).cast("int") for k in range(1, 8) if WIDE**k < 2**63)
     classed = nodes.withColumns({"block": F.floor(F.col("depth") / DEEP), "level": level})
     above = classed.select(F.col("node").alias("parent"), F.col("block").alias("_block"), F.col("level").alias("_level"))
     keyed = [side.withColumn("_h", F.hash("parent")) for side in (classed, above)]
