@@ -14,7 +14,7 @@ from conftest import rows_of
 from tilltrail.operators import ordering
 from tilltrail.operators.imputation import BRAND, CATEGORY
 from tilltrail.operators.selection import middle_sums
-from tilltrail.plans import gapruns, integrity, outliers
+from tilltrail.plans import distincts, gapruns, integrity, outliers
 
 
 def planned(df) -> str:
@@ -260,3 +260,21 @@ def test_facts_are_read_once_for_all_dimensions(spark, sales, tmp_path, monkeypa
         ("Category", at, D("1.00")),
         ("Brand", at, D("1.00")),
     }
+
+
+# --- distinct counts ----------------------------------------------------------------------------
+
+
+def test_distinct_rows_hold_one_id(spark, sales):
+    """A row with a place for every id takes a task three times the ids' memory; groups without ids stay."""
+    rows = [{"user": None}, {"user": None, "product": 2}, {"user": 5, "product": 2}, {"user": 5, "at": dt.datetime(2019, 12, 31)}]
+    facts = sales(*rows, *rows)
+    counts = distincts.with_month_and_type(distincts.exact(facts, *distincts.month_and_type()))
+    assert sorted(tuple(r) for r in counts.collect()) == [
+        (2019, 12, "registered", 1, 1, 1),
+        (2020, 6, "anonymous", 0, 2, 1),
+        (2020, 6, "registered", 1, 1, 1),
+    ]
+    assert counts.columns == ["year", "month", "user_type", *distincts.COUNTED.values()]
+    keys = [line for line in planned(counts).splitlines() if "HashAggregate(keys=[" in line]
+    assert keys and all(line.split("], functions")[0].count("_id#") <= 1 for line in keys)

@@ -7,9 +7,12 @@ the default everywhere; estimates are asked for by handing sketches over.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilltrail import schema as S
 from tilltrail.plans.strategy import CLOCK, with_user_type
 
 COUNTED = {"user_id": "unique_registered_users", "product_id": "product_diversity", "category_id": "category_diversity"}
@@ -26,6 +29,20 @@ def hour_of_clock() -> Column:
     return F.timestamp_add("HOUR", F.hour(CLOCK), F.col(CLOCK).cast("date").cast("timestamp_ntz"))
 
 
+def month_and_type() -> list[Column]:
+    """Month and user type as a number and a flag: half as wide as year, month and name, and distinct rows carry them."""
+    month = F.year(CLOCK) * 12 + F.month(CLOCK) - 1
+    return [month.alias("_month"), (F.col("user_type") == S.REGISTERED).alias("_registered")]
+
+
+def with_month_and_type(counts: DataFrame) -> DataFrame:
+    """Counts by ``month_and_type`` with ``year``, ``month`` and ``user_type`` in its place."""
+    parts = {"year": "cast(_month div 12 as int)", "month": "_month % 12 + 1"}
+    user_type = F.when(F.col("_registered"), S.REGISTERED).otherwise(S.ANONYMOUS).alias("user_type")
+    kept = [c for c in counts.columns if c not in ("_month", "_registered")]
+    return counts.select(*[F.expr(e).alias(name) for name, e in parts.items()], user_type, *kept)
+
+
 def hour_sketches(facts: DataFrame, lg_buckets: int = LG_BUCKETS) -> DataFrame:
     """One sketch per counted column for each hour and user type; missing values are not counted.
 
@@ -50,9 +67,19 @@ def estimates(sketches: DataFrame, *by: str | Column) -> DataFrame:
 
 
 def exact(facts: DataFrame, *by: str | Column) -> DataFrame:
-    """The same counts, exact, by a scan of the facts."""
-    counts = [F.count_distinct(c).alias(name) for c, name in COUNTED.items()]
-    return with_user_type(facts).groupBy(*by).agg(*counts)
+    """The same counts, exact, by a scan of the facts.
+
+    All ids go through one column, so a distinct row holds one id and not a place for each of them. Missing ids
+    are one row of their group, which keeps groups without any id.
+    """
+    ids = {f"_{c}": i for i, c in enumerate(COUNTED)}
+    rows = with_user_type(facts).select(*by, *[F.col(c).alias(f"_{c}") for c in COUNTED])
+    groups = rows.columns[: len(by)]
+    single = rows.unpivot(groups, list(ids), "_column", "_id")
+    number = reduce(lambda other, c: F.when(F.col("_column") == c, F.lit(ids[c])).otherwise(other), list(ids)[1:], F.lit(0))
+    seen = single.select(*groups, number.cast("byte").alias("_which"), "_id").distinct()
+    counts = [F.count(F.when(F.col("_which") == i, F.col("_id"))).alias(n) for i, n in enumerate(COUNTED.values())]
+    return seen.groupBy(*groups).agg(*counts)
 
 
 def checked_estimates(facts: DataFrame, sketches: DataFrame, *by: Column, errors: float = 4.0) -> DataFrame:

@@ -276,14 +276,14 @@ def _sources() -> dict[str, Query]:
     }
 
 
-def by_month() -> list[Column]:
-    return [F.year(CLOCK).alias("year"), F.month(CLOCK).alias("month"), F.col("user_type")]
+def monthly_distincts(df: DataFrame) -> DataFrame:
+    return distincts.with_month_and_type(distincts.exact(df, *distincts.month_and_type()))
 
 
 def distinct_estimates(df: DataFrame) -> DataFrame:
     """Monthly estimates merged from stored sketches by hour, held against exact counts."""
     sketches, _ = stored(distincts.hour_sketches(df), "hour-sketches")
-    return distincts.checked_estimates(df, sketches, *by_month())
+    return distincts.with_month_and_type(distincts.checked_estimates(df, sketches, *distincts.month_and_type()))
 
 
 BATCHES = ("first", "second", "third")
@@ -305,7 +305,7 @@ def _questions() -> dict[str, Query]:
     (category, brand), both = money, (I.CATEGORY, I.BRAND)
     every = ["user_id", "event_time", *CATEGORY_COLUMNS, *BRAND_COLUMNS, "price"]
     return {
-        "distinct_by_month": clean(counted, lambda df: distincts.exact(df, *by_month())),
+        "distinct_by_month": clean(counted, monthly_distincts),
         "distinct_estimates_by_month": clean(counted, distinct_estimates),
         "portfolio_after_appends": clean(
             STORED, lambda df: appended_store(df).reports()["10_unified_strategy_portfolio"]
