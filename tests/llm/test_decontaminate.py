@@ -54,6 +54,25 @@ def test_values_must_map_one_to_one(spark):
     assert set(found_in(spark, [same, split, merged], [item])) == {(0, 0)}
 
 
+def test_forms_that_are_taken_over_are_those_split_apart(spark):
+    """Texts without numbers, without names, with both and with neither; breaks of both kinds; white space of any kind."""
+    texts = [None, "", " . ", "Is it", "one, two.three:four", "1.5 kg, 2:30 and 7.", "so Otto. Then Hugo went", QUESTION, FILLER, "a\u00a0 b\n\nC d.e",
+             "x5 Ab %Cd 3Ef gH Ij", "\u0001number of \u0001name", "\u00c4rzte in \u00d6sterreich \u0660\u0661"]
+    rows = docs_of(spark, texts).select("doc_id", "text")
+    D, F = decontaminate, decontaminate.F
+    whole = rows.withColumn("_text", D._plain(F.col("text"))).withColumn("_numbered", D._numbered(F.col("_text")))
+    before = r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}\p{L}*"
+    apart = whole.select(
+        *rows.columns,
+        D._split(F.col("_text"), D._BREAKS_OUTSIDE_NUMBERS).alias("cased"),
+        D._split(F.lower("_text"), D._BREAKS_OUTSIDE_NUMBERS).alias(D.LITERAL),
+        D._split(F.lower("_numbered")).alias("numbers"),
+        D._split(F.lower(F.regexp_replace("_numbered", D._NAME, D.NAME))).alias("sentence"),
+        D._split(F.lower(F.regexp_replace("_numbered", before, D.NAME))).alias("names"),
+    )
+    assert D._with_words(rows).orderBy("doc_id").collect() == apart.orderBy("doc_id").collect()
+
+
 def test_short_items_count_as_a_whole(spark):
     """Items under five words are found word for word, but in no other words."""
     texts = ["well what is the capital of france anyway", "what is the capital of spain", "Is it", "visit Otto 5", "now visit Hugo 6", "this item"]

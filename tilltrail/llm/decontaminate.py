@@ -36,7 +36,8 @@ _MARK = "\u0001"
 NAME, NUMBER, UNIT = f"{_MARK}name", f"{_MARK}number", f"{_MARK}unit"
 # A capitalised word inside a sentence is taken for a name.
 _NAME = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}\p{L}*"
-_NAME_IN_WORD = r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}\p{L}*"
+# What stands before is looked at behind the capital, so that it is looked at only there.
+_NAME_IN_WORD = r"\p{Lu}(?<![\p{L}\p{N}%]\p{Lu})\p{Ll}\p{L}*"
 _NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
 _UNIT = rf"(?i:{'|'.join(UNITS)})\b"
 _QUANTITY = rf"{_NUMBER}(?:{_UNIT})?"
@@ -73,17 +74,25 @@ def _with_words(rows: DataFrame) -> DataFrame:
     ``cased`` are the words as they stand; the others are in lower case: ``literal`` has no placeholders,
     ``numbers`` has them for numbers and units, ``sentence`` for names inside sentences too, ``names`` for
     capitalised words anywhere. Null counts as empty, and an empty
-    text is one empty word.
+    text is one empty word. A form that a text shares with an earlier one is not split again: most texts have no number or
+    no name inside a sentence.
     """
     whole = rows.withColumn("_text", _plain(F.col("text"))).withColumn("_numbered", _numbered(F.col("_text")))
+    whole = whole.withColumn("_named", F.regexp_replace("_numbered", _NAME, NAME))
+    # Without a digit both kinds of breaks are the same.
+    bare = F.col("_numbered") == F.col("_text")
+
+    def outside_numbers(text: Column) -> Column:
+        return F.when(bare, _split(text)).otherwise(_split(text, _BREAKS_OUTSIDE_NUMBERS))
+
+    whole = whole.withColumns({"cased": outside_numbers(F.col("_text")), LITERAL: outside_numbers(F.lower("_text"))})
+    whole = whole.withColumn("numbers", F.when(bare, F.col(LITERAL)).otherwise(_split(F.lower("_numbered"))))
+    unnamed = F.col("_named") == F.col("_numbered")
     forms = {
-        "cased": _split(F.col("_text"), _BREAKS_OUTSIDE_NUMBERS),
-        LITERAL: _split(F.lower("_text"), _BREAKS_OUTSIDE_NUMBERS),
-        "numbers": _split(F.lower("_numbered")),
-        "sentence": _split(F.lower(F.regexp_replace("_numbered", _NAME, NAME))),
+        "sentence": F.when(unnamed, F.col("numbers")).otherwise(_split(F.lower("_named"))),
         "names": _split(F.lower(F.regexp_replace("_numbered", _NAME_IN_WORD, NAME))),
     }
-    return whole.select(*rows.columns, *[words.alias(name) for name, words in forms.items()])
+    return whole.withColumns(forms).select(*rows.columns, "cased", LITERAL, "numbers", *forms)
 
 
 def _held(at: Column) -> Column:
